@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmark.llm.common import table
+from inkmark.llm import packing, quality, sharding, simhash, syncmers, tokenizing, warc
+from inkmark.llm.common import new_folder, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -14,18 +15,79 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from inkmark.llm import simhash
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path)
+
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from inkmark.llm import tokenizing
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.round_trip(table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op7_bpe": op7_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    shown = [syncmers.digits(F.col(c)).alias(n) for c, n in (("own", "fingerprint"), ("edited", "edited_fingerprint"))]
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), *shown, "near_edited", "near_next")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.ledger(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", *quality.MEASURES, "fail_bits", (~quality.passes(F.col("fail_bits"), "base")).alias("base_failed"), quality.passes(F.col("fail_bits")).alias("kept"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), 40).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {
+    "op4_warc": op4_warc,
+    "op5_simhash": op5_simhash,
+    "op6_packing": op6_packing,
+    "op7_bpe": op7_bpe,
+    "op8_syncmers": op8_syncmers,
+    "op9_quality": op9_quality,
+    "op10_sharding": op10_sharding,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM h WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, h.payload_digest,
+       CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM h LEFT JOIN f ON h.payload_digest = f.payload_digest AND payload_bytes >= 100""",
+    "op9_quality": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM t, unnest(range(1, len(w) - 1)) AS r(i)),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM places),
+covered AS (SELECT DISTINCT doc_id, i + k AS at FROM again, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1),
+repeats AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY 1),
+m AS (
+  SELECT t.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         (len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+          - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+         coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
+         len(regexp_extract_all(text, '\p{Lu}'))::BIGINT AS n_upper
+  FROM t LEFT JOIN repeats USING (doc_id)),
+b AS (
+  SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 10 * n_words)::INT
+             + 8 * (100 * n_upper > 40 * word_chars)::INT + 16 * (n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines)::INT
+             + 32 * (word_chars > 20 * n_words)::INT)::BIGINT AS fail_bits
+  FROM m)
+SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b""",
+}
