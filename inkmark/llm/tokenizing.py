@@ -15,20 +15,21 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-#: How the word-level vocabulary cuts lower-case ASCII text into words.
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-_BLANKS = str.maketrans("\n\t\r", "   ")
+#: How the word-level vocabulary cuts lower-case text into words, for text of the Latin letters below.
+_LETTERS = "a-z\\u00df-\\u00f6\\u00f8-\\u017f"
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+_OTHER = re.compile("[^\\t-\\r\\x20-\\x7e\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u017f]")
 
 
 class Encoder:
     """Encodes and decodes as the tokenizer of a file does, special tokens in texts included.
 
-    Blanks end every word, so text falls into chunks that are encoded one by one. In a word, a pair of neighbouring
-    bytes that stands in no token of the vocabulary can't be merged over: the word is cut there, the fragments are
-    encoded independently (only the last one has the mark of the word's end) and their ids joined.
+    A text is cut into words. In a word, a pair of neighbouring bytes that stands in no token of the vocabulary
+    can't be merged over: the word is cut there, the fragments are encoded independently (only the last one has the
+    mark of the word's end) and their ids joined.
     """
 
-    def __init__(self, path: str, remembered: int = 150_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -44,44 +45,48 @@ class Encoder:
         self.names = [names.get(i, "") for i in range(top)]
         self.digits = [b"%d" % i for i in range(top)]
         self.remembered, self.young, self.old = remembered, {}, {}
+        letters = self.tokenizer.pre_tokenizer.pre_tokenize_str  # a letter's bytes as the vocabulary writes them
+        self.written = {c: "".join(w for w, _ in letters(chr(c))) for c in range(0x21, 0x180) if chr(c).isprintable()}
 
     def fragments(self, word: str) -> list[str]:
-        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.within]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+        within = self.within
+        cuts = [i for i, pair in enumerate(map(str.__add__, word, word[1:]), 1) if pair not in within]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        """Ids, as 32-bit numbers, of a word of the vocabulary's characters."""
         *inner, last = self.fragments(word)
         ids = [t.id for f in inner for t in self.inner.tokenize(f)]
-        return ids + [t.id for t in self.last.tokenize(last)]
-
-    def _plain(self, text: str) -> list[int]:
-        if text.isascii() and text.isprintable():
-            words = _ASCII_WORDS.findall(text.lower())
-        else:
-            words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
-        return [i for w in words for i in self._word(w)]
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids as 32-bit numbers; remembered if short. Two generations: what is in use outlives a full memory."""
-        if (found := self.old.get(chunk)) is None:
-            if self.marks and "<" in chunk:
-                parts = self.marks.split(chunk)
-                found = array("I", [i for k, p in enumerate(parts) if p for i in ([self.special[p]] if k % 2 else self._plain(p))]).tobytes()
+        return array("I", ids + [t.id for t in self.last.tokenize(last)]).tobytes()
+
+    def _new(self, word: str) -> bytes:
+        """A word's ids; remembered if short. Two generations: what is in use outlives a full memory."""
+        if (found := self.old.get(word)) is None:
+            if word[0] == "\0":
+                found = self._word(word[1:])
             else:
-                found = array("I", self._plain(chunk)).tobytes() if chunk else b""
-        if len(chunk) <= 40:
+                found = self._word(word if word.isascii() else word.translate(self.written))
+        if len(word) <= 40:
             if len(self.young) >= self.remembered:
                 self.young, self.old = {}, self.young
-            self.young[chunk] = found
+            self.young[word] = found
         return found
 
+    def _plain(self, text: str) -> bytes:
+        if not _OTHER.search(text):
+            words = _WORDS.findall(text.lower())
+        else:  # the vocabulary's own characters, marked as such
+            words = ["\0" + w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
+        miss = self._new
+        return b"".join([x if (x := self.young.get(w)) is not None else miss(w) for w in words])
+
     def encode(self, text: str | None) -> array:
-        chunks = (text or "").translate(_BLANKS).split(" ") if text else []
-        ids, out = array("I"), []
-        for at in range(0, len(chunks), 1 << 16):
-            get, miss = self.young.get, self._chunk
-            out.append(b"".join([x if (x := get(c)) is not None else miss(c) for c in chunks[at : at + (1 << 16)]]))
-            ids.frombytes(out.pop())
+        ids = array("I")
+        if self.marks and text and "<" in text and self.marks.search(text):
+            for k, part in enumerate(self.marks.split(text)):
+                ids.frombytes(array("I", [self.special[part]]).tobytes() if k % 2 else self._plain(part))
+        elif text:
+            ids.frombytes(self._plain(text))
         return ids
 
     def decode(self, ids) -> str:
