@@ -1,6 +1,243 @@
-"""All registered queries of the watermark operators, with their SQL."""
+"""All registered queries of the watermark operators: carriers are laid out from the given tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkmark.functions import formulas as f
+from inkmark.functions.formulas import KEYS, RGB, level
+from inkmark.operators import crop, dct, detector, embed, histogram, metrics, neighbourhood, palette, point
+from inkmark.plans import suite
+from inkmark.plans.oracle import ORACLE_SQL
+from inkmark.sources import carriers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+N_BITS = 128
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return carriers.mosaic(_table(spark, sf_dir, "embeddings"))
+
+
+def marks(spark: SparkSession, sf_dir: str, px: DataFrame) -> DataFrame:
+    """A mark for each carrier: that of the item whose id is the carrier's, modulo 40."""
+    items = carriers.marks(_table(spark, sf_dir, "benchmark").select("item_id"), N_BITS)
+    own = px.select("carrier_id").distinct().withColumn("wm_id", F.col("carrier_id") % 40)
+    return own.join(items, "wm_id").select("carrier_id", "wm_id", "bits")
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector a language: toxic documents, called by low quality, scored by length."""
+    both = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return both.select(F.col("lang").alias("detector_id"), F.col("doc_id").alias("sample_id"), F.col("toxic").alias("y_true"), (1 - F.col("quality")).alias("y_pred"), F.col("n_chars").cast("double").alias("y_score"))
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if c in names else F.col(c) for c in df.columns])  # no -0.0
+
+
+def query(function: Callable[[DataFrame], DataFrame], name: str) -> None:
+    """Registers a query of the carriers' pixels."""
+    QUERIES[name] = lambda spark, sf_dir: function(pixels(spark, sf_dir))
+
+
+def _distorted(px: DataFrame) -> DataFrame:
+    return point.gamma(px, 1.5)
+
+
+def _luma_pair(px: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return neighbourhood.luma_plane(px), neighbourhood.luma_plane(_distorted(px))
+
+
+def _named(px: DataFrame, formulas: dict[str, str]) -> DataFrame:
+    return px.select(*KEYS, *[F.expr(e).alias(n) for n, e in formulas.items()])
+
+
+# Sources
+QUERIES["pixels_from_arrays"] = pixels
+query(lambda px: carriers.synthetic(px.select("carrier_id").distinct().withColumns({"height": F.lit(24), "width": F.lit(20)})), "synthetic_carriers")
+query(carriers.sizes, "carrier_sizes")
+query(carriers.samples, "flat_samples")
+
+
+def write_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import os
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "inkmark-checkpoints")
+    px = suite.attack_suite(pixels(spark, sf_dir), {"bit_depth": ("color", point.bit_depth), "lossless": ("compression", point.lossless)})
+    return carriers.write_pixels(px.select(*KEYS, *RGB, "attack_id"), f"{base}/pixels-{uuid.uuid4().hex}")
+
+
+QUERIES["write_pixels"] = write_pixels
+
+# Colours
+query(lambda px: px.select(*KEYS, F.expr(level("r * 1.37e0 - g * 0.5e0")).alias("level")), "to_level")
+query(lambda px: _rounded(neighbourhood.luma_plane(px), "v"), "luma")
+query(lambda px: _rounded(_named(px, {"l": f.luma(), "i": f.yiq_i(), "q": f.yiq_q()}), "l", "i", "q"), "yiq")
+query(lambda px: _named(px, f.to_hsv()), "rgb_hsv")
+query(lambda px: _named(px, f.to_ycbcr()), "rgb_ycbcr")
+query(lambda px: _named(px, f.to_lab()), "rgb_lab")
+query(lambda px: _named(_named(px, f.to_hsv()), f.from_hsv("h", "s", "v")), "hsv_rgb")
+query(lambda px: _named(_named(px, f.to_ycbcr()), f.from_ycbcr("y_", "cb", "cr")), "ycbcr_rgb")
+
+
+# Embedding
+def lsb_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir)
+    return embed.lsb_embed(carriers.samples(px), marks(spark, sf_dir, px))
+
+
+def lsb_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir)
+    return embed.extract_pixels(embed.embed_pixels(px, marks(spark, sf_dir, px)), N_BITS)
+
+
+def _prices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.expr("cast(round(l_extendedprice * 100) as bigint)").alias("cents"))
+    own = rows.select(F.col("l_suppkey").alias("carrier_id")).distinct().withColumn("wm_id", F.col("carrier_id") % 40)
+    items = carriers.marks(_table(spark, sf_dir, "benchmark").select("item_id"), N_BITS)
+    return rows, own.join(items, "wm_id").select("carrier_id", "bits")
+
+
+def lsb_embed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, own = _prices(spark, sf_dir)
+    return embed.lsb_embed_table(rows, own, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "cents"], "cents")
+
+
+def embed_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir)
+    own = marks(spark, sf_dir, px)
+    return embed.embed_suite(px, {"whole": own, "half": own.withColumn("bits", F.left("bits", F.lit(64)))})
+
+
+def dropped_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, own = _prices(spark, sf_dir)
+    return embed.dropped_bits(rows.select(F.col("l_suppkey").alias("carrier_id")), own.withColumn("bits", F.expr("repeat(bits, 6)")))
+
+
+for _f in (lsb_embed, lsb_extract, lsb_embed_table, embed_suite, dropped_bits):
+    QUERIES[_f.__name__] = _f
+
+# Distortions
+query(point.bit_depth, "bit_depth")
+query(point.gamma, "gamma")
+query(point.gamma_by_join, "gamma_lut_join")
+query(point.grayscale, "grayscale")
+query(point.dither, "dither_ordered")
+query(lambda px: point.dither(px, 4, 8), "dither_ordered_8")
+query(point.brightness_contrast, "brightness_contrast")
+query(point.color_jitter, "color_jitter")
+for _space in point.SPACES:
+    query(lambda px, s=_space: point.color_noise(px, s), f"color_noise_{_space.lower()}")
+query(histogram.level_histogram, "level_histogram")
+query(histogram.hist_equalize, "hist_equalize")
+query(histogram.clahe, "clahe")
+query(lambda px: palette.pixel_sample(px, 50), "pixel_sample")
+query(lambda px: palette.quantize_kmeans(px, 2, 200, 3), "quantize_kmeans")
+query(lambda px: palette.quantize_median_cut(px, 4), "quantize_median_cut")
+query(palette.palette_size, "palette_size")
+query(lambda px: crop.crop_pad(px, 0.5, "center", (255, 0, 255)), "crop_pad")
+query(lambda px: crop.crop_raw(px, 0.6, "bottom_right"), "crop_raw")
+query(lambda px: crop.crop_pad(px, 0.5, "random", seed=3), "crop_random")
+for _filter in ("nearest", *crop.RESAMPLE):
+    query(lambda px, r=_filter: crop.crop_resize(px, 0.5, "center", r), f"crop_resize_{_filter}")
+query(dct.block_dct, "block_dct")
+query(suite.attack_suite, "attack_suite")
+query(lambda px: suite.attack_chain(px, point.bit_depth, point.gamma, crop.crop_pad), "attack_chain")
+query(lambda px: suite.param_sweep(px, point.gamma, [0.5, 1.0, 2.0]), "param_sweep")
+query(lambda px: metrics.lossless_diff(px, point.lossless(px)), "lossless_diff")
+
+
+def _mirrored(frame):
+    return frame.assign(x=frame["x"].max() - frame["x"])
+
+
+query(lambda px: suite.custom_attack(px, _mirrored), "custom_attack")
+
+# Pixel metrics
+query(lambda px: metrics.paired_pixels(px, _distorted(px)), "paired_pixels")
+query(lambda px: _rounded(metrics.mse(px, _distorted(px)), "mse"), "mse")
+query(lambda px: _rounded(metrics.psnr(px, _distorted(px)), "psnr"), "psnr")
+query(lambda px: _rounded(metrics.watermark_psnr(px, crop.crop_raw(_distorted(px), 0.5, "top_left")), "psnr"), "watermark_psnr")
+query(lambda px: _rounded(metrics.metric_suite(px, _distorted(px)), "value"), "metric_suite")
+
+
+# Bits
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir)
+    own = marks(spark, sf_dir, px)
+    got = embed.extract_pixels(point.bit_depth(embed.embed_pixels(px, own), 7), N_BITS)
+    return own.select("carrier_id", F.col("bits").alias("original")).join(got.withColumnRenamed("bits", "extracted"), "carrier_id")
+
+
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).withColumn("extracted", F.expr("case when carrier_id % 2 = 0 then left(extracted, 100) else extracted end"))
+
+
+QUERIES["ber"] = lambda spark, sf_dir: _rounded(metrics.ber(_short(spark, sf_dir)), "ber")
+QUERIES["ber_common_prefix"] = lambda spark, sf_dir: _rounded(metrics.ber(_short(spark, sf_dir), True), "ber")
+QUERIES["nc"] = lambda spark, sf_dir: _rounded(metrics.nc(_pairs(spark, sf_dir)), "nc")
+QUERIES["bit_length_mismatch"] = lambda spark, sf_dir: metrics.bit_length_mismatch(_short(spark, sf_dir))
+
+
+# Detectors
+def _scores(*names: str) -> Query:
+    return lambda spark, sf_dir: _rounded(detector.scores(detections(spark, sf_dir)).select("detector_id", *names), *names)
+
+
+QUERIES["confusion_counts"] = lambda spark, sf_dir: detector.confusion_counts(detections(spark, sf_dir))
+for _name in ("accuracy", "precision", "recall", "f1"):
+    QUERIES[_name] = _scores(_name)
+QUERIES["avg_ranks"] = lambda spark, sf_dir: detector.avg_ranks(detections(spark, sf_dir), "detector_id", "y_score")
+QUERIES["auc"] = lambda spark, sf_dir: _rounded(detector.auc(detections(spark, sf_dir)), "auc")
+
+
+def p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").groupBy("user_id").agg(F.round(F.avg("value"), 9).alias("value"))
+    return _rounded(detector.p_value(bought, events.where("event_type = 'view'").select("value")), "p_value")
+
+
+def unmatched_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"))
+    return detector.unmatched_labels(docs, _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sample_id")))
+
+
+QUERIES["p_value"], QUERIES["unmatched_labels"] = p_value, unmatched_labels
+
+# Neighbourhoods
+_TAPS = neighbourhood.gauss1d()
+query(lambda px: _rounded(neighbourhood.sepfilter(neighbourhood.luma_plane(px), _TAPS, "valid"), "v"), "sepfilter_valid")
+query(lambda px: _rounded(neighbourhood.sepfilter(neighbourhood.luma_plane(px), _TAPS, "same"), "v"), "sepfilter_same")
+query(lambda px: _rounded(neighbourhood.ssim_map(*_luma_pair(px)), "ssim", "cs"), "ssim_map")
+query(lambda px: _rounded(neighbourhood.ssim(*_luma_pair(px)), "ssim"), "ssim")
+query(lambda px: _rounded(neighbourhood.downsample2(neighbourhood.luma_plane(px)), "v"), "downsample2")
+query(lambda px: _rounded(neighbourhood.ms_ssim(*_luma_pair(carriers.upscaled(px, 6))), "ms_ssim"), "ms_ssim")
+query(lambda px: _rounded(neighbourhood.conv3(neighbourhood.luma_plane(px), {"h": neighbourhood.SCHARR_X, "w": neighbourhood.SCHARR_Y}), "h", "w", digits=9), "conv3")
+query(lambda px: _rounded(neighbourhood.scharr_gradient(neighbourhood.luma_plane(px)), "v"), "scharr_gradient")
+query(lambda px: _rounded(neighbourhood.gradient_similarity(*_luma_pair(px)), "similarity"), "gradient_similarity")
+query(lambda px: _rounded(neighbourhood.downsample_box(neighbourhood.luma_plane(px), 4), "v", digits=9), "downsample_box")
+query(lambda px: _rounded(neighbourhood.chroma_similarity(px, _distorted(px), 2), "similarity"), "chroma_similarity")
+_KERNEL = [[(5 - abs(i - 2)) * (5 - abs(j - 2)) / 100 for j in range(5)] for i in range(5)]
+query(lambda px: _rounded(neighbourhood.correlate(neighbourhood.luma_plane(px), _KERNEL, 3, 1), "v"), "correlate_strided")
+
+
+# Suites
+def suite_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir)
+    return suite.suite_report(suite.robustness(px, marks(spark, sf_dir, px), N_BITS))
+
+
+QUERIES["suite_report"] = suite_report
