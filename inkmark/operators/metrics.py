@@ -54,8 +54,9 @@ def compared_bits(pairs: DataFrame, allow_length_mismatch: bool = False) -> Data
     """
     n = F.least(F.length("original"), F.length("extracted"))
     a, b = F.left("original", n), F.left("extracted", n)
-    status = F.when((F.length("original") != F.length("extracted")) & F.lit(not allow_length_mismatch), "length_mismatch")
-    status = status.when(n == 0, "empty").when(~a.rlike(BINARY) | ~b.rlike(BINARY), "not_binary").when(n.isNull(), "empty").otherwise("ok")
+    status = F.when(F.col("original").isNull() | F.col("extracted").isNull(), "empty")
+    status = status.when((F.length("original") != F.length("extracted")) & F.lit(not allow_length_mismatch), "length_mismatch")
+    status = status.when(n == 0, "empty").when(~a.rlike(BINARY) | ~b.rlike(BINARY), "not_binary").otherwise("ok")
     wrong = F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda x: x))
     return pairs.withColumn("status", status).withColumn("n", F.when(F.col("status") == "ok", n)).withColumn("wrong", F.when(F.col("status") == "ok", wrong))
 
