@@ -147,7 +147,7 @@ def _compared(fp: np.ndarray, ends: np.ndarray, radius: int, least: int = 256) -
     """Whole blocks, small ones taken together: a link between two of them is a link too."""
     at = 0
     for end in [*ends.tolist(), len(fp)]:
-        if end - at >= least or end == len(fp):
+        if end > at and (end - at >= least or end == len(fp)):
             u, v = forest(np.unique(fp[at:end]).view(np.uint64), radius)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
