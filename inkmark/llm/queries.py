@@ -32,8 +32,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "warc")
-    warc.write(table(spark, sf_dir, "pages"), path)
-    return warc.read(spark, path)
+    archive = warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, archive)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-from collections.abc import Iterator
+import uuid
 from datetime import UTC, datetime
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +33,11 @@ def _id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def records(pages: DataFrame, revisits: DataFrame, date: str) -> DataFrame:
+def _opening(archive: str) -> str:
+    return f"WARC/1.1\r\nWARC-Warcinfo-ID: <urn:uuid:{archive}>\r\n"
+
+
+def records(pages: DataFrame, revisits: DataFrame, date: str, archive: str) -> DataFrame:
     """(value): each page as the text of a WARC 1.1 record without the two line ends that close it."""
     known = revisits.select(F.col("page_id").alias("__page"), "refers_to")
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).join(known, F.col("page_id") == F.col("__page"), "left")
@@ -48,7 +49,7 @@ def records(pages: DataFrame, revisits: DataFrame, date: str) -> DataFrame:
         return F.concat(F.lit(f"{name}: "), F.lit(value) if isinstance(value, str) else value, F.lit(_END))
 
     head = F.concat(
-        F.lit("WARC/1.1\r\n"),
+        F.lit(_opening(archive)),
         F.when(again, line("WARC-Type", "revisit")).otherwise(line("WARC-Type", "response")),
         line("WARC-Record-ID", _id(F.col("page_id"))),
         line("WARC-Date", date),
@@ -62,79 +63,46 @@ def records(pages: DataFrame, revisits: DataFrame, date: str) -> DataFrame:
     return p.select(F.concat(head, F.lit(_END), block).alias("value"))
 
 
-def write(pages: DataFrame, path: str, *, least_bytes: int = 100, records_a_file: int = 20_000) -> None:
-    """Writes gzip-compressed archives below path, by Spark's own writer.
+def write(pages: DataFrame, path: str, *, least_bytes: int = 100, records_a_file: int = 20_000) -> str:
+    """Writes gzip-compressed archives below path, by Spark's own writer, and gives the id that their records carry.
 
     Null html is an empty payload. Pages without an id are responses; so are all with a payload under least_bytes.
     An empty table writes archives without records.
     """
     revisits = stored(resolve(pages, least_bytes), "revisits")
-    rows = records(pages, revisits, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))
+    archive = str(uuid.uuid4())
+    rows = records(pages, revisits, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), archive)
     rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+    return archive
 
 
-def parse(content: bytes, piece: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a gzip-compressed archive."""
-    buffer, rest, gz = bytearray(), content, zlib.decompressobj(31)
-    at = 0
-
-    def more() -> bool:
-        nonlocal rest, gz
-        while rest:
-            if gz.eof:
-                gz = zlib.decompressobj(31)
-            data = gz.decompress(rest, piece)
-            rest = gz.unused_data if gz.eof else gz.unconsumed_tail
-            if data:
-                buffer.extend(data)
-                return True
-        if not gz.eof and (data := gz.flush()):
-            buffer.extend(data)
-            return True
-        return False
-
-    while True:
-        while (end := buffer.find(b"\r\n\r\n", at)) < 0:
-            if not more():
-                return
-        head = buffer[at:end].decode("utf-8").split("\r\n")
-        fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in head[1:])}
-        size = int(fields["content-length"])
-        start = end + 4
-        while len(buffer) < start + size + 4:
-            if not more():
-                break
-        yield fields, bytes(buffer[start : start + size])
-        at = start + size + 4
-        if at > piece:
-            del buffer[:at]
-            at = 0
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, archive: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record below path.
 
-    Responses are measured by the payload that was read; a revisit has the digest of its own header, and its length
-    from the response that it refers to.
+    Records are told apart by the line that names their archive, which no payload can hold, as it is drawn anew for
+    each. A record's block has the length that its header says. Responses are measured by the payload that was read;
+    a revisit has the digest of its own header, and its length from the response that it refers to.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        for b in batches:
-            for content in b.column(0):
-                rows = []
-                for head, block in parse(content.as_py()):
-                    payload = block.partition(b"\r\n\r\n")[2]
-                    again = head["warc-type"] == "revisit"
-                    page, refers = head["warc-page-id"], head.get("warc-refers-to-page-id")
-                    digest = head["warc-payload-digest"].removeprefix("sha256:") if again else hashlib.sha256(payload).hexdigest()
-                    rows.append((int(page) if page else None, None if again else len(payload), digest, head["warc-type"], int(refers) if refers else None))
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    found = stored(files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "records")
+    rows = spark.read.option("lineSep", f"{_END}{_END}{_opening(archive)}").option("pathGlobFilter", "*.gz").text(path)
+    whole = F.regexp_replace("value", "^" + _opening(archive).replace(".", "\\."), "")
+    head = F.concat(F.lit(_END), F.substring_index(whole, _END * 2, 1), F.lit(_END))
+
+    def field(name: str) -> Column:
+        return F.nullif(F.regexp_extract("head", f"\\r\\n{name}: ([^\\r]*)\\r\\n", 1), F.lit(""))
+
+    data = F.encode("whole", "UTF-8")
+    own = rows.select(whole.alias("whole"), head.alias("head"))
+    length = field("Content-Length").cast("int") - len(_HTTP)
+    payload = F.substring(data, F.octet_length("head") + 1 + len(_HTTP), length)
+    again = field("WARC-Type") == "revisit"
+    found = own.select(
+        field("WARC-Page-Id").cast("long").alias("page_id"),
+        F.when(~again, length.cast("long")).alias("payload_bytes"),
+        F.when(again, F.substring_index(field("WARC-Payload-Digest"), ":", -1)).otherwise(F.sha2(payload, 256)).alias("payload_digest"),
+        field("WARC-Type").alias("record_type"),
+        field("WARC-Refers-To-Page-Id").cast("long").alias("refers_to"),
+    )
+    found = stored(found.where("record_type is not null"), "records")
     own = found.where("record_type = 'response'")
     lengths = own.where("page_id is not null").select(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes")).distinct()
     again = found.where("record_type = 'revisit'").join(lengths, (F.col("refers_to") == F.col("__page")) & (F.col("payload_digest") == F.col("__digest")), "left")
