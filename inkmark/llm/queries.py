@@ -52,7 +52,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = syncmers.fingerprints(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
     shown = [syncmers.digits(F.col(c)).alias(n) for c, n in (("own", "fingerprint"), ("edited", "edited_fingerprint"))]
-    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), *shown, "near_edited", "near_next")
+    return found.select("doc_id", "n_chars", "edited_sha256", *shown, "near_edited", "near_next")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,64 +2,50 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkmark.llm.common import let, stored
-
-#: Lengths in bytes of the k-mers and of their inner substrings, and how many of the least hashes a fingerprint has.
-K, S, SIZE = 16, 9, 128
-#: Texts are read in overlapping pieces: whether a k-mer is chosen depends on nothing outside it.
-PIECE = 8192
-
-
-def _hash(data: Column, at: Column, length: int) -> Column:
-    return F.xxhash64(F.substring(data, at, F.lit(length)))
-
-
-def _chosen(data: Column) -> Column:
-    """32-bit hashes of the closed syncmers of binary data: of all inner substrings the least is the first or last."""
-    width = K - S + 1
-
-    def pick(h: Column) -> Column:
-        def closed(i: Column) -> Column:
-            inner = [h[i + j] for j in range(1, width - 1)]
-            return F.least(h[i], h[i + (width - 1)]) <= F.least(*inner)
+from inkmark.llm.common import stored
 
-        places = F.filter(F.sequence(F.lit(0), F.octet_length(data) - K), closed)
-        return F.transform(places, lambda i: F.shiftrightunsigned(_hash(data, i + 1, K), 32))
+#: Lengths in bytes of the k-mers and of their inner substrings, and the fingerprint's number of bins.
+K, S, BINS = 13, 8, 64
 
-    inner = F.transform(F.sequence(F.lit(1), F.octet_length(data) - (S - 1)), lambda i: _hash(data, i, S))
-    return F.when(F.octet_length(data) >= K, let(inner, pick)).otherwise(F.array().cast("array<bigint>"))
 
+def _hash(at: int, length: int) -> Column:
+    return F.xxhash64(F.substring(F.col("data"), F.col("i") + at, F.lit(length)))
 
-def _least(hashes: Column) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SIZE)
 
+def binned(texts: DataFrame) -> DataFrame:
+    """texts(id, ..., text) with h and bin: a row for each closed syncmer, and one with first for each text.
 
-def sketch(text: Column) -> Column:
-    """The SIZE least hashes of a text's closed syncmers, ascending; of a text without any, the hash of it all.
-
-    A piece of a long text is brought down to its own SIZE least before the next is read. The empty text has none.
+    A k-mer is chosen if the least of its inner substrings' hashes is the first or the last: nothing outside it
+    decides, so equal passages give equal anchors wherever they stand. Positions are a generator, filtered in the
+    same compiled stage. A text shorter than a k-mer, if not empty, has the hash of it all.
     """
-
-    def of(data: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor(F.octet_length(data) / PIECE).cast("int"))
-        pieces = F.flatten(F.transform(starts, lambda p: _least(_chosen(F.substring(data, p * PIECE + 1, F.lit(PIECE + K - 1))))))
-        whole = F.when(F.octet_length(data) > 0, F.array(F.shiftrightunsigned(F.xxhash64(data), 32))).otherwise(F.array().cast("array<bigint>"))
-        return let(_least(pieces), lambda x: F.when(F.size(x) > 0, x).otherwise(whole))
-
-    return let(F.encode(text, "UTF-8"), of)
+    names = [c for c in texts.columns if c != "text"]
+    data = texts.select(*names, F.encode("text", "UTF-8").alias("data")).withColumn("size", F.octet_length("data"))
+    each = data.select(*names, "data", "size", F.explode(F.sequence(F.lit(1), F.greatest(F.col("size") - (K - 1), F.lit(1)))).alias("i"))
+    inner = [_hash(j, S) for j in range(K - S + 1)]
+    closed = F.least(inner[0], inner[-1]) <= reduce(F.least, inner[1:-1])
+    first, short = F.col("i") == 1, F.col("size") < K
+    chosen = each.where(first | closed).select(*names, first.alias("first"), F.when(F.col("size") == 0, F.lit(None)).when(short, F.shiftrightunsigned(F.xxhash64("data"), 32)).when(~first | closed, F.shiftrightunsigned(_hash(0, K), 32)).alias("h"))
+    return chosen.withColumn("bin", F.col("h").bitwiseAND(F.lit(BINS - 1)).cast("int"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of the SIZE least hashes of both, the share that both have: estimates the resemblance of their syncmer sets."""
-    both = let(_least(F.array_union(a, b)), lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
-    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(both)
+    """Of the bins that either has, the share with equal minima: estimates the resemblance of the sets of syncmers."""
+    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
+    there = F.size(F.filter(pairs, lambda p: p["a"].isNotNull() | p["b"].isNotNull()))
+    same = F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))
+    return F.when(there == 0, 1.0).otherwise(same / F.when(there == 0, 1).otherwise(there))
 
 
-def digits(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+def digits(bins: Column) -> Column:
+    """Eight characters a bin; the empty text has no fingerprint."""
+    shown = F.transform(bins, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x), 8, "0")), F.lit("--------")))
+    return F.when(F.exists(bins, lambda x: x.isNotNull()), F.array_join(shown, "")).otherwise(F.lit(""))
 
 
 def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
@@ -80,30 +66,65 @@ def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return follow.select("id", F.coalesce("next", "after").alias("next_id"), "n"), repeats
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_text, own, edited, near_edited, near_next); own and edited are sketches.
+def edited(docs: DataFrame, follow: DataFrame, repeats: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, changed): each text, and it with its second half replaced by the beginning of the next document's.
 
-    The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next document
-    by id (all, if it has fewer; the first document follows the last). Null texts count as empty. Ids that repeat
-    have the same next document, the row of the next id with the least text. Rows without an id have an empty next
-    document. An empty table gives no rows.
+    The next text travels as far as it is asked for, and no further. Both joins read the texts by id, from the same
+    shuffle. For rows with an id.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", text.alias("text")).select("id", "text", sketch(F.col("text")).alias("own"))
-    follow, repeats = successors(docs, id_col, text_col)
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     asked = follow.select(F.col("id").alias("for_id"), "next_id", F.floor(F.col("n") / 2).cast("int").alias("most"))
-    met = own.join(asked, own.id == asked.next_id).select("for_id", F.left("text", F.col("most")).alias("head"), F.col("own").alias("next_own"), *(["text"] if repeats else []))
+    met = own.join(asked, own.id == asked.next_id).select("for_id", F.left("text", F.col("most")).alias("head"), *(["text"] if repeats else []))
     if repeats:
-        met = met.groupBy("for_id").agg(F.min(F.struct("text", "head", "next_own")).alias("m")).select("for_id", "m.head", "m.next_own")
-    both = own.join(met, own.id == met.for_id, "left")
+        met = met.groupBy("for_id").agg(F.min(F.struct("text", "head")).alias("m")).select("for_id", "m.head")
+    return own.join(met, own.id == met.for_id, "left").select("id", "text", _changed(F.coalesce("head", F.lit(""))).alias("changed"))
+
+
+def _changed(head: Column) -> Column:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.left("text", n - half), F.left(F.coalesce("head", F.lit("")), half))
-    none = F.array().cast("array<bigint>")
-    both = both.select("id", n.cast("long").alias("n_chars"), edited.alias("edited_text"), "own", F.coalesce("next_own", none).alias("next_own"))
+    return F.concat(F.left("text", n - half), F.left(head, half))
+
+
+def sketches(both: DataFrame) -> DataFrame:
+    """both(id, text, changed) -> (id, t0, t1, rows, n_chars, edited_sha256, own, edited).
+
+    Of each text and bin the least hash: where the input lies by id, as after a join, no row is shuffled again. t0 and
+    t1 are hashes of the text, rows counts rows that are equal; own and edited are arrays of bins, null where empty.
+    """
+    digest = F.sha2("changed", 256)
+    parts = [F.conv(F.substring(digest, 1 + 16 * k, 16), 16, -10).cast("long").alias(f"d{k}") for k in range(4)]
+    facts = ["n_chars", "d0", "d1", "d2", "d3"]
+    own = both.select("id", F.xxhash64("text").alias("t0"), F.xxhash64("text", F.lit("text")).alias("t1"), F.length("text").cast("long").alias("n_chars"), *parts, F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("text")), F.struct(F.lit(1).alias("v"), F.col("changed").alias("text")))).alias("x"))
+    rows = binned(own.select("id", "t0", "t1", *facts, "x.v", "x.text"))
+    kept = [F.max(F.when(F.col("first"), F.col(c))).alias(c) for c in facts]
+    cells = rows.groupBy("id", "t0", "t1", "v", "bin").agg(F.min("h").alias("h"), F.sum(F.when(F.col("first") & (F.col("v") == 0), 1).otherwise(0)).alias("rows"), *kept)
+    cell = F.struct("bin", "h")
+    lists = cells.groupBy("id", "t0", "t1").agg(F.sum("rows").cast("int").alias("rows"), *[F.max(c).alias(c) for c in facts], *[F.collect_list(F.when((F.col("v") == v) & F.col("h").isNotNull(), cell)).alias(f"l{v}") for v in (0, 1)])  # BINS at most
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"d{k}"), 16, "0") for k in range(4)]))
+
+    def bins(cells: Column) -> Column:
+        known = F.map_from_entries(cells)
+        return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda k: F.element_at(known, k))
 
-    def scored(e: Column) -> Column:
-        return F.struct(e.alias("edited"), likeness(F.col("own"), e).alias("near"))
+    return lists.select("id", "t0", "t1", "rows", "n_chars", sha.alias("edited_sha256"), bins(F.col("l0")).alias("own"), bins(F.col("l1")).alias("edited"))
 
-    both = both.select("id", "n_chars", "edited_text", "own", "next_own", let(sketch(F.col("edited_text")), scored).alias("e"))
-    return both.select("id", "n_chars", "edited_text", "own", F.col("e.edited").alias("edited"), F.col("e.near").alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"))
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_chars, edited_sha256, own, edited, near_edited, near_next); own and edited are arrays of bins.
+
+    The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next document
+    by id (all, if it has fewer; the first document follows the last). Null texts count as empty. Ids that repeat
+    have the same next document, the row of the next id with the least text; near_next holds them against one of its
+    rows. Rows without an id have an empty next document. Repeated rows give repeated rows, an empty table none.
+    """
+    follow, repeats = successors(docs, id_col, text_col)
+    alone = docs.where(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    alone = sketches(alone.select("id", "text", _changed(F.lit("")).alias("changed")))
+    prints = stored(sketches(edited(docs, follow, repeats, id_col, text_col)).unionByName(alone), "prints")
+    least = prints.groupBy("id").agg(F.min_by("own", F.struct("t0", "t1")).alias("next_own")) if repeats else prints.where("id is not null").select("id", F.col("own").alias("next_own"))
+    nexts = follow.select(F.col("id").alias("for_id"), "next_id").join(least.withColumnRenamed("id", "of"), F.col("next_id") == F.col("of")).select("for_id", "next_own")
+    joined = prints.join(nexts, prints.id == nexts.for_id, "left")
+    none = F.array(*[F.lit(None).cast("long")] * BINS)
+    each = joined.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return each.select("id", "n_chars", "edited_sha256", "own", "edited", likeness(F.col("own"), F.col("edited")).alias("near_edited"), likeness(F.col("own"), F.coalesce("next_own", none)).alias("near_next"))

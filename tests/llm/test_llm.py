@@ -118,6 +118,15 @@ def test_bit_sliced_distances(radius):
     assert (linked == (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius)).all()
 
 
+def test_tasks_without_rows(spark):
+    df = spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert sorted(map(tuple, components.connected(simhash.links(df)).collect())) == [(1, 1), (3, 1), (1 << 40, 1)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_hot_buckets_are_dealt(spark):
     base = 0x0123456789ABCDEF
     fps = sorted({base ^ (1 << a) ^ (1 << b) ^ (1 << c) for a in range(0, 12) for b in range(12, 20) for c in range(20, 26)})
@@ -209,7 +218,7 @@ def test_packing_limits_loss(docs):
 # 8: syncmers
 
 
-def brute_sketch(text):
+def brute_bins(text):
     data = text.encode()
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     h = [signed(xxhash.xxh64_intdigest(data[i : i + syncmers.S], 42)) for i in range(len(data) - syncmers.S + 1)]
@@ -219,9 +228,14 @@ def brute_sketch(text):
         w = h[i : i + width]
         if min(w) in (w[0], w[-1]):
             out.add(xxhash.xxh64_intdigest(data[i : i + syncmers.K], 42) >> 32)
-    if not out and data:
+    if data and len(data) < syncmers.K:
         out = {xxhash.xxh64_intdigest(data, 42) >> 32}
-    return sorted(out)[: syncmers.SIZE]
+    return [min((x for x in out if x % syncmers.BINS == k), default=None) for k in range(syncmers.BINS)]
+
+
+def brute_likeness(a, b):
+    there = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+    return sum(x == y for x, y in there) / len(there) if there else 1.0
 
 
 def test_syncmers(docs, none):
@@ -232,14 +246,13 @@ def test_syncmers(docs, none):
     got = syncmers.fingerprints(docs).collect()
     assert len(got) == len(rows)
     for r in got:
-        if r.id is None:
-            continue
-        t, n = text[r.id], len(text[r.id])
-        assert r.edited_text == t[: n - n // 2] + follow[r.id][: n // 2] and r.n_chars == n
-        a, b = brute_sketch(t), brute_sketch(r.edited_text)
-        assert r.own == a and r.edited == b
-        u = sorted({*a, *b})[: syncmers.SIZE]
-        assert abs(r.near_edited - (len({*u} & {*a} & {*b}) / len(u) if u else 1)) < 1e-12
+        t = text[r.id] if r.id is not None else next(t for i, t in rows if i is None)
+        n = len(t)
+        edited = t[: n - n // 2] + (follow[r.id] if r.id is not None else "")[: n // 2]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == n
+        a, b = brute_bins(t), brute_bins(edited)
+        assert r.own == a and r.edited == b and abs(r.near_edited - brute_likeness(a, b)) < 1e-12
+        assert abs(r.near_next - brute_likeness(a, brute_bins(follow.get(r.id, "")))) < 1e-12
     assert syncmers.fingerprints(none).count() == 0
 
 
@@ -425,17 +438,17 @@ def test_equivalence_classes(spark):
 
 def test_warc(spark, tmp_path):
     big = "<p>é" + "x" * 200
-    rows = [(5, "http://a/\r\nX: y", big), (2, "http://b/", big), (9, "u", big), (1, "u", "short"), (3, "u", "short"), (4, "u", None), (6, None, "a\r\n\r\nb" * 40), (7, "u", ""), (None, "u", big)]
+    rows = [(5, "http://a/\r\nX: y", big), (2, "http://b/", big), (9, "u", big), (1, "u", "short"), (3, "u", "short"), (4, "u", None), (6, None, "a\r\n\r\nb" * 40), (7, "u", ""), (8, "u", "ends\r\n"), (10, "u", "\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\n\r\n"), (None, "u", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"value": F.lit(1), "digest": F.lit(2), "refers_to": F.lit(3)})
-    warc.write(pages, str(tmp_path / "a"))
-    got = {r.page_id: tuple(r)[1:] for r in warc.read(spark, str(tmp_path / "a")).collect()}
+    archive = warc.write(pages.repartition(2), str(tmp_path / "a"))
+    got = {r.page_id: tuple(r)[1:] for r in warc.read(spark, str(tmp_path / "a"), archive).collect()}
     assert len(got) == len(rows)
     for i, _, h in rows:
         data = (h or "").encode()
         refers = 2 if h == big and i in (5, 9) else None
         assert got[i] == (len(data), hashlib.sha256(data).hexdigest(), "revisit" if refers else "response", refers)
-    warc.write(pages.limit(0), str(tmp_path / "b"))
-    assert warc.read(spark, str(tmp_path / "b")).count() == 0
+    archive = warc.write(pages.limit(0), str(tmp_path / "b"))
+    assert warc.read(spark, str(tmp_path / "b"), archive).count() == 0
 
 
 # Registered queries with SQL, and the pipeline
