@@ -30,6 +30,11 @@ NOISE_WORDS = {"ad", "ads", "advert", "advertisement", "advertising", "sponsor",
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 
 
+#: Elements that are never the template's by their text; a text is the template's on so many pages of a host at least.
+WHOLE, TEXT_PAGES = {"html", "body", *MAIN}, 3
+_MASK = (1 << 64) - 1
+
+
 @dataclass
 class Event:
     """kind: +1 opens, -1 closes, 0 stands alone or is text. key: name with class and id; a text has none."""
@@ -80,11 +85,45 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _spans(found: list[Event]) -> list[tuple[str, int, int]]:
+    """(key, first, last) of the elements that are closed: the places of their two tokens. Any two are nested or apart."""
+    stack, spans = [], []
+    for i, e in enumerate(found):
+        if e.kind > 0:
+            stack.append((e.key, i))
+        elif e.kind < 0:
+            while stack:
+                key, at = stack.pop()
+                if "/" + key == e.key:
+                    spans.append((key, at, i))
+                    break
+    return spans
+
+
+def _texts(found: list[Event], counts: Counter) -> Iterator[tuple[str, int, int]]:
+    """(key, first, rest) of the blocks with a text whose token occurs once: the text token's key, the place of the
+    element, and a hash of the page's other text."""
+    parts = [e.text if not e.key else "" for e in found]
+    hashes = [xxhash.xxh64_intdigest(x) if x.strip() else 0 for x in parts]
+    before = [0]
+    for x in hashes:
+        before.append(before[-1] + x)
+    for key, first, last in _spans(found):
+        if counts[key] == 1 and found[first].name in BLOCKS - WHOLE:
+            text = " ".join("".join(parts[first:last]).split())
+            if text:
+                rest = before[-1] - before[last] + before[first]
+                yield f"#{key} {xxhash.xxh64_hexdigest(text)}", first, (rest & _MASK) >> 1
+
+
 def classes(pages: DataFrame) -> DataFrame:
-    """(host, key, class): tokens that stand in at least half of a host's pages, and their equivalence class.
+    """(host, key, class, at): tokens that stand in at least half of a host's pages, and their equivalence class.
 
     A token's occurrence vector has its count in each page of the host. Vectors are compared by a hash that is
     gathered page by page in any order, so tokens and hosts of any frequency are pre-aggregated before the shuffle.
+    at is the token's place in the page of the least hash, which is the same page for all tokens of a class. Text
+    tokens, an element's key with its text, begin with #; they stand in TEXT_PAGES pages at least, whose other texts
+    aren't all the same (or copies of a page would be templates).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,73 +131,99 @@ def classes(pages: DataFrame) -> DataFrame:
             seen: dict[tuple[str, str], list[int]] = {}
             for url, page in zip(b.column(0), b.column(1), strict=True):
                 url, page = url.as_py(), page.as_py() or ""
-                own, h = xxhash.xxh64_hexdigest(f"{url} {page}"), host(url)
-                counts = Counter(e.key for e in events(page) if e.key)
+                own, h, found = xxhash.xxh64_hexdigest(f"{url} {page}"), host(url), list(events(page))
+                counts = Counter(e.key for e in found if e.key)
+                places: dict[str, int] = {"": 0}
+                for at, e in enumerate(found):
+                    places.setdefault(e.key, at)
+                rests = {key: (at, rest) for key, at, rest in _texts(found, counts)}
                 counts[""] = 1
-                for key, n in counts.items():
-                    x = seen.setdefault((h, key), [0, 0])
+                page_hash = int(own, 16) >> 1
+                for key, n in [*counts.items(), *((key, 1) for key in rests)]:
+                    at, rest = rests.get(key) or (places[key], 0)
+                    x = seen.setdefault((h, key), [0, 0, page_hash, at, rest, rest])
                     x[0] ^= xxhash.xxh64_intdigest(f"{own} {n}") >> 1
                     x[1] += 1
+                    x[2], x[3] = min((x[2], x[3]), (page_hash, at))
+                    x[4], x[5] = min(x[4], rest), max(x[5], rest)
             keys = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k][0] for k in keys], pa.int64()), pa.array([seen[k][1] for k in keys], pa.int64())], ["host", "key", "vector", "n"])
+            columns = [pa.array([seen[k][i] for k in keys], pa.int64()) for i in range(6)]
+            names = ["host", "key", "vector", "n", "page", "at", "low", "high"]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *columns], names)
 
-    found = pages.select("url", "html").mapInArrow(run, "host string, key string, vector long, n long")
-    found = stored(found.groupBy("host", "key").agg(F.bit_xor("vector").alias("class"), F.sum("n").alias("n")), "tokens")
+    found = pages.select("url", "html").mapInArrow(run, "host string, key string, vector long, n long, page long, at long, low long, high long")
+    found = found.groupBy("host", "key").agg(F.bit_xor("vector").alias("class"), F.sum("n").alias("n"), F.min(F.struct("page", "at")).alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = stored(found.select("host", "key", "class", "n", "first.at", (F.col("low") < F.col("high")).alias("apart")), "tokens")
     all_ = found.where("key = ''").select("host", F.col("n").alias("pages"))
-    return found.where("key <> ''").join(all_, "host").where("2 * n >= pages").select("host", "key", "class")
+    often = found.where("key <> ''").join(all_, "host").where("2 * n >= pages")
+    return often.where((F.left("key", F.lit(1)) != "#") | F.col("apart") & (F.col("n") >= TEXT_PAGES)).select("host", "key", "class", "at")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, classes): a host's equivalence classes as arrays of tokens.
+    """(host, classes, texts): a host's equivalence classes as arrays of tokens in their order, and its text tokens.
 
     A token of a template stands in half of the pages or more, so a host has at most twice as many as a page of its
     own has on average.
     """
-    grouped = classes(pages).groupBy("host", "class").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    return grouped.groupBy("host").agg(F.sort_array(F.collect_list("keys")).alias("classes"))
+    found = stored(classes(pages), "classes")
+    text = F.left("key", F.lit(1)) == "#"
+    grouped = found.where(~text).groupBy("host", "class").agg(F.sort_array(F.collect_list(F.struct("at", "key"))).alias("keys"))
+    grouped = grouped.groupBy("host").agg(F.sort_array(F.collect_list("keys.key")).alias("classes"))
+    texts = found.where(text).groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("texts"))
+    return grouped.join(texts, "host", "left")
 
 
-def _frame(found: list[Event], template: list[list[str]]) -> set[str]:
-    """Tokens of the valid classes that occur once: ordered, and nested in each other, they hold the slots apart."""
+def _frame(found: list[Event], template: list[list[str]]) -> dict[int, int]:
+    """The blocks that hold the slots apart: the place of the opening token of each, and of its closing one.
+
+    Their tokens are of classes that are valid in the page: all tokens of the class occur, once, and in its order.
+    Tokens that aren't paired in the page are left out, so that any two blocks are nested or apart.
+    """
     counts = Counter(e.key for e in found if e.key)
-    frame: set[str] = set()
+    places = {e.key: i for i, e in enumerate(found) if e.key}
+    valid: set[str] = set()
     for keys in template:
-        once = [k for k in keys if counts[k] == 1]
-        if once and len(once) == len(keys):
-            frame.update(once)
-    return {k for k in frame if (k[1:] if k[0] == "/" else "/" + k) in frame or k[0] != "/"}
+        if all(counts[k] == 1 for k in keys):
+            at = [places[k] for k in keys]
+            if at == sorted(at):
+                valid.update(keys)
+    return {first: last for key, first, last in _spans(found) if found[first].name in BLOCKS and key in valid and "/" + key in valid}
 
 
-def text_of(page: str | None, template: list[list[str]] | None) -> str:
+def text_of(page: str | None, template: list[list[str]] | None, texts: list[str] | None = None) -> str:
     """The blocks of the slots that hold the page's main text.
 
-    Consecutive tokens of the frame bound a slot, which has the elements that are open there. Slots inside article or
-    main elements are the main text; in a page without one, it is the slot with most text outside links, and those
-    with a third as much. Noise elements are left out at any depth.
+    Each block of the frame is a slot, which has the text that lies in it and in no other slot inside it. A slot whose
+    text token is the template's, too, goes with all that is in it (unless nothing is left). Of the remaining slots,
+    those inside article or main elements are the main text; in a page without one, it is the slot with most text
+    outside links, and those with a third as much. Noise elements are left out at any depth.
     """
     found = list(events(page or ""))
     frame = _frame(found, template or [])
+    known = set(texts or [])
+    fixed = {at for key, at, _ in _texts(found, Counter(e.key for e in found if e.key)) if key in known and at in frame} if known else set()
     stack: list[tuple[str, bool]] = []
-    slot, blocks, buffer = 0, [], []
+    slots: list[tuple[int, str, bool]] = [(0, "", False)]  # parent, element, whether it is the template's
+    opened, blocks, buffer = [(0, -1)], [], []
     links: Counter = Counter()
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            blocks.append((slot, any(n in MAIN for n, _ in stack), text))
+            blocks.append((opened[-1][0], any(n in MAIN for n, _ in stack), text))
 
-    for e in found:
+    for at, e in enumerate(found):
         if not e.key:
             if not any(noise for _, noise in stack):
                 text = entities.unescape(e.text)
                 buffer.append(text)
                 if any(n == "a" for n, _ in stack):
-                    links[slot] += len(text)
+                    links[opened[-1][0]] += len(text)
             continue
         if e.name == "br":
             buffer.append(" ")
-        if e.name in BLOCKS or e.key in frame and e.kind and e.name in BLOCKS:
+        if e.name in BLOCKS:
             flush()
         if e.kind > 0:
             if e.name in MAIN:  # an element left open before doesn't swallow it
@@ -169,9 +234,13 @@ def text_of(page: str | None, template: list[list[str]] | None) -> str:
         elif e.kind < 0:
             while stack and stack.pop()[0] != e.name:
                 pass
-        if e.key in frame:
-            slot += 1
+        if at in frame:
+            slots.append((opened[-1][0], e.name, slots[opened[-1][0]][2] or at in fixed))
+            opened.append((len(slots) - 1, frame[at]))
+        elif at == opened[-1][1]:
+            opened.pop()
     flush()
+    blocks = [b for b in blocks if not slots[b[0]][2]] or blocks
     if any(main for _, main, _ in blocks):
         return "\n".join(t for _, main, t in blocks if main)
     mass = Counter()
@@ -193,11 +262,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [text_of(x.as_py(), t.as_py()) for x, t in zip(b.column(2), b.column(3), strict=True)]
+            texts = [text_of(x.as_py(), t.as_py(), k.as_py()) for x, t, k in zip(b.column(2), b.column(3), b.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     known = stored(templates(pages), "templates")
     h = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     joined = pages.select("page_id", "url", "html").withColumn("host", h).join(known, "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "classes").mapInArrow(run, f"page_id {kind}, url string, text string")
+    return joined.select("page_id", "url", "html", "classes", "texts").mapInArrow(run, f"page_id {kind}, url string, text string")

@@ -433,6 +433,25 @@ def test_equivalence_classes(spark):
     assert sorted(found) == [["/body", "/html", "/nav", "body", "html", "nav"], ["/p", "p"]]
 
 
+def test_template_text_in_articles(spark):
+    body = "<html><body><article><h1>Title {i}</h1><p>One {i}</p><p>Same in all</p>{x}<p>End {i}</p></article></body></html>"
+    rows = [(i, f"http://h/{i}", body.format(i=i, x="<div class='k9'><p>Follow us</p><p>Every day</p></div>")) for i in range(6)]
+    rows += [(6, "http://h/6", body.format(i=6, x="<div class='k9'>Only here</div>"))]
+    rows += [(10 + i, f"http://copies/{i}", rows[0][2]) for i in range(4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"Title {i}\nOne {i}\nSame in all\nEnd {i}"
+    assert got[6] == "Title 6\nOne 6\nSame in all\nOnly here\nEnd 6"
+    assert all(got[10 + i] == "Title 0\nOne 0\nSame in all\nFollow us\nEvery day\nEnd 0" for i in range(4))
+
+
+def test_classes_out_of_order():
+    template = [["body", "div.a", "/div.a", "div.b", "/div.b", "/body"]]
+    page = "<body><div class=b>x</div><div class=a>y</div></body>"
+    assert html._frame(list(html.events(page)), template) == {}
+    assert html._frame(list(html.events(page.replace("=b", "=a", 1).replace("=a>y", "=b>y"))), template) == {0: 7, 1: 3, 4: 6}
+
+
 # 4: archives
 
 
