@@ -26,6 +26,7 @@ RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 NOISE = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "object", "canvas", *RAW}
 MAIN = {"article", "main"}
+REGIONS = {"html", "body", "div", "section", *MAIN}
 NOISE_WORDS = {"ad", "ads", "advert", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "notice", "consent", "gdpr", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "reply", "respond", "share", "social", "related", "newsletter", "subscribe", "popup", "modal", "login", "signup", "search", "widget", "toolbar", "masthead", "disclaimer"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
 
@@ -195,8 +196,9 @@ def text_of(page: str | None, template: list[list[str]] | None, texts: list[str]
 
     Each block of the frame is a slot, which has the text that lies in it and in no other slot inside it. A slot whose
     text token is the template's, too, goes with all that is in it (unless nothing is left). Of the remaining slots,
-    those inside article or main elements are the main text; in a page without one, it is the slot with most text
-    outside links, and those with a third as much. Noise elements are left out at any depth.
+    those inside article or main elements are the main text. In a page without one, it is all that lies in the smallest
+    slot that encloses the main ones, which have more text outside links than in them, whatever its length. Noise
+    elements are left out at any depth.
     """
     found = list(events(page or ""))
     frame = _frame(found, template or [])
@@ -243,12 +245,27 @@ def text_of(page: str | None, template: list[list[str]] | None, texts: list[str]
     blocks = [b for b in blocks if not slots[b[0]][2]] or blocks
     if any(main for _, main, _ in blocks):
         return "\n".join(t for _, main, t in blocks if main)
-    mass = Counter()
+    mass: Counter = Counter()
     for s, _, t in blocks:
         mass[s] += len(t)
-    weight = {s: n - 2 * links[s] for s, n in mass.items()}
-    most = max(weight.values(), default=0)
-    return "\n".join(t for s, _, t in blocks if 3 * weight[s] >= most)
+    main_slots = [s for s, n in mass.items() if n > 2 * links[s]]
+    region = _region(main_slots, slots)
+    return "\n".join(t for s, _, t in blocks if region in _above(s, slots))
+
+
+def _above(slot: int, slots: list[tuple[int, str, bool]]) -> list[int]:
+    """The slot and those that it lies in, up to the page."""
+    found = [slot]
+    while found[-1]:
+        found.append(slots[found[-1]][0])
+    return found
+
+
+def _region(main_slots: list[int], slots: list[tuple[int, str, bool]]) -> int:
+    """The smallest slot of a kind that holds blocks and encloses all of main_slots; the page if there are none."""
+    paths = [_above(s, slots) for s in main_slots]
+    shared = set(paths[0]).intersection(*paths[1:]) if paths else set()
+    return next((s for s in (paths[0] if paths else []) if s in shared and slots[s][1] in REGIONS), 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:

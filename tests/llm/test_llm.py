@@ -445,6 +445,20 @@ def test_template_text_in_articles(spark):
     assert all(got[10 + i] == "Title 0\nOne 0\nSame in all\nFollow us\nEvery day\nEnd 0" for i in range(4))
 
 
+def test_short_slots_of_a_page_without_article(spark):
+    long = "only text here " * 200
+    top = "<ul><li><a href='/'>Home page</a></li></ul>"
+    rows = [
+        (1, "http://a/", f"<html><body>{top}<div class=c><h1>A heading</h1><div class=d>{long}</div><blockquote>Cited</blockquote><h2>End</h2></div></body></html>"),
+        (2, "http://b/", f"<html><body>{top}<section><p>{long}</p></section><section id=s><p>Short one</p></section></body></html>"),
+        (3, "http://c/", "<html><body><p><a href=/x>All of it</a></p><h2><a href=/y>in links</a></h2></body></html>"),
+    ]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == f"A heading\n{long.strip()}\nCited\nEnd"
+    assert got[2].split("\n")[-2:] == [long.strip(), "Short one"]
+    assert got[3] == "All of it\nin links"
+
+
 def test_classes_out_of_order():
     template = [["body", "div.a", "/div.a", "div.b", "/div.b", "/body"]]
     page = "<body><div class=b>x</div><div class=a>y</div></body>"
