@@ -371,6 +371,27 @@ def test_similar_lines_in_a_large_bucket(spark):
     assert got.where("text <> ''").count() == 1
 
 
+def shingled(x):
+    return {x[k : k + 5] for k in range(max(1, len(x) - 4))}
+
+
+def kept_lines(spark, texts):
+    got = lines.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return {r.doc_id for r in got.where("text <> ''").collect()}
+
+
+def test_unlike_clusters_in_a_large_bucket(spark):
+    r = random.Random(8)
+    shared = " ".join(f"s{r.randrange(10**6)}" for _ in range(60))
+    texts = [f"{shared} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(12)) for _ in range(60)]
+    near = [(2 * k, len(texts) + k) for k in range(10)]
+    texts += [" ".join([*texts[a].split()[:-1], f"z{a}"]) for a, _ in near]
+    sets = [shingled(x) for x in texts]
+    like = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert like == set(near)
+    assert kept_lines(spark, texts) == set(range(60))
+
+
 # 3: toxicity
 
 
