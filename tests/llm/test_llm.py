@@ -392,6 +392,19 @@ def test_unlike_clusters_in_a_large_bucket(spark):
     assert kept_lines(spark, texts) == set(range(60))
 
 
+def test_short_lines_with_a_changed_word(spark):
+    r, pairs = random.Random(3), []
+    for k in range(20):
+        text = prose(30, 500 + k)[:100]
+        pairs.append((text, f"{text[:40]}0{text[41:]}"))
+    thai = "".join(chr(r.randrange(0x0E01, 0x0E2F)) for _ in range(70))
+    pairs.append((thai, f"{thai[:30]}0{thai[31:]}"))
+    words = "the seven small ships left for harbour yards on monday when every wind had fallen, said the old man there"
+    pairs.append((words, words.replace("small", "large")))
+    assert all(len(shingled(a) & shingled(b)) >= 0.8 * len(shingled(a) | shingled(b)) for a, b in pairs)
+    assert len(kept_lines(spark, [x for p in pairs for x in p])) == len(pairs)
+
+
 # 3: toxicity
 
 
