@@ -405,6 +405,15 @@ def test_short_lines_with_a_changed_word(spark):
     assert len(kept_lines(spark, [x for p in pairs for x in p])) == len(pairs)
 
 
+def test_long_and_periodic_lines(spark):
+    texts = ["=" * 150, "=" * 300, "=" * 1000, "buy it now " * 10, "buy it now " * 20, "-" * 700, "-" * 900]
+    long = [prose(150, 700 + k) for k in range(40)]
+    cut = [" ".join(x.split()[:128]) for x in long]  # about 0.85
+    assert all(len(shingled(a) & shingled(b)) >= 0.8 * len(shingled(a) | shingled(b)) for a, b in zip(long, cut, strict=True))
+    kept = kept_lines(spark, texts + long + cut)
+    assert kept & set(range(7)) == {0, 3, 5} and len(kept) <= 3 + len(long) + 1
+
+
 # 3: toxicity
 
 
