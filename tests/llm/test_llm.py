@@ -390,6 +390,10 @@ def test_unlike_clusters_in_a_large_bucket(spark):
     like = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert like == set(near)
     assert kept_lines(spark, texts) == set(range(60))
+    own = lines.exploded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").cache()
+    signed = own.select("a", "b", F.lit(1).alias("n"), "doc", F.array(F.lit(7)).alias("keys"))  # all in one bucket
+    docs_of = {(r.a, r.b): r.doc for r in own.collect()}
+    assert {tuple(sorted((docs_of[tuple(r.u)], docs_of[tuple(r.v)]))) for r in lines.links(own, signed).collect()} == set(near)
 
 
 def test_short_lines_with_a_changed_word(spark):
