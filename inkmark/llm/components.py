@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmark.llm.common import stored
+from inkmark.llm.common import BROADCAST_ROWS, discard, stored
+
+#: A node of more links is a hub: its least neighbour is broadcast, so that its links needn't meet in one task.
+HUB = 10_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -15,27 +18,39 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """(u, v, m): the edges with the least v of their u, for at most n values of u.
+
+    Minima are partial aggregates. They are broadcast if n is small enough; else those of hubs are, of which there is
+    one for HUB edges at most, and the others are joined by a shuffle in which no u has more than HUB rows.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    if n <= BROADCAST_ROWS:
+        return edges.join(F.broadcast(least.select("u", "m")), "u")
+    hubs = F.broadcast(least.where(F.col("c") > HUB).select("u", F.col("m").alias("hub")))
+    marked = edges.join(hubs, "u", "left")
+    rest = marked.where("hub is null").select("u", "v").join(least.where(F.col("c") <= HUB).select("u", "m"), "u")
+    return rest.unionByName(marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Links every larger neighbour of a node with the node's least neighbour (itself included)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Links a node's smaller neighbours, and the node itself, with the least of them. Needs u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    moved = _with_least(edges, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(edges.groupBy("u").agg(F.min("v").alias("v")))
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """edges(u, v) -> (node, root): for every node that has an edge, the least node it is linked with.
 
     Nodes may be of any ordered type; self-links and repeated links are harmless, links with a null end are dropped.
-    No edges: no rows. Minima are pre-aggregated before the shuffle and joined back by plain equi-joins, so a hub
-    with very many links is split by adaptive execution. Each round is written to the shared folder; the number of
-    rounds is logarithmic in the component's diameter.
+    No edges: no rows. Each round is written to the shared folder, which the next one clears; the number of rounds is
+    logarithmic in the component's diameter.
     """
     now = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now, seen = stored(now.distinct(), "links"), None
@@ -44,4 +59,8 @@ def connected(edges: DataFrame) -> DataFrame:
         if mark == seen or mark[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = mark
-        now = stored(_small_star(_large_star(now).distinct()).distinct(), "links")
+        stars = stored(_large_star(now, 2 * mark[0]).distinct(), "stars")
+        after = stored(_small_star(stars, 2 * mark[0]).distinct(), "links")
+        discard(now)
+        discard(stars)
+        now = after

@@ -16,8 +16,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.withColumnsRenamed({"__lines": "n_lines", "__gone": "n_removed"})
+    return lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
