@@ -22,9 +22,11 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal and similar lines the first stays; n_chars follows the text."""
-    found = lines.deduplicated(docs)
-    n = F.when(F.col("__gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    found = found if n is None else found.withColumn("n_chars", n)
+    n_lines, n_gone = (next(n for n in (x + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("lines", "gone"))
+    found = lines.deduplicated(docs, counts=(n_lines, n_gone))
+    if "n_chars" in docs.columns:
+        n = F.length("text").cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(F.col(n_gone) > 0, n).otherwise(F.col("n_chars")))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
