@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmark.llm.common import stored
@@ -172,8 +172,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """docs with one row of each component, that of the smallest id. Rows without an id are kept."""
+    """docs with one row of each component: of those with the smallest id, the one with the least fingerprint.
+
+    Rows without an id are kept. Rows that share an id but not a component are told apart by their fingerprints; of
+    rows that share both, the one with the least text stays. Null and empty texts have fingerprint 0 and are one
+    component. Very long texts are read whole, ties fall to the least text, an empty table gives none, and columns
+    may have any name: the row travels as one value.
+    """
+    names = docs.columns
     found = near_duplicates(docs, id_col, text_col, radius)
-    stay = found.where("id = component_id").select("id").distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(stay.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left_semi")
-    return named.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    stay = found.where("id is not null").groupBy("component_id").agg(F.min(F.struct("id", "fp")).alias("first")).where("first.id = component_id")
+    stay = stay.select(F.col("first.id").alias("stay_id"), F.col("first.fp").alias("stay_fp"))
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"))
+    chosen = rows.join(stay, F.col("id") == F.col("stay_id")).select("id", "stay_fp", "row", F.col("row")[text_col].alias("text"))
+    chosen = _matching(chosen)
+    least = F.row_number().over(Window.partitionBy("id").orderBy(F.col("row")[text_col].asc_nulls_first()))  # rows of one id
+    chosen = chosen.withColumn("place", least).where("place = 1").select("row")
+    both = chosen.unionByName(rows.where("id is null").select("row"))
+    return both.select(*[F.col("row")[n].alias(n) for n in names])
+
+
+def _matching(chosen: DataFrame) -> DataFrame:
+    """Of rows that share an id, those whose text has the fingerprint that stays. Ids that don't repeat aren't read."""
+    repeated = chosen.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    again = chosen.join(repeated, "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("text"), b.schema.get_field_index("stay_fp")
+            fps = np.array([fingerprint(x.as_py()) for x in b.column(at[0])], np.uint64).view(np.int64)
+            yield b.filter(pa.array(fps == b.column(at[1]).to_numpy()))
+
+    return chosen.join(repeated, "id", "left_anti").unionByName(again.mapInArrow(run, again.schema))
