@@ -16,7 +16,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def resolve(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """(page_id, refers_to): the pages whose payload of `least_bytes` or more an earlier page_id has too.
+    """(page_id, digest, refers_to): the pages whose payload of `least_bytes` or more an earlier page_id has too.
 
     Only headers are shuffled, by digest: the least page_id of a digest is a partial aggregate, and joined back to
     the digests that occur more than once.
@@ -24,7 +24,7 @@ def resolve(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     heads = pages.where(F.octet_length(html) >= least_bytes).select("page_id", F.sha2(html, 256).alias("digest")).where("page_id is not null")
     first = heads.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return heads.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return heads.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def _id(page_id: Column) -> Column:
@@ -38,10 +38,14 @@ def _opening(archive: str) -> str:
 
 
 def records(pages: DataFrame, revisits: DataFrame, date: str, archive: str) -> DataFrame:
-    """(value): each page as the text of a WARC 1.1 record without the two line ends that close it."""
-    known = revisits.select(F.col("page_id").alias("__page"), "refers_to")
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).join(known, F.col("page_id") == F.col("__page"), "left")
-    digest, again = F.sha2(F.col("html"), 256), F.col("refers_to").isNotNull()
+    """(value): each page as the text of a WARC 1.1 record without the two line ends that close it.
+
+    A page is a revisit by its id and its payload's digest: a row that repeats a page_id with another payload keeps it.
+    """
+    known = revisits.select(F.col("page_id").alias("known_page"), F.col("digest").alias("known_digest"), "refers_to")
+    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html"), 256))
+    p = p.join(known, (F.col("page_id") == F.col("known_page")) & (F.col("digest") == F.col("known_digest")), "left")
+    digest, again = F.col("digest"), F.col("refers_to").isNotNull()
     block = F.concat(F.lit(_HTTP), F.when(again, F.lit("")).otherwise(F.col("html")))
     url = F.regexp_replace(F.coalesce("url", F.lit("")), "[\\r\\n]", " ")
 
@@ -67,7 +71,9 @@ def write(pages: DataFrame, path: str, *, least_bytes: int = 100, records_a_file
     """Writes gzip-compressed archives below path, by Spark's own writer, and gives the id that their records carry.
 
     Null html is an empty payload. Pages without an id are responses; so are all with a payload under least_bytes.
-    An empty table writes archives without records.
+    Of equal payloads the smallest page_id is the response (rows that repeat that id with it are responses, too).
+    Payloads are written whole, whatever their length; other columns of pages, of any name, are left alone. An empty
+    table writes archives without records.
     """
     revisits = stored(resolve(pages, least_bytes), "revisits")
     archive = str(uuid.uuid4())
