@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from inkmark.llm.common import stored
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^<>]*>", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _PARTS = re.compile(r"[^a-z0-9]+")
@@ -33,7 +33,9 @@ NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 
 #: Elements that are never the template's by their text; a text is the template's on so many pages of a host at least.
 WHOLE, TEXT_PAGES = {"html", "body", *MAIN}, 3
-_MASK = (1 << 64) - 1
+_MASK, _VECTOR = (1 << 64) - 1, (1 << 62) - 1
+#: A text's hash is a polynomial of its words' hashes, modulo a prime.
+_PRIME, _BASE = (1 << 61) - 1, 0x1B873593CC9E2D51
 
 
 @dataclass
@@ -48,7 +50,8 @@ class Event:
 
 
 def events(page: str) -> Iterator[Event]:
-    at, raw, opened = 0, "", []
+    """The page's tokens in time linear in its length: no part of it is read again for each tag left open."""
+    at, raw, opened, held = 0, "", [], Counter()
     for m in _TOKEN.finditer(page):
         name = (m[2] or "").lower()
         if raw and not (m[1] and name == raw):
@@ -59,10 +62,12 @@ def events(page: str) -> Iterator[Event]:
         if not name:
             continue
         if m[1]:
-            k = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == name), -1)
-            if k >= 0:
-                yield Event(-1, name, "/" + opened[k][1])
-                del opened[k:]
+            while held[name]:
+                last, key = opened.pop()
+                held[last] -= 1
+                if last == name:
+                    yield Event(-1, name, "/" + key)
+                    break
             continue
         key, noise = name, name in NOISE
         if m[3].strip(" /"):
@@ -76,6 +81,7 @@ def events(page: str) -> Iterator[Event]:
         if name in RAW:
             raw = name
         opened.append((name, key))
+        held[name] += 1
         yield Event(1, name, key, noise)
     if at < len(page) and not raw:
         yield Event(0, "", "", text=page[at:])
@@ -103,18 +109,27 @@ def _spans(found: list[Event]) -> list[tuple[str, int, int]]:
 
 def _texts(found: list[Event], counts: Counter) -> Iterator[tuple[str, int, int]]:
     """(key, first, rest) of the blocks with a text whose token occurs once: the text token's key, the place of the
-    element, and a hash of the page's other text."""
-    parts = [e.text if not e.key else "" for e in found]
-    hashes = [xxhash.xxh64_intdigest(x) if x.strip() else 0 for x in parts]
-    before = [0]
-    for x in hashes:
-        before.append(before[-1] + x)
+    element, and a hash of the page's other text.
+
+    A text's hash is that of its words in order, from hashes of the page's beginnings, so that nested blocks aren't
+    read again for each other.
+    """
+    heads, powers, rests = [0], [1], [0]
+    words: list[int] = [0]
+    for e in found:
+        if not e.key and e.text.strip():
+            for w in e.text.split():
+                heads.append((heads[-1] * _BASE + xxhash.xxh64_intdigest(w)) % _PRIME)
+                powers.append(powers[-1] * _BASE % _PRIME)
+            rests.append(rests[-1] + xxhash.xxh64_intdigest(e.text))
+        else:
+            rests.append(rests[-1])
+        words.append(len(heads) - 1)
     for key, first, last in _spans(found):
-        if counts[key] == 1 and found[first].name in BLOCKS - WHOLE:
-            text = " ".join("".join(parts[first:last]).split())
-            if text:
-                rest = before[-1] - before[last] + before[first]
-                yield f"#{key} {xxhash.xxh64_hexdigest(text)}", first, (rest & _MASK) >> 1
+        if counts[key] == 1 and found[first].name in BLOCKS - WHOLE and words[first] < words[last]:
+            i, j = words[first], words[last]
+            own = (heads[j] - heads[i] * powers[j - i]) % _PRIME
+            yield f"#{key} {own:x}", first, ((rests[-1] - rests[last] + rests[first]) & _MASK) >> 1
 
 
 def classes(pages: DataFrame) -> DataFrame:
@@ -143,7 +158,7 @@ def classes(pages: DataFrame) -> DataFrame:
                 for key, n in [*counts.items(), *((key, 1) for key in rests)]:
                     at, rest = rests.get(key) or (places[key], 0)
                     x = seen.setdefault((h, key), [0, 0, page_hash, at, rest, rest])
-                    x[0] ^= xxhash.xxh64_intdigest(f"{own} {n}") >> 1
+                    x[0] = (x[0] + (xxhash.xxh64_intdigest(f"{own} {n}") >> 24)) & _VECTOR
                     x[1] += 1
                     x[2], x[3] = min((x[2], x[3]), (page_hash, at))
                     x[4], x[5] = min(x[4], rest), max(x[5], rest)
@@ -153,7 +168,7 @@ def classes(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *columns], names)
 
     found = pages.select("url", "html").mapInArrow(run, "host string, key string, vector long, n long, page long, at long, low long, high long")
-    found = found.groupBy("host", "key").agg(F.bit_xor("vector").alias("class"), F.sum("n").alias("n"), F.min(F.struct("page", "at")).alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = found.groupBy("host", "key").agg(F.sum(F.col("vector").cast("decimal(38,0)")).alias("class"), F.sum("n").alias("n"), F.min(F.struct("page", "at")).alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
     found = stored(found.select("host", "key", "class", "n", "first.at", (F.col("low") < F.col("high")).alias("apart")), "tokens")
     all_ = found.where("key = ''").select("host", F.col("n").alias("pages"))
     often = found.where("key <> ''").join(all_, "host").where("2 * n >= pages")
@@ -208,19 +223,29 @@ def text_of(page: str | None, template: list[list[str]] | None, texts: list[str]
     slots: list[tuple[int, str, bool]] = [(0, "", False)]  # parent, element, whether it is the template's
     opened, blocks, buffer = [(0, -1)], [], []
     links: Counter = Counter()
+    inside = Counter()  # how many open elements are main, links, or noise
+
+    def push(name: str, noise: bool) -> None:
+        stack.append((name, noise))
+        inside.update({"main": name in MAIN, "a": name == "a", "noise": noise})
+
+    def pop() -> str:
+        name, noise = stack.pop()
+        inside.subtract({"main": name in MAIN, "a": name == "a", "noise": noise})
+        return name
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            blocks.append((opened[-1][0], any(n in MAIN for n, _ in stack), text))
+            blocks.append((opened[-1][0], inside["main"] > 0, text))
 
     for at, e in enumerate(found):
         if not e.key:
-            if not any(noise for _, noise in stack):
+            if not inside["noise"]:
                 text = entities.unescape(e.text)
                 buffer.append(text)
-                if any(n == "a" for n, _ in stack):
+                if inside["a"]:
                     links[opened[-1][0]] += len(text)
             continue
         if e.name == "br":
@@ -230,11 +255,10 @@ def text_of(page: str | None, template: list[list[str]] | None, texts: list[str]
         if e.kind > 0:
             if e.name in MAIN:  # an element left open before doesn't swallow it
                 while stack and stack[-1][1]:
-                    stack.pop()
-            noise = e.noise or e.name == "header" and not any(n in MAIN for n, _ in stack)
-            stack.append((e.name, noise))
+                    pop()
+            push(e.name, e.noise or e.name == "header" and not inside["main"])
         elif e.kind < 0:
-            while stack and stack.pop()[0] != e.name:
+            while stack and pop() != e.name:
                 pass
         if at in frame:
             slots.append((opened[-1][0], e.name, slots[opened[-1][0]][2] or at in fixed))
@@ -250,22 +274,25 @@ def text_of(page: str | None, template: list[list[str]] | None, texts: list[str]
         mass[s] += len(t)
     main_slots = [s for s, n in mass.items() if n > 2 * links[s]]
     region = _region(main_slots, slots)
-    return "\n".join(t for s, _, t in blocks if region in _above(s, slots))
-
-
-def _above(slot: int, slots: list[tuple[int, str, bool]]) -> list[int]:
-    """The slot and those that it lies in, up to the page."""
-    found = [slot]
-    while found[-1]:
-        found.append(slots[found[-1]][0])
-    return found
+    within = [False] * len(slots)
+    for i, (parent, *_) in enumerate(slots):  # a slot's parent comes before it
+        within[i] = i == region or i > 0 and within[parent]
+    return "\n".join(t for s, _, t in blocks if within[s])
 
 
 def _region(main_slots: list[int], slots: list[tuple[int, str, bool]]) -> int:
     """The smallest slot of a kind that holds blocks and encloses all of main_slots; the page if there are none."""
-    paths = [_above(s, slots) for s in main_slots]
-    shared = set(paths[0]).intersection(*paths[1:]) if paths else set()
-    return next((s for s in (paths[0] if paths else []) if s in shared and slots[s][1] in REGIONS), 0)
+    if not main_slots:
+        return 0
+    held = [0] * len(slots)
+    for s in main_slots:
+        held[s] = 1
+    for i in range(len(slots) - 1, -1, -1):
+        if held[i] == len(main_slots) and slots[i][1] in REGIONS:
+            return i
+        if i:
+            held[slots[i][0]] += held[i]
+    return 0
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -273,7 +300,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty html gives the empty text; a null url counts as a host of its own. Character references are
     decoded, white space inside a block becomes one space, blocks follow each other at \\n. Repeated rows give repeated
-    rows, an empty table gives none. Templates are joined by host; their table is small enough to be broadcast where
+    rows, and count again in their host's occurrence vectors; an empty table gives none. Pages are read whole in time
+    linear in their length, tags left open included; other columns of pages, of any name, are left alone. Templates are joined by host; their table is small enough to be broadcast where
     Spark finds it so by its size, else a hot host's rows are split by adaptive execution.
     """
 

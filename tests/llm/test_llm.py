@@ -109,6 +109,14 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.kept(none).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = prose(80, 901), prose(80, 902), prose(80, 903)
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, a)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, stay_id int, row int")
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.kept(df).collect())
+    assert got == sorted([(1, a), (5, b), (7, c), (0, a), (0, a)])
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
 def test_bit_sliced_distances(radius):
     g = np.random.default_rng(3)
@@ -558,9 +566,61 @@ def test_classes_out_of_order():
     assert html._frame(list(html.events(page.replace("=b", "=a", 1).replace("=a>y", "=b>y"))), template) == {0: 7, 1: 3, 4: 6}
 
 
+def test_hostile_pages_are_read_in_linear_time():
+    import time
+
+    deep = "".join(f"<div class=c{'x' * (i % 50)}{chr(97 + i % 26) * (i // 26 % 40)}>y" for i in range(20000))
+    for page in ("<a b" * 250_000, "<div>x" * 170_000, "<!" * 500_000, "<div>" * 20000 + "</p>" * 20000, '<a "' * 250_000, "<article>" * 20000 + "<nav>x" * 20000, deep):
+        began = time.process_time()
+        html.text_of(page, [["body", "/body"]], ["#p 1"])
+        assert time.process_time() - began < 15 * max(1, len(page) / 1e6)
+
+
+def test_repeated_pages_keep_their_classes(spark):
+    rows = [(i, f"http://h/{i}", f"<html><body><nav>x</nav>{'<p>y</p>' * (i + 1)}</body></html>") for i in range(4)]
+    schema = "page_id long, url string, html string"
+    once, twice = (html.templates(spark.createDataFrame(r, schema)).first().classes for r in (rows, rows * 2))
+    assert sorted(map(sorted, once)) == sorted(map(sorted, twice)) and len(once) == 2
+
+
+def test_classes_equal_brute_force(spark):
+    """20 pages of one host: tokens with equal vectors of counts, in half of the pages or more."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").orderBy("page_id").limit(20).collect()
+    counts = [defaultdict(int) for _ in pages]
+    for c, p in zip(counts, pages, strict=True):
+        for e in html.events(p.html or ""):
+            if e.key:
+                c[e.key] += 1
+    vectors = defaultdict(set)
+    for key in {k for c in counts for k in c}:
+        vector = tuple(c[key] for c in counts)
+        if 2 * sum(x > 0 for x in vector) >= len(pages):
+            vectors[vector].add(key)
+    df = spark.createDataFrame([(i, "http://h/", p.html) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert sorted(map(sorted, html.templates(df).first().classes)) == sorted(map(sorted, vectors.values()))
+
+
+def test_the_template_decides():
+    """The same page with and without what its host's pages have in common."""
+    page = "<html><body><article><h1>One</h1><div class=k><p>Follow us</p></div><p>Two</p></article></body></html>"
+    found = list(html.events(page))
+    key = next(k for k, *_ in html._texts(found, html.Counter(e.key for e in found if e.key)) if k.startswith("#div.k"))
+    template = [["html", "body", "article", "h1", "/h1", "div.k", "/div.k", "/article", "/body", "/html"]]
+    assert html.text_of(page, template, [key]) == "One\nTwo" and html.text_of(page, None) == "One\nFollow us\nTwo"
+
+
 # 4: archives
 
 
+def test_a_repeated_page_id_keeps_its_other_payload(spark, tmp_path):
+    a, b = "<p>" + "x" * 200, "<p>" + "y" * 200
+    pages = spark.createDataFrame([(2, "u", a), (5, "u", a), (5, "u", b), (7, "u", b)], "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in warc.read(spark, str(tmp_path / "a"), warc.write(pages, str(tmp_path / "a"))).collect())
+    sha = {x: hashlib.sha256(x.encode()).hexdigest() for x in (a, b)}
+    expected = [(2, 203, sha[a], "response", None), (5, 203, sha[a], "revisit", 2), (5, 203, sha[b], "response", None), (7, 203, sha[b], "revisit", 5)]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 def test_warc(spark, tmp_path):
     big = "<p>é" + "x" * 200
     rows = [(5, "http://a/\r\nX: y", big), (2, "http://b/", big), (9, "u", big), (1, "u", "short"), (3, "u", "short"), (4, "u", None), (6, None, "a\r\n\r\nb" * 40), (7, "u", ""), (8, "u", "ends\r\n"), (10, "u", "\r\n\r\nWARC/1.1\r\nWARC-Type: revisit\r\n\r\n"), (None, "u", big)]
