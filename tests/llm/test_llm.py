@@ -305,29 +305,32 @@ def test_sharding(docs, none, spark):
         by[r.shard].append(r.slot)
         assert where.setdefault((r.size, r.text_crc32), r.shard) == r.shard
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and set(by) <= set(range(5))
-    r = random.Random(2)
-    for n, shards in ((30, 4), (7, 7), (3, 5), (60, 6)):
-        sizes = [r.randint(1, 100) for _ in range(n)]
-        giants, cuts = sharding.plan(spark.createDataFrame(list(enumerate(sizes)), "unit int, bytes long"), shards)
-        rest = [(u, s) for u, s in enumerate(sizes) if u not in giants]
-        parts = defaultdict(int)
-        for u, s in rest:
-            parts[sum(u >= c for c in cuts)] += s
-
-        def needed(c, rest=rest):
-            k, full = 1, 0
-            for _, s in rest:
-                k, full = (k, full + s) if full + s <= c else (k + 1, s)
-            return k
-
-        left = shards - len(giants)
-        best = next(c for c in range(max((s for _, s in rest), default=0), sum(sizes) + 1) if needed(c) <= left)
-        assert max(parts.values(), default=0) <= best and len(parts) <= left
-
-
-def test_a_giant_has_its_own_shard(spark):
-    giants, _ = sharding.plan(spark.createDataFrame([(0, 10), (1, 500), (2, 12), (3, 9), (4, 11)], "unit int, bytes long"), 4)
-    assert giants == [1]
+
+
+def least_capacity(sizes, shards):
+    """By dynamic programming: the smallest largest part of a contiguous partition."""
+    best = [0, *[float("inf")] * len(sizes)]
+    for _ in range(shards):
+        best = [min([best[j], *[max(best[i], sum(sizes[i:j])) for i in range(j)]]) for j in range(len(sizes) + 1)]
+    return best[-1]
+
+
+@pytest.mark.parametrize(("n", "shards", "most", "bits"), [(30, 4, 100, 2), (7, 7, 100, 1), (3, 5, 9, 14), (60, 6, 1000, 3), (40, 5, 3, 1), (25, 4, 0, 2)])
+def test_shards_have_the_least_capacity(spark, monkeypatch, n, shards, most, bits):
+    """Runs are looked at more closely in several rounds; a group of half of all bytes is among those of most = 0."""
+    monkeypatch.setattr(sharding, "FIRST_BITS", bits)
+    monkeypatch.setattr(sharding, "MORE_BITS", 1)
+    monkeypatch.setattr(sharding, "FEW_GROUPS", 3)
+    r = random.Random(n)
+    keys = sorted(r.getrandbits(64) - 2**63 for _ in range(n))
+    sizes = [r.randint(1, most) if most else (500 if k == 11 else 9 + k % 5) for k in range(n)]
+    cuts = sharding.plan(spark.createDataFrame(list(zip(keys, sizes, strict=True)), "h long, bytes long"), shards)
+    parts = defaultdict(int)
+    for k, s in zip(keys, sizes, strict=True):
+        parts[sum(k >= c for c in cuts)] += s
+    assert max(parts.values()) == least_capacity(sizes, shards) and max(parts) < shards
+    if not most:
+        assert parts[sum(keys[11] >= c for c in cuts)] == 500 and len(parts) == shards
 
 
 # 1: lines
