@@ -510,6 +510,58 @@ def test_grammar():
     assert best("nothing. at all") == 0
 
 
+def test_composed_transducer_equals_brute_force():
+    """All strings of up to five symbols, read by rules instead of states."""
+    import itertools
+
+    machine = toxicity.grammar()
+    for n in range(1, 6):
+        for symbols in itertools.product(toxicity.SYMBOLS, repeat=n):
+            state = machine.start
+            for k, x in enumerate(symbols):
+                before = symbols[:k]
+                where = "negated" if "negation" in before[-3:] else "reported" if "report" in before else "targeted" if "target" in before else "plain"
+                assert toxicity.context(state) == where
+                state, factor = machine.arcs[state, x]
+                expected = 0.0
+                if x in ("insult", "threat"):
+                    expected = (1.25 if x == "insult" else 1.5) if "target" in before else 1.0
+                    expected *= (0.4 if "negation" in before[-3:] else 1.0) * (0.6 if "report" in before else 1.0)
+                assert abs(factor - expected) < 1e-12
+
+
+def test_negation_and_reported_speech_decide(spark):
+    """Some clean documents have as many insults, but denied or reported ones: only the grammar tells them apart."""
+    r, rows, labels = random.Random(3), [], []
+    bad = ["grubb", "snorf", "vilora", "quarn"]
+    for i in range(1600):
+        sentences = [prose(8, 5000 + 10 * i + k) for k in range(4)]
+        kind = i % 40
+        for _ in range(3 if kind < 15 else 0):
+            said = "you are not a" if kind == 13 else "one said you are a" if kind == 14 else "you are a"
+            sentences.insert(r.randrange(4), f"{said} {r.choice(bad)}")
+        rows.append((i, ". ".join(sentences)))
+        labels.append((i, 1, int(kind < 13)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = [(t, i % 40 < 13) for i, t in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    wrong = {}
+    for left_out in ((), ("negation",), ("report",), ("negation", "report")):
+        s = toxicity.Scorer(model, machine=toxicity.grammar(tuple(p for p in toxicity.PARTS if p not in left_out)))
+        wrong[left_out] = sum((s.score(t) >= 0.5) != toxic for t, toxic in held)
+    print("wrong of", len(held), wrong)
+    assert wrong[()] <= 0.01 * len(held) and all(wrong[k] >= wrong[()] + 4 for k in wrong if k)
+
+
+def test_held_out_figures(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
+    counts = {(r.toxic, r.predicted): r["count"] for r in got.groupBy("toxic", "predicted").count().collect()}
+    print("held out (toxic, predicted):", counts)
+    right = counts.get((0, 0), 0) + counts.get((1, 1), 0)
+    assert right >= 0.95 * sum(counts.values())
+
+
 # 2: pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
