@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 
 from inkmark.llm.tokenizing import encoder
 
+#: The registered queries' limits: tokens, segments and loss-bearing tokens of a sequence. A document is an example
+#: whose first eighth of tokens, 256 at most, is context that bears no loss.
+PRODUCTION = {"tokens": 2048, "segments": 12, "loss": 1920, "context": (8, 256)}
+
 
 @dataclass
 class Piece:
@@ -47,6 +52,7 @@ class Packer:
         self.limits = np.array([tokens, segments, loss or tokens], float)
         self.size, self.pieces = np.zeros((pool, 3)), [None] * pool
         self.free, self.held = list(range(pool)), 0
+        self.closed: Counter = Counter()  # sequences by the limit that ended them
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
         """Takes a piece; gives the sequences that this completes."""
@@ -86,17 +92,18 @@ class Packer:
             if fits.any():
                 piece = self._take(int(np.argmax(np.where(fits, weight, -1.0))))
             else:
-                at = int(np.argmax(np.where(self.size[:, 0] > 0, weight, -1.0)))
-                free = self.pieces[at]
-                n_most = int(min(room[0], room[2] + max(0, free.bears - free.start), len(free.ids)))
-                if n_most <= 0:
+                loss, length = self.size[:, 2], self.size[:, 0]
+                most = np.minimum(np.minimum(room[0], length), room[2] + (length - loss))  # what bears no loss comes first
+                at = int(np.argmax(np.where(most > 0, weight, -1.0)))
+                if most[at] <= 0:
                     break
-                piece, rest = self._take(at).cut(n_most)
+                piece, rest = self._take(at).cut(int(most[at]))
                 if len(rest.ids):
                     self._put(rest)
             found.append(piece)
             room -= (len(piece.ids), 1, piece.loss)
             n += len(piece.ids)
+        self.closed["tokens" if room[0] <= 0 else "segments" if room[1] <= 0 else "loss" if self.held else "end"] += 1
         over = n - (1 << (n.bit_length() - 1)) if n < self.limits[0] else 0
         while over:  # ends at a power of two
             piece = found.pop()
@@ -122,12 +129,14 @@ class Packer:
             yield self._fill(int(min(self.limits[0], 1 << (self.held.bit_length() - 1))))
 
 
-def pack(docs: DataFrame, path: str, *, tokens: int = 2048, segments: int = 256, loss: int | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row a piece.
+def pack(docs: DataFrame, path: str, *, tokens: int = 2048, segments: int = 256, loss: int | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, context: tuple[int, int] | None = None) -> DataFrame:
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens): one row a piece.
 
-    An example's ids are those of its prompt (which bear no loss; none by default), of its text, and end_id. Each id
-    lies in exactly one piece; pieces of a sequence follow on each other from 0. Null and empty texts have end_id
-    alone. Repeated rows are packed as often as they stand, null ids stay, an empty table gives no rows.
+    An example's ids are those of its prompt (none by default), of its text, and end_id. The prompt bears no loss; nor
+    does, with a context of (share, most), the text's beginning: a share-th of the example's ids, `most` at most. Each
+    id lies in exactly one piece; pieces of a sequence follow on each other from 0. Null and empty texts have end_id
+    alone; very long ones are packed whole, in as many pieces as they need. Repeated rows are packed as often as they
+    stand, null ids stay, an empty table gives no rows; other columns of docs, of any name, are left alone.
 
     Each task packs what it reads, through a pool of bounded size: no shuffle, memory independent of the input, and
     a lost task packs the same rows again. sequence_id is unique over tasks.
@@ -143,13 +152,14 @@ def pack(docs: DataFrame, path: str, *, tokens: int = 2048, segments: int = 256,
                     ids = e.encode(prompt.as_py())
                     bears = len(ids)
                     ids += e.encode(text.as_py()) + array("I", [end_id])
+                    bears = max(bears, min(len(ids) // context[0], context[1])) if context else bears
                     yield from packer.add(Piece(i.as_py(), 0, np.array(ids, "<u4"), len(ids), bears))
             yield from packer.rest()
 
         for sequence in sequences():
             at = 0
             for p in sequence:
-                out.append((p.id, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.total, number, at))
+                out.append((p.id, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.total, number, at, p.loss))
                 at += len(p.ids)
             number += 1
             if len(out) >= 10_000:
@@ -164,7 +174,7 @@ def pack(docs: DataFrame, path: str, *, tokens: int = 2048, segments: int = 256,
     kind = docs.select(id_col).schema[0].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
     schema = pa.schema([("id", to_arrow_type(kind)), *((n, pa.int64()) for n in names)])
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(prompt_col) if prompt_col else F.lit(None).cast("string")).alias("prompt"))
     return chosen.mapInArrow(run, f"id {kind.simpleString()}, " + ", ".join(f"{n} long" for n in names))

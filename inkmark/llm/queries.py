@@ -41,7 +41,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), **packing.PRODUCTION).withColumnRenamed("id", "doc_id")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,6 +213,30 @@ def test_packing(docs, none, tokenizer):
     assert packing.pack(none, queries.tokenizer_path()).count() == 0
 
 
+def test_each_limit_closes_sequences():
+    """At the registered queries' limits, on examples of many lengths."""
+    r, limits = random.Random(6), {k: v for k, v in packing.PRODUCTION.items() if k != "context"}
+    share, most = packing.PRODUCTION["context"]
+    packer, sequences = packing.Packer(**limits), []
+    sizes = [r.choice([r.randint(1, 30), r.randint(30, 900), r.randint(900, 9000)]) for _ in range(1500)] + [r.randint(1, 60) for _ in range(1500)]
+    for i, n in enumerate(sizes):
+        sequences += packer.add(packing.Piece(i, 0, np.full(n, i, "<u4"), n, min(n // share, most)))
+    sequences += packer.rest()
+    seen, padding = defaultdict(list), 0
+    for s in sequences:
+        n = sum(len(p.ids) for p in s)
+        assert 0 < n <= 2048 and len(s) <= 12 and sum(p.loss for p in s) <= 1920
+        padding += 0 if n & (n - 1) == 0 else 2048 - n
+        for p in s:
+            assert (p.ids == p.id).all()
+            seen[p.id].append((p.start, len(p.ids)))
+    for i, n in enumerate(sizes):
+        spans = sorted(seen[i])
+        assert [a for a, _ in spans] == list(np.cumsum([0, *[k for _, k in spans]])[:-1]) and sum(k for _, k in spans) == n
+    print("closed by", dict(packer.closed), "padding", padding, "of", sum(sizes))
+    assert min(packer.closed[k] for k in ("tokens", "segments", "loss")) > 0 and padding == 0
+
+
 def test_packing_limits_loss(docs):
     own = docs.where("doc_id is not null").select("doc_id", F.col("text").alias("prompt"), F.lit("yes it is so").alias("text"))
     got = packing.pack(own, queries.tokenizer_path(), tokens=64, segments=4, loss=10, prompt_col="prompt").collect()
