@@ -37,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences."""
-    return packing.pack(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
+    return packing.pack(docs, tokenizer_path(), **packing.PRODUCTION).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
