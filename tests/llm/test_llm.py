@@ -251,23 +251,36 @@ def test_packing_limits_loss(docs):
 
 
 def brute_bins(text):
-    data = text.encode()
     signed = lambda x: x - 2**64 if x >= 2**63 else x
-    h = [signed(xxhash.xxh64_intdigest(data[i : i + syncmers.S], 42)) for i in range(len(data) - syncmers.S + 1)]
+    hashed = lambda x: xxhash.xxh64_intdigest(x.encode("utf-32-be"), 42)
+    h = [signed(hashed(text[i : i + syncmers.S])) for i in range(len(text) - syncmers.S + 1)]
     width = syncmers.K - syncmers.S + 1
-    out = set()
-    for i in range(len(data) - syncmers.K + 1):
+    out = []
+    for i in range(len(text) - syncmers.K + 1):
         w = h[i : i + width]
         if min(w) in (w[0], w[-1]):
-            out.add(xxhash.xxh64_intdigest(data[i : i + syncmers.K], 42) >> 32)
-    if data and len(data) < syncmers.K:
-        out = {xxhash.xxh64_intdigest(data, 42) >> 32}
-    return [min((x for x in out if x % syncmers.BINS == k), default=None) for k in range(syncmers.BINS)]
+            out.append((hashed(text[i : i + syncmers.K]) >> 33, i))
+    if text and len(text) < syncmers.K:
+        out = [(hashed(text) >> 33, 0)]
+    return [min((x for x in out if x[0] % syncmers.BINS == k), default=None) for k in range(syncmers.BINS)]
 
 
 def brute_likeness(a, b):
     there = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
-    return sum(x == y for x, y in there) / len(there) if there else 1.0
+    offsets = [x[1] - y[1] for x, y in there if x and y and x[0] == y[0]]
+    matches = sum(offsets.count(d) > 1 for d in offsets) if len(offsets) != 1 else 1
+    return matches / len(there) if there else 1.0
+
+
+def test_places_decide(spark):
+    """A shared passage counts wherever it stands; single k-mers that agree by chance at other places don't."""
+    shared, others = prose(60, 333), [prose(30, 334), prose(45, 335)]
+    a, b = (brute_bins(x) for x in (others[0] + shared, others[1] + shared))
+    assert 0.3 < brute_likeness(a, b) < 0.9
+    pieces = [shared[k : k + 20] for k in range(0, 200, 20)]
+    c, d = (brute_bins("".join(p + prose(2, s * 50 + i) for i, p in enumerate(order))) for s, order in enumerate((pieces, pieces[::-1])))
+    met = sum(x is not None and y is not None and x[0] == y[0] for x, y in zip(c, d, strict=True))
+    assert met > 3 and brute_likeness(c, d) < 0.1
 
 
 def test_syncmers(docs, none):
@@ -283,7 +296,8 @@ def test_syncmers(docs, none):
         edited = t[: n - n // 2] + (follow[r.id] if r.id is not None else "")[: n // 2]
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == n
         a, b = brute_bins(t), brute_bins(edited)
-        assert r.own == a and r.edited == b and abs(r.near_edited - brute_likeness(a, b)) < 1e-12
+        packed = lambda bins: [None if x is None else x[0] << 32 | x[1] for x in bins]
+        assert r.own == packed(a) and r.edited == packed(b) and abs(r.near_edited - brute_likeness(a, b)) < 1e-12
         assert abs(r.near_next - brute_likeness(a, brute_bins(follow.get(r.id, "")))) < 1e-12
     assert syncmers.fingerprints(none).count() == 0
 
