@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkmark.operators.ordered import running
+
 #: At most this many value ranges; their bounds are approximate quantiles, a bounded list on the driver.
 RANGES = 64
 
@@ -35,19 +37,24 @@ def scores(detections: DataFrame) -> DataFrame:
 
 
 def avg_ranks(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """rows with rank: ascending from 1 within `by`, ties averaged."""
-    w, same = Window.partitionBy(by).orderBy(value), Window.partitionBy(by, value)
-    return rows.withColumn("rank", F.rank().over(w) + (F.count("*").over(same) - 1) / 2)
+    """rows with rank: ascending from 1 within `by`, ties averaged.
+
+    Values are counted first, and the counts summed up by ranges: no task holds all rows, or values, of a `by`.
+    """
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("__n"))
+    ranks = running(counts, by, [value], F.col("__n"), "__below")
+    ranks = ranks.select(F.col(by).alias("__by"), F.col(value).alias("__at"), (F.col("__below") + (F.col("__n") + 1) / 2).alias("rank"))
+    return rows.join(ranks, F.col(by).eqNullSafe(F.col("__by")) & F.col(value).eqNullSafe(F.col("__at"))).drop("__by", "__at")
 
 
 def auc(detections: DataFrame) -> DataFrame:
     """(detector_id, auc): the share of pairs in which the positive scores higher, ties as half; NaN without a pair.
 
-    Counted by distinct score first; the window has a row a score, not a row a sample.
+    Counted by distinct score first, and the counts summed up by ranges of scores.
     """
     by = detections.groupBy("detector_id", "y_score").agg(F.count_if(F.col("y_true") == 1).alias("pos"), F.count_if(F.col("y_true") == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("detector_id").orderBy("y_score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.select("detector_id", "pos", "neg", (F.col("pos") * (2 * below + F.col("neg"))).alias("won"))
+    summed = running(by, "detector_id", ["y_score"], F.col("neg"), "below")
+    won = summed.select("detector_id", "pos", "neg", (F.col("pos") * (2 * F.col("below") + F.col("neg"))).alias("won"))
     total = won.groupBy("detector_id").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum("won").alias("won"))
     return total.select("detector_id", F.when((F.col("p") == 0) | (F.col("n") == 0), F.lit(float("nan"))).otherwise(F.col("won") / (2 * F.col("p") * F.col("n"))).alias("auc"))
 

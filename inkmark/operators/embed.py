@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmark.functions.formulas import KEYS, RGB
+from inkmark.operators.ordered import running
 from inkmark.sources.carriers import sizes
 
 BINARY = "^[01]*$"
+#: The place of a pixel's first sample.
+_AT = "(cast(y as bigint) * width + x) * 3"
 
 
 def checked(bits: Column) -> Column:
@@ -25,7 +28,7 @@ def lsb_embed(samples: DataFrame, marks: DataFrame) -> DataFrame:
     mark stay as they are.
     """
     own = samples.join(marks.select("carrier_id", checked(F.col("bits")).alias("bits")), "carrier_id", "left")
-    bit = F.expr("cast(substr(bits, cast(pos as int) + 1, 1) as int)")
+    bit = F.expr("case when pos < length(bits) then cast(substr(bits, cast(pos as int) + 1, 1) as int) end")
     inside = F.col("pos") < F.length("bits")
     return own.select("carrier_id", "pos", F.when(inside, F.col("level").bitwiseAND(F.lit(-2)).bitwiseOR(bit)).otherwise(F.col("level")).alias("level"))
 
@@ -33,8 +36,8 @@ def lsb_embed(samples: DataFrame, marks: DataFrame) -> DataFrame:
 def embed_pixels(pixels: DataFrame, marks: DataFrame) -> DataFrame:
     """The same on pixels, without laying them out as samples: one join by carrier, then row-local."""
     own = pixels.join(sizes(pixels), "carrier_id").join(marks.select("carrier_id", checked(F.col("bits")).alias("bits")), "carrier_id", "left")
-    own = own.withColumn("at", F.expr("(y * width + x) * 3"))
-    low = [F.expr(f"case when at + {i} < length(bits) then ({c} & 254) | cast(substr(bits, at + {i + 1}, 1) as int) else {c} end").alias(c) for i, c in enumerate(RGB)]
+    own = own.withColumn("at", F.expr(_AT))
+    low = [F.expr(f"case when at + {i} < length(bits) then ({c} & 254) | cast(substr(bits, cast(at as int) + {i + 1}, 1) as int) else {c} end").alias(c) for i, c in enumerate(RGB)]
     return own.select(*KEYS, *low)
 
 
@@ -47,14 +50,14 @@ def lsb_extract(samples: DataFrame, num_bits: int) -> DataFrame:
 
 def extract_pixels(pixels: DataFrame, num_bits: int) -> DataFrame:
     """The same on pixels."""
-    own = pixels.join(sizes(pixels), "carrier_id").withColumn("at", F.expr("(y * width + x) * 3")).where(F.col("at") < num_bits)
+    own = pixels.join(sizes(pixels), "carrier_id").withColumn("at", F.expr(_AT)).where(F.col("at") < num_bits)
     long = own.select("carrier_id", "at", F.expr("stack(3, 0, r, 1, g, 2, b) as (c, level)"))
     return lsb_extract(long.select("carrier_id", (F.col("at") + F.col("c")).alias("pos"), "level"), num_bits)
 
 
 def lsb_embed_table(rows: DataFrame, marks: DataFrame, carrier: str, order: list[str], level: str) -> DataFrame:
     """The same on an integer column of a table, in the order of the given columns within a carrier."""
-    placed = rows.withColumn("pos", F.row_number().over(Window.partitionBy(carrier).orderBy(*order)).cast("bigint") - 1)
+    placed = running(rows, carrier, order, F.lit(1).cast("bigint"), "pos")
     flat = placed.select(F.col(carrier).alias("carrier_id"), "pos", F.col(level).alias("level"))
     return lsb_embed(flat, marks)
 

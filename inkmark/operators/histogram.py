@@ -30,7 +30,7 @@ def hist_equalize(pixels: DataFrame) -> DataFrame:
     to = F.expr("case when step = 0 then level else cast(least((step div 2 + below) div step, 255) as int) end")
     tables = h.groupBy("carrier_id", "c").agg(F.map_from_entries(F.collect_list(F.struct("level", to.alias("to")))).alias("lut"))
     tables = tables.groupBy("carrier_id").agg(*[F.first(F.when(F.col("c") == i, F.col("lut")), ignorenulls=True).alias(f"lut{i}") for i in range(3)])
-    return pixels.join(tables, "carrier_id").select(*KEYS, *[F.col(f"lut{i}")[F.col(c)].alias(c) for i, c in enumerate(RGB)])
+    return pixels.join(tables, "carrier_id").select(*[c for c in pixels.columns if c not in RGB], *[F.col(f"lut{i}")[F.col(c)].alias(c) for i, c in enumerate(RGB)])
 
 
 def clahe(pixels: DataFrame, tiles: int = 8, clip_limit: float = 2.0, bins: int = 256) -> DataFrame:

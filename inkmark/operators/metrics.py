@@ -18,7 +18,7 @@ def paired_pixels(first: DataFrame, second: DataFrame) -> DataFrame:
     return joined.select(*KEYS, *[F.when(lacks, F.raise_error(F.lit("frames differ in size")).cast("int")).otherwise(F.col(c) - F.col(f"d{c}")).alias(f"d{c}") for c in RGB])
 
 
-def _psnr(mse: Column) -> Column:
+def psnr_of(mse: Column) -> Column:
     return F.when(mse == 0, F.lit(float("inf"))).otherwise(10 * F.log10(F.lit(255.0 * 255.0) / mse))
 
 
@@ -30,14 +30,14 @@ def mse(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def psnr(first: DataFrame, second: DataFrame) -> DataFrame:
     """(carrier_id, psnr): infinite where nothing differs."""
-    return mse(first, second).select("carrier_id", _psnr(F.col("mse")).alias("psnr"))
+    return mse(first, second).select("carrier_id", psnr_of(F.col("mse")).alias("psnr"))
 
 
 def watermark_psnr(first: DataFrame, second: DataFrame) -> DataFrame:
     """(carrier_id, psnr) of the lumas, over the places that both have."""
     a, b = first.select(*KEYS, F.expr(luma()).alias("a")), second.select(*KEYS, F.expr(luma()).alias("b"))
     joined = a.join(b, list(KEYS)).groupBy("carrier_id").agg(F.avg(F.expr("(a - b) * (a - b)")).alias("mse"))
-    return joined.select("carrier_id", _psnr(F.col("mse")).alias("psnr"))
+    return joined.select("carrier_id", psnr_of(F.col("mse")).alias("psnr"))
 
 
 def bit_length_mismatch(pairs: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def metric_suite(first: DataFrame, second: DataFrame) -> DataFrame:
     d = paired_pixels(first, second)
     square, most = F.sum(F.expr("cast(dr * dr + dg * dg + db * db as bigint)")), F.max(F.greatest(*[F.abs(f"d{c}") for c in RGB]))
     both = d.groupBy("carrier_id").agg((square / (3 * F.count("*"))).alias("mse"), most.cast("double").alias("max_difference"), F.avg(F.expr("case when dr <> 0 or dg <> 0 or db <> 0 then 1e0 else 0e0 end")).alias("changed"))
-    both = both.withColumn("psnr", _psnr(F.col("mse")))
+    both = both.withColumn("psnr", psnr_of(F.col("mse")))
     return both.select("carrier_id", F.expr("stack(4, 'mse', mse, 'psnr', psnr, 'max_difference', max_difference, 'changed', changed) as (metric, value)"))
 
 

@@ -76,8 +76,14 @@ def ssim_map(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def ssim(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(carrier_id, ssim); frames under 11 pixels a side give no row."""
-    return ssim_map(first, second).groupBy("carrier_id").agg(F.avg("ssim").alias("ssim"))
+    """(carrier_id, ssim, status); frames under 11 pixels a side have no value and the status too_small."""
+    return _with_status(first, ssim_map(first, second).groupBy("carrier_id").agg(F.avg("ssim").alias("ssim")), "ssim")
+
+
+def _with_status(plane: DataFrame, scored: DataFrame, metric: str) -> DataFrame:
+    """A row for each carrier of the plane: ok, or too_small where the metric has no value for it."""
+    own = plane.select("carrier_id").distinct().join(scored, "carrier_id", "left")
+    return own.select("carrier_id", metric, F.when(F.col(metric).isNull(), "too_small").otherwise("ok").alias("status"))
 
 
 def downsample2(plane: DataFrame) -> DataFrame:
@@ -90,14 +96,14 @@ def downsample2(plane: DataFrame) -> DataFrame:
 
 
 def ms_ssim(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(carrier_id, ms_ssim); frames under 176 pixels a side give no row."""
-    out = None
+    """(carrier_id, ms_ssim, status); frames under 176 pixels a side have no value and the status too_small."""
+    out, whole = None, first
     for k, weight in enumerate(MS_WEIGHTS):
         name = "ssim" if k == len(MS_WEIGHTS) - 1 else "cs"
         one = ssim_map(first, second).groupBy("carrier_id").agg(F.pow(F.greatest(F.avg(name), F.lit(1e-8)), F.lit(weight)).alias(f"s{k}"))
         out = one if out is None else out.join(one, "carrier_id")
         first, second = downsample2(first), downsample2(second)
-    return out.select("carrier_id", F.expr(" * ".join(f"s{k}" for k in range(len(MS_WEIGHTS)))).alias("ms_ssim"))
+    return _with_status(whole, out.select("carrier_id", F.expr(" * ".join(f"s{k}" for k in range(len(MS_WEIGHTS)))).alias("ms_ssim")), "ms_ssim")
 
 
 def conv3(plane: DataFrame, kernels: dict[str, tuple]) -> DataFrame:

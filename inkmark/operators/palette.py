@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmark.functions.formulas import KEYS, RGB, level
+from inkmark.sources.scratch import stored
+
+#: Parts of a carrier in which its sample is chosen first.
+PARTS = 64
 
 
 def pixel_sample(pixels: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """The n pixels of a carrier with the least hash of their place, and their rank from 1."""
+    """The n pixels of a carrier with the least hash of their place, and their rank from 1.
+
+    First of each of PARTS parts of a carrier, then of what those leave: n * PARTS rows at most meet in a task.
+    """
     h = F.expr(f"md5(concat_ws(':', '{seed}', cast(carrier_id as string), cast(y as string), cast(x as string)))")
-    ranked = pixels.withColumn("rank", F.row_number().over(Window.partitionBy("carrier_id").orderBy(h, "y", "x")))
+    hashed = pixels.select(*KEYS, *RGB, h.alias("h"), F.pmod(F.xxhash64("y", "x"), F.lit(PARTS)).alias("part"))
+    first = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("carrier_id", "part").orderBy("h", "y", "x"))).where(F.col("rank") <= n)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("carrier_id").orderBy("h", "y", "x")))
     return ranked.where(F.col("rank") <= n).select(*KEYS, *RGB, "rank")
 
 
@@ -25,7 +34,7 @@ def kmeans_palette(pixels: DataFrame, colors: int = 16, sample_size: int = 5000,
     """(carrier_id, cr, cg, cb): arrays of the centres after the rounds; an empty cluster keeps its centre."""
     if colors < 2 or colors > sample_size:
         raise ValueError("colors must be 2 at least, and not over sample_size")
-    sample = pixel_sample(pixels, sample_size, seed)
+    sample = stored(pixel_sample(pixels, sample_size, seed), "sample")  # the rounds read this alone
 
     def arrays(rows: DataFrame) -> DataFrame:  # `colors` entries a carrier
         return rows.groupBy("carrier_id").agg(F.array_sort(F.collect_list(F.struct("k", *RGB))).alias("all")).select("carrier_id", *[F.col(f"all.{c}").alias(f"c{c}") for c in RGB])
@@ -36,7 +45,7 @@ def kmeans_palette(pixels: DataFrame, colors: int = 16, sample_size: int = 5000,
         means = found.groupBy("carrier_id", "k").agg(*[(F.sum(c) / F.count("*")).alias(c) for c in RGB])
         old = centres.select("carrier_id", F.posexplode(F.arrays_zip(*[f"c{c}" for c in RGB])).alias("k", "p"))
         both = old.join(means, ["carrier_id", "k"], "left").select("carrier_id", "k", *[F.coalesce(F.col(c), F.col(f"p.c{c}")).alias(c) for c in RGB])
-        centres = arrays(both)
+        centres = stored(arrays(both), "centres")  # `colors` numbers a carrier; each round reads the last one's
     return centres
 
 

@@ -9,13 +9,18 @@ from inkmark.functions import formulas as f
 from inkmark.functions.formulas import KEYS, RGB, level
 
 
+def others(pixels: DataFrame) -> list[str]:
+    """The keys, and columns beside the levels, which row-local distortions carry along."""
+    return [c for c in pixels.columns if c not in RGB]
+
+
 def _each(pixels: DataFrame, formula) -> DataFrame:
-    return pixels.select(*KEYS, *[F.expr(formula(c)).alias(c) for c in RGB])
+    return pixels.select(*others(pixels), *[F.expr(formula(c)).alias(c) for c in RGB])
 
 
 def lossless(pixels: DataFrame) -> DataFrame:
     """The control arm: nothing changes."""
-    return pixels.select(*KEYS, *RGB)
+    return pixels.select(*others(pixels), *RGB)
 
 
 def bit_depth(pixels: DataFrame, bits: int = 4) -> DataFrame:
@@ -29,7 +34,7 @@ def gamma(pixels: DataFrame, gamma: float = 1.5) -> DataFrame:
     if gamma <= 0:
         raise ValueError(f"gamma must be over zero, not {gamma}")
     lut = F.array(*[F.lit(round(255 * (v / 255) ** gamma)) for v in range(256)])
-    return pixels.select(*KEYS, *[F.get(lut, F.col(c)).alias(c) for c in RGB])
+    return pixels.select(*others(pixels), *[F.get(lut, F.col(c)).alias(c) for c in RGB])
 
 
 def gamma_by_join(pixels: DataFrame, gamma: float = 1.5) -> DataFrame:
@@ -41,13 +46,13 @@ def gamma_by_join(pixels: DataFrame, gamma: float = 1.5) -> DataFrame:
 
 
 def grayscale(pixels: DataFrame) -> DataFrame:
-    return pixels.select(*KEYS, F.expr(level(f.luma())).alias("v")).select(*KEYS, *[F.col("v").alias(c) for c in RGB])
+    return _each(pixels, lambda c: level(f.luma()))
 
 
 def bayer(size: int) -> list[int]:
     """The threshold matrix, row by row: doubled from one cell, in blocks, until it has the size."""
     n = 1 << (size - 1).bit_length()
-    block = ((0, 2), (3, 1))
+    block = ((0, 2), (3, 1))  # fixed values: the smallest threshold matrix
 
     def at(y: int, x: int, n: int) -> int:
         half = n // 2
@@ -66,10 +71,10 @@ def dither(pixels: DataFrame, levels: int = 2, matrix_size: int = 4) -> DataFram
     threshold = F.get(grid, (F.col("y") % n) * n + F.col("x") % n)
 
     def one(c: str) -> Column:
-        value = F.floor(F.col(c) / step + threshold - 0.5 + 0.5) * step
+        value = F.floor(F.col(c) / step + threshold) * step
         return F.bround(F.least(F.greatest(value.cast("double"), F.lit(0.0)), F.lit(255.0)), 0).cast("int").alias(c)
 
-    return pixels.select(*KEYS, *[one(c) for c in RGB])
+    return pixels.select(*others(pixels), *[one(c) for c in RGB])
 
 
 def _mean_luma(pixels: DataFrame) -> DataFrame:
@@ -82,7 +87,7 @@ def brightness_contrast(pixels: DataFrame, brightness: float = 1.2, contrast: fl
     """Scaled about black, then about the carrier's mean luma."""
     lit = _each(pixels, lambda c: level(f"{c} * {float(brightness)}e0"))
     joined = lit.join(_mean_luma(lit), "carrier_id")
-    return joined.select(*KEYS, *[F.expr(level(f"mean + {float(contrast)}e0 * ({c} - mean)")).alias(c) for c in RGB])
+    return joined.select(*others(pixels), *[F.expr(level(f"mean + {float(contrast)}e0 * ({c} - mean)")).alias(c) for c in RGB])
 
 
 def color_jitter(pixels: DataFrame, brightness: float = 0.2, contrast: float = 0.2, saturation: float = 0.2, hue: float = 0.05, seed: int = 0) -> DataFrame:
@@ -94,12 +99,13 @@ def color_jitter(pixels: DataFrame, brightness: float = 0.2, contrast: float = 0
 
     lit = _each(pixels, lambda c: level(f"{c} * (1e0 + {draw(0, brightness)})"))
     joined = lit.join(_mean_luma(lit), "carrier_id")
-    flat = joined.select(*KEYS, *[F.expr(level(f"mean + (1e0 + {draw(1, contrast)}) * ({c} - mean)")).alias(c) for c in RGB])
+    own = others(pixels)
+    flat = joined.select(*own, *[F.expr(level(f"mean + (1e0 + {draw(1, contrast)}) * ({c} - mean)")).alias(c) for c in RGB])
     grey = flat.withColumn("grey", F.expr(level(f.luma())))
-    full = grey.select(*KEYS, *[F.expr(level(f"grey + (1e0 + {draw(2, saturation)}) * ({c} - grey)")).alias(c) for c in RGB])
-    hsv = full.select(*KEYS, *[F.expr(e).alias(n) for n, e in f.to_hsv().items()])
+    full = grey.select(*own, *[F.expr(level(f"grey + (1e0 + {draw(2, saturation)}) * ({c} - grey)")).alias(c) for c in RGB])
+    hsv = full.select(*own, *[F.expr(e).alias(n) for n, e in f.to_hsv().items()])
     hsv = hsv.withColumn("h", F.expr(f"pmod(h + cast({draw(3, hue)} * 255e0 as int), 256)"))
-    return hsv.select(*KEYS, *[F.expr(e).alias(c) for c, e in f.from_hsv("h", "s", "v").items()])
+    return hsv.select(*own, *[F.expr(e).alias(c) for c, e in f.from_hsv("h", "s", "v").items()])
 
 
 #: Per space: the way there, its columns, the way back.
@@ -120,6 +126,7 @@ def color_noise(pixels: DataFrame, space: str = "YCbCr", noise_std: float = 10.0
         u = [f.uniform(f"concat_ws(':', '{seed}', cast(carrier_id as string), cast(y as string), cast(x as string), '{c}{k}')") for k in (0, 1)]
         return f"(sqrt(-2e0 * ln(1e0 - {u[0]})) * cos(6.283185307179586e0 * {u[1]}))"
 
-    own = pixels.select(*KEYS, *[F.expr(e).alias(n) for n, e in to().items()])
-    noisy = own.select(*KEYS, *[F.expr(level(f"{n} + {float(noise_std)}e0 * {normal(n)}")).alias(n) for n in names])
-    return noisy.select(*KEYS, *[F.expr(e).alias(c) for c, e in back(*names).items()])
+    kept = others(pixels)
+    own = pixels.select(*kept, *[F.expr(e).alias(n) for n, e in to().items()])
+    noisy = own.select(*kept, *[F.expr(level(f"{n} + {float(noise_std)}e0 * {normal(n)}")).alias(n) for n in names])
+    return noisy.select(*kept, *[F.expr(e).alias(c) for c, e in back(*names).items()])

@@ -13,6 +13,7 @@ from inkmark.operators import crop, dct, detector, embed, histogram, metrics, ne
 from inkmark.plans import suite
 from inkmark.plans.oracle import ORACLE_SQL
 from inkmark.sources import carriers
+from inkmark.sources.scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,10 +31,14 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marks(spark: SparkSession, sf_dir: str, px: DataFrame) -> DataFrame:
-    """A mark for each carrier: that of the item whose id is the carrier's, modulo 40."""
-    items = carriers.marks(_table(spark, sf_dir, "benchmark").select("item_id"), N_BITS)
-    own = px.select("carrier_id").distinct().withColumn("wm_id", F.col("carrier_id") % 40)
-    return own.join(items, "wm_id").select("carrier_id", "wm_id", "bits")
+    """A mark for each carrier: that of the item whose id is the carrier's, modulo the number of items."""
+    return _marked(spark, sf_dir, px.select("carrier_id").distinct()).select("carrier_id", "wm_id", "bits")
+
+
+def _marked(spark: SparkSession, sf_dir: str, own: DataFrame) -> DataFrame:
+    items = _table(spark, sf_dir, "benchmark").select("item_id")
+    number = max(1, items.count())
+    return own.withColumn("wm_id", F.col("carrier_id") % number).join(carriers.marks(items, N_BITS), "wm_id", "left")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,20 +69,22 @@ def _named(px: DataFrame, formulas: dict[str, str]) -> DataFrame:
 
 
 # Sources
-QUERIES["pixels_from_arrays"] = pixels
+def pixels_from_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a frame of 8 * 8, with its values, their complement, and their half."""
+    value = "(double(embedding[8 * i + j]) + 1e0) * 127.5e0"
+    matrix = f"transform(sequence(0, 7), i -> transform(sequence(0, 7), j -> array({value}, 255e0 - {value}, {value} / 2e0)))"
+    return carriers.pixels_from_arrays(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("carrier_id"), F.expr(matrix).alias("matrix")))
+
+
+QUERIES["pixels_from_arrays"] = pixels_from_arrays
 query(lambda px: carriers.synthetic(px.select("carrier_id").distinct().withColumns({"height": F.lit(24), "width": F.lit(20)})), "synthetic_carriers")
 query(carriers.sizes, "carrier_sizes")
 query(carriers.samples, "flat_samples")
 
 
 def write_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import os
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "inkmark-checkpoints")
     px = suite.attack_suite(pixels(spark, sf_dir), {"bit_depth": ("color", point.bit_depth), "lossless": ("compression", point.lossless)})
-    return carriers.write_pixels(px.select(*KEYS, *RGB, "attack_id"), f"{base}/pixels-{uuid.uuid4().hex}")
+    return carriers.write_pixels(px.select(*KEYS, *RGB, "attack_id"), new_folder(spark, "pixels"))
 
 
 QUERIES["write_pixels"] = write_pixels
@@ -106,9 +113,8 @@ def lsb_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _prices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.expr("cast(round(l_extendedprice * 100) as bigint)").alias("cents"))
-    own = rows.select(F.col("l_suppkey").alias("carrier_id")).distinct().withColumn("wm_id", F.col("carrier_id") % 40)
-    items = carriers.marks(_table(spark, sf_dir, "benchmark").select("item_id"), N_BITS)
-    return rows, own.join(items, "wm_id").select("carrier_id", "bits")
+    own = rows.select(F.col("l_suppkey").alias("carrier_id")).distinct()
+    return rows, _marked(spark, sf_dir, own).select("carrier_id", "bits")
 
 
 def lsb_embed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,8 +242,14 @@ query(lambda px: _rounded(neighbourhood.correlate(neighbourhood.luma_plane(px),
 
 # Suites
 def suite_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir)
+    return suite.suite_report(suite.robustness(px, marks(spark, sf_dir, px), N_BITS, suite.BASIC))
+
+
+def suite_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all registered distortions."""
     px = pixels(spark, sf_dir)
     return suite.suite_report(suite.robustness(px, marks(spark, sf_dir, px), N_BITS))
 
 
-QUERIES["suite_report"] = suite_report
+QUERIES["suite_report"], QUERIES["suite_report_all"] = suite_report, suite_report_all

@@ -2,16 +2,77 @@
 
 from __future__ import annotations
 
-from inkmark.functions import formulas as f
-from inkmark.functions.formulas import DUCKDB, RGB
-from inkmark.operators import crop, neighbourhood, point
+import math
 
-SQL = DUCKDB
 ORACLE_SQL: dict[str, str] = {}
+RGB = ("r", "g", "b")
 
 
 def level(e: str) -> str:
-    return f.level(e, SQL)
+    """Rounded half to even, then clipped."""
+    return f"greatest(0, least(255, round_even(({e})::DOUBLE, 0)))::INT"
+
+
+# Fixed values, written again for the SQL: what the code has in other places isn't read here.
+LUMA = (0.299, 0.587, 0.114)
+YIQ_I, YIQ_Q = (0.596, -0.274, -0.322), (0.211, -0.523, 0.312)
+YCBCR_CB, YCBCR_CR = (-0.168736, -0.331264, 0.5), (0.5, -0.418688, -0.081312)
+SSIM_1, SSIM_2 = "6.5025::DOUBLE", "58.5225::DOUBLE"
+SCALES = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)
+SCHARR = ((3, 0, -3), (10, 0, -10), (3, 0, -3))
+BAYER_4 = (0, 8, 2, 10, 12, 4, 14, 6, 3, 11, 1, 9, 15, 7, 13, 5)
+WHITE = (0.95047, 1.0, 1.08883)
+TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+
+
+def _sum(weights: tuple[float, ...], names: tuple[str, ...] = RGB, start: str = "") -> str:
+    return "(" + start + " + ".join(f"({w})::DOUBLE * {n}" for w, n in zip(weights, names, strict=True)) + ")"
+
+
+def _ycbcr() -> dict[str, str]:
+    return {"y_": level(_sum(LUMA)), "cb": level(_sum(YCBCR_CB, start="128e0 + ")), "cr": level(_sum(YCBCR_CR, start="128e0 + "))}
+
+
+def _from_ycbcr(y: str, cb: str, cr: str) -> dict[str, str]:
+    u, v = f"({cb} - 128)::DOUBLE", f"({cr} - 128)::DOUBLE"
+    return {"r": level(f"{y} + 1.402e0 * {v}"), "g": level(f"{y} - 0.344136e0 * {u} - 0.714136e0 * {v}"), "b": level(f"{y} + 1.772e0 * {u}")}
+
+
+def _hsv() -> dict[str, str]:
+    top, span = "list_max([r, g, b])", "(list_max([r, g, b]) - list_min([r, g, b]))::DOUBLE"
+    sector = f"CASE WHEN {span} = 0 THEN 0e0 WHEN r = {top} THEN (g - b) / {span} WHEN g = {top} THEN 2e0 + (b - r) / {span} ELSE 4e0 + (r - g) / {span} END"
+    return {"h": level(f"255e0 * (list_sum([{sector}, CASE WHEN ({sector}) < 0 THEN 6e0 ELSE 0e0 END]) / 6e0)"), "s": level(f"coalesce(255e0 * {span} / nullif({top}, 0), 0e0)"), "v": top}
+
+
+def _from_hsv(h: str, s: str, v: str) -> dict[str, str]:
+    """A channel's place among six for each sixth of the circle: value, falling, low, rising."""
+    turn = f"({h} * 6e0 / 255e0)"
+    part = f"({turn} - floor({turn}))"
+    value, low = f"{v}::DOUBLE", f"{v} * (1e0 - {s} / 255e0)"
+    falling, rising = f"{v} * (1e0 - {part} * {s} / 255e0)", f"{v} * (1e0 - (1e0 - {part}) * {s} / 255e0)"
+    wheel = [value, falling, low, low, rising, value]
+    at = lambda shift: f"[{', '.join(wheel[(k + shift) % 6] for k in range(6))}][floor({turn})::INT % 6 + 1]"
+    return {"r": level(at(0)), "g": level(at(4)), "b": level(at(2))}
+
+
+def _lab() -> dict[str, str]:
+    linear = [f"(CASE WHEN {c} > 10 THEN pow(({c} / 255e0 + 0.055e0) / 1.055e0, 2.4e0) ELSE {c} / 255e0 / 12.92e0 END)" for c in RGB]
+    t = [f"({_sum(row, tuple(linear))} / {w}::DOUBLE)" for row, w in zip(TO_XYZ, WHITE, strict=True)]
+    x, y, z = (f"(CASE WHEN {e} <= 0.008856451679e0 THEN 7.787037037037e0 * {e} + 16e0 / 116e0 ELSE pow({e}, 1e0 / 3e0) END)" for e in t)
+    return {"l": level(f"2.55e0 * (116e0 * {y} - 16e0)"), "a": level(f"500e0 * ({x} - {y}) + 128e0"), "b_": level(f"200e0 * ({y} - {z}) + 128e0")}
+
+
+def _from_lab(l_: str, a: str, b: str) -> dict[str, str]:
+    y = f"(({l_} / 2.55e0 + 16e0) / 116e0)"
+    parts = (f"({y} + ({a} - 128e0) / 500e0)", y, f"({y} - ({b} - 128e0) / 200e0)")
+    xyz = tuple(f"({w}::DOUBLE * (CASE WHEN {e} > 0.206896551724e0 THEN {e} * {e} * {e} ELSE ({e} - 16e0 / 116e0) / 7.787037037037e0 END))" for e, w in zip(parts, WHITE, strict=True))
+    back = {"r": (3.2404542, -1.5371385, -0.4985314), "g": (-0.9692660, 1.8760108, 0.0415560), "b": (0.0556434, -0.2040259, 1.0572252)}
+    return {c: level(f"255e0 * (CASE WHEN {_sum(w, xyz)} > 0.0031308e0 THEN 1.055e0 * pow(greatest({_sum(w, xyz)}, 0e0), 1e0 / 2.4e0) - 0.055e0 ELSE 12.92e0 * {_sum(w, xyz)} END)") for c, w in back.items()}
+
+
+def _uniform(key: str) -> str:
+    """The first eight digits of an MD5 as a share of 2 to the 32."""
+    return f"(('0x' || left(md5({key}), 8))::BIGINT / 4294967296e0)"
 
 
 def _each(formula) -> str:
@@ -20,14 +81,14 @@ def _each(formula) -> str:
 
 #: Pixels of the mosaics: vectors by carrier, channel and tile; their values by place.
 PX = f"""v AS (SELECT vec_id // 48 AS carrier_id, vec_id % 48 AS k, embedding FROM embeddings),
-whole AS (SELECT carrier_id FROM v GROUP BY 1 HAVING count(*) = 48),
-long AS (SELECT carrier_id, k % 3 AS c, k // 3 AS t, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS e FROM v WHERE carrier_id IN (FROM whole)),
+need AS (SELECT carrier_id, k::INT AS k FROM (SELECT DISTINCT carrier_id FROM v), range(0, 48) AS n(k)),
+long AS (SELECT carrier_id, k % 3 AS c, k // 3 AS t, i, coalesce(embedding[i + 1]::DOUBLE, -1e0) AS e FROM need LEFT JOIN v USING (carrier_id, k), range(0, 64) AS r(i)),
 placed AS (SELECT carrier_id, ((t // 4) * 8 + i // 8)::INT AS y, ((t % 4) * 8 + i % 8)::INT AS x, c, {level("(e + 1e0) * 127.5e0")} AS l FROM long),
 px AS (SELECT carrier_id, y, x, max(l) FILTER (c = 0) AS r, max(l) FILTER (c = 1) AS g, max(l) FILTER (c = 2) AS b FROM placed GROUP BY 1, 2, 3)"""
 GAMMA = _each(lambda c: level(f"255e0 * pow({c} / 255e0, 1.5e0)"))
 DIMS = "dims AS (SELECT carrier_id, max(y) + 1 AS height, max(x) + 1 AS width FROM px GROUP BY 1)"
 BITS = "bits AS (SELECT item_id AS wm_id, (SELECT string_agg(((('0x' || substr(md5(item_id::VARCHAR), i // 4 + 1, 1))::INT >> (3 - i % 4)) & 1)::VARCHAR, '' ORDER BY i) FROM range(0, 128) AS n(i)) AS bits FROM benchmark)"
-MARKS = f"{BITS},\nmarks AS (SELECT DISTINCT carrier_id, wm_id, bits FROM px JOIN bits ON wm_id = carrier_id % 40)"
+MARKS = f"{BITS},\nmarks AS (SELECT DISTINCT carrier_id, carrier_id % (SELECT count(*) FROM benchmark) AS wm_id, bits FROM px LEFT JOIN bits ON wm_id = carrier_id % (SELECT count(*) FROM benchmark))"
 FLAT = f"{DIMS},\nflat AS (SELECT carrier_id, (y::BIGINT * width + x) * 3 + c AS pos, [r, g, b][c + 1] AS level FROM px JOIN dims USING (carrier_id), (VALUES (0), (1), (2)) AS n(c))"
 MARKED = "marked AS (SELECT carrier_id, pos, CASE WHEN pos < length(bits) THEN (level & 254) | substr(bits, pos::INT + 1, 1)::INT ELSE level END AS level FROM flat LEFT JOIN marks USING (carrier_id))"
 GM = f"gm AS (SELECT carrier_id, y, x, {GAMMA} FROM px)"
@@ -47,7 +108,8 @@ def add(name: str, select: str, *ctes: str) -> None:
 
 
 # Sources
-add("pixels_from_arrays", "SELECT * FROM px")
+_value = "(embedding[i + 1]::DOUBLE + 1e0) * 127.5e0"
+ORACLE_SQL["pixels_from_arrays"] = f"SELECT vec_id AS carrier_id, (i // 8)::INT AS y, (i % 8)::INT AS x, {level(_value)} AS r, {level(f'255e0 - {_value}')} AS g, {level(f'{_value} / 2e0')} AS b FROM embeddings, range(0, 64) AS n(i)"
 add("synthetic_carriers", "SELECT carrier_id, y::INT AS y, x::INT AS x, ((x * 7 + y * 13 + (x * y) // 5 + carrier_id * 31) % 256)::INT AS r, ((x * 11 + y * 5 + carrier_id * 17) % 256)::INT AS g, (((x * x) // 7 + y * 3 + carrier_id * 23) % 256)::INT AS b FROM (SELECT DISTINCT carrier_id FROM px), range(0, 24) AS a(y), range(0, 20) AS c(x)")
 add("carrier_sizes", "SELECT * FROM dims", DIMS)
 add("flat_samples", "SELECT * FROM flat", FLAT)
@@ -56,13 +118,13 @@ add("write_pixels", f"SELECT carrier_id, y, x, {DEPTH}, 'bit_depth' AS attack_id
 
 # Colours
 add("to_level", f"SELECT carrier_id, y, x, {level('r * 1.37e0 - g * 0.5e0')} AS level FROM px")
-add("luma", f"SELECT carrier_id, y, x, round({f.luma()}, 6) AS v FROM px")
-add("yiq", _named({"l": f"round({f.luma()}, 6)", "i": f"round({f.yiq_i()}, 6) + 0e0", "q": f"round({f.yiq_q()}, 6) + 0e0"}))
-add("rgb_hsv", _named(f.to_hsv(SQL)))
-add("rgb_ycbcr", _named(f.to_ycbcr(SQL)))
-add("rgb_lab", _named(f.to_lab(SQL)))
-add("hsv_rgb", _named(f.from_hsv("h", "s", "v", SQL), "z"), f"z AS ({_named(f.to_hsv(SQL))})")
-add("ycbcr_rgb", _named(f.from_ycbcr("y_", "cb", "cr", SQL), "z"), f"z AS ({_named(f.to_ycbcr(SQL))})")
+add("luma", f"SELECT carrier_id, y, x, round({_sum(LUMA)}, 6) AS v FROM px")
+add("yiq", _named({"l": f"round({_sum(LUMA)}, 6)", "i": f"round({_sum(YIQ_I)}, 6) + 0e0", "q": f"round({_sum(YIQ_Q)}, 6) + 0e0"}))
+add("rgb_hsv", _named(_hsv()))
+add("rgb_ycbcr", _named(_ycbcr()))
+add("rgb_lab", _named(_lab()))
+add("hsv_rgb", _named(_from_hsv("h", "s", "v"), "z"), f"z AS ({_named(_hsv())})")
+add("ycbcr_rgb", _named(_from_ycbcr("y_", "cb", "cr"), "z"), f"z AS ({_named(_ycbcr())})")
 
 # Embedding
 add("lsb_embed", "SELECT * FROM marked", MARKS, FLAT, MARKED)
@@ -70,10 +132,10 @@ add("lsb_extract", "SELECT carrier_id, string_agg((level & 1)::VARCHAR, '' ORDER
 ORACLE_SQL["lsb_embed_table"] = f"""WITH {BITS},
 rows AS (SELECT l_suppkey AS carrier_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * 100)::BIGINT) - 1 AS pos, round(l_extendedprice * 100)::BIGINT AS cents FROM lineitem)
 SELECT carrier_id, pos, CASE WHEN pos < length(bits) THEN (cents & -2) | substr(bits, pos::INT + 1, 1)::INT ELSE cents END AS level
-FROM rows LEFT JOIN bits ON wm_id = carrier_id % 40"""
+FROM rows LEFT JOIN bits ON wm_id = carrier_id % (SELECT count(*) FROM benchmark)"""
 ORACLE_SQL["dropped_bits"] = f"""WITH {BITS},
 n AS (SELECT l_suppkey AS carrier_id, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT carrier_id, greatest(6 * length(bits) - n, 0)::BIGINT AS bits_dropped FROM n JOIN bits ON wm_id = carrier_id % 40"""
+SELECT carrier_id, greatest(6 * length(bits) - n, 0)::BIGINT AS bits_dropped FROM n LEFT JOIN bits ON wm_id = carrier_id % (SELECT count(*) FROM benchmark)"""
 _half = "half AS (SELECT carrier_id, pos, CASE WHEN pos < 64 THEN (level & 254) | substr(bits, pos::INT + 1, 1)::INT ELSE level END AS level FROM flat LEFT JOIN marks USING (carrier_id))"
 add("embed_suite", "SELECT *, 'whole' AS embedding_id FROM mp UNION ALL SELECT *, 'half' FROM hp", MARKS, FLAT, MARKED, MARKED_PX, _half, MARKED_PX.replace("mp AS", "hp AS").replace("FROM marked", "FROM half"))
 
@@ -81,18 +143,19 @@ add("embed_suite", "SELECT *, 'whole' AS embedding_id FROM mp UNION ALL SELECT *
 add("bit_depth", f"SELECT carrier_id, y, x, {DEPTH} FROM px")
 for _name in ("gamma", "gamma_lut_join"):
     add(_name, f"SELECT carrier_id, y, x, {GAMMA} FROM px")
-add("grayscale", f"SELECT carrier_id, y, x, {_each(lambda c: level(f.luma()))} FROM px")
+add("grayscale", f"SELECT carrier_id, y, x, {_each(lambda c: level(_sum(LUMA)))} FROM px")
 
 
-def _dither(levels: int, size: int) -> str:
-    m = point.bayer(size)
-    n, step = int(len(m) ** 0.5), 255 / (levels - 1)
-    grid = f"[{', '.join(f'{v / len(m)}::DOUBLE' for v in m)}][(y % {n}) * {n} + x % {n} + 1]"
-    return f"SELECT carrier_id, y, x, {_each(lambda c: level(f'floor({c} / {step}::DOUBLE + {grid} - 0.5e0 + 0.5e0) * {step}::DOUBLE'))} FROM px"
+def _dither(levels: int, matrix: tuple[int, ...]) -> str:
+    n, step = {16: 4, 64: 8}[len(matrix)], 255 / (levels - 1)
+    grid = f"[{', '.join(f'{v / len(matrix)}::DOUBLE' for v in matrix)}][(y % {n}) * {n} + x % {n} + 1]"
+    return f"SELECT carrier_id, y, x, {_each(lambda c: level(f'floor({c} / {step}::DOUBLE + {grid}) * {step}::DOUBLE'))} FROM px"
 
 
-add("dither_ordered", _dither(2, 4))
-add("dither_ordered_8", _dither(4, 8))
+#: Of the matrix of 8 * 8 each cell is four times that of 4 * 4, and that of its quarter in the smallest one.
+BAYER_8 = tuple(4 * BAYER_4[(y % 4) * 4 + x % 4] + ((0, 2), (3, 1))[y // 4][x // 4] for y in range(8) for x in range(8))
+add("dither_ordered", _dither(2, BAYER_4))
+add("dither_ordered_8", _dither(4, BAYER_8))
 
 
 def _mean(source: str, name: str) -> str:
@@ -103,21 +166,26 @@ add("brightness_contrast", f"SELECT carrier_id, y, x, {_each(lambda c: level(f'm
 
 
 def _draw(k: int, width: str) -> str:
-    return f"((2e0 * {f.uniform(f'''concat_ws(':', '0', carrier_id::VARCHAR, '{k}')''', SQL)} - 1e0) * {width}e0)"
+    return f"((2e0 * {_uniform(f'''concat_ws(':', '0', carrier_id::VARCHAR, '{k}')''')} - 1e0) * {width}e0)"
 
 
 add(
     "color_jitter",
-    _named(f.from_hsv("h", "s", "v", SQL), "turned"),
+    _named(_from_hsv("h", "s", "v"), "turned"),
     f"lit AS (SELECT carrier_id, y, x, {_each(lambda c: level(f'{c} * (1e0 + {_draw(0, '0.2')})'))} FROM px)",
     _mean("lit", "m"),
     f"flat AS (SELECT carrier_id, y, x, {_each(lambda c: level(f'mean + (1e0 + {_draw(1, '0.2')}) * ({c} - mean)'))} FROM lit JOIN m USING (carrier_id))",
-    f"grey AS (SELECT *, {level(f.luma())} AS grey FROM flat)",
+    f"grey AS (SELECT *, {level(_sum(LUMA))} AS grey FROM flat)",
     f"full_ AS (SELECT carrier_id, y, x, {_each(lambda c: level(f'grey + (1e0 + {_draw(2, '0.2')}) * ({c} - grey)'))} FROM grey)",
-    f"hsv AS ({_named(f.to_hsv(SQL), 'full_')})",
+    f"hsv AS ({_named(_hsv(), 'full_')})",
     f"turned AS (SELECT carrier_id, y, x, ((h + trunc({_draw(3, '0.05')} * 255e0)::INT) % 256 + 256) % 256 AS h, s, v FROM hsv)",
 )
 
+_normal = lambda c: "sqrt(-2e0 * ln(1e0 - {0})) * cos(6.283185307179586e0 * {1})".format(*(_uniform(f"concat_ws(':', '0', carrier_id::VARCHAR, y::VARCHAR, x::VARCHAR, '{c}{k}')") for k in (0, 1)))
+for _space, _to, _back in (("ycbcr", _ycbcr(), _from_ycbcr), ("hsv", _hsv(), _from_hsv), ("lab", _lab(), _from_lab)):
+    _noisy = ", ".join(f"{level(f'{n} + 10e0 * ({_normal(n)})')} AS {n}" for n in _to)
+    add(f"color_noise_{_space}", _named(_back(*_to), "noisy"), f"own AS ({_named(_to)})", f"noisy AS MATERIALIZED (SELECT carrier_id, y, x, {_noisy} FROM own)")
+
 # Histograms
 HIST = "h AS (SELECT carrier_id, c, level, count(*) AS n FROM (SELECT carrier_id, c, [r, g, b][c + 1] AS level FROM px, (VALUES (0), (1), (2)) AS n(c)) GROUP BY 1, 2, 3)"
 add("level_histogram", "SELECT * FROM h", HIST)
@@ -128,11 +196,12 @@ add(
     "s AS (SELECT *, sum(n) OVER (PARTITION BY carrier_id, c ORDER BY level) - n AS below, (sum(n) OVER (PARTITION BY carrier_id, c) - arg_max(n, level) OVER (PARTITION BY carrier_id, c)) // 255 AS step FROM h)",
     "t AS (SELECT carrier_id, c, level, CASE WHEN step = 0 THEN level ELSE least((step // 2 + below) // step, 255)::INT END AS w FROM s)",
 )
-add(
-    "clahe",
-    _named(f.from_ycbcr("z", "cb", "cr", SQL), "mixed"),
+#: Run by the tests, each on a connection of its own: DuckDB has stopped on it beside other queries.
+TEST_SQL: dict[str, str] = {}
+TEST_SQL["clahe"] = px(
+    _named(_from_ycbcr("z", "cb", "cr"), "mixed"),
     DIMS,
-    f"yc AS ({_named(f.to_ycbcr(SQL))})",
+    f"yc AS ({_named(_ycbcr())})",
     "own AS (SELECT yc.*, (height + 7) // 8 AS th, (width + 7) // 8 AS tw FROM yc JOIN dims USING (carrier_id))",
     "grid AS (SELECT carrier_id, ty, tx, bin FROM dims, range(0, 8) AS a(ty), range(0, 8) AS b(tx), range(0, 256) AS c(bin))",
     "cnt AS (SELECT carrier_id, y // th AS ty, x // tw AS tx, y_ AS bin, count(*) AS n FROM own GROUP BY 1, 2, 3, 4)",
@@ -142,12 +211,13 @@ add(
     "h3 AS (SELECT *, excess % 256 AS residual, CASE WHEN excess % 256 > 0 THEN greatest(1, 256 // (excess % 256)) ELSE 1 END AS stride FROM h2)",
     "h4 AS (SELECT carrier_id, ty, tx, bin, size, least(n, lim) + excess // 256 + CASE WHEN bin % stride = 0 AND bin // stride < residual THEN 1 ELSE 0 END AS m FROM h3)",
     "h5 AS (SELECT *, sum(m) OVER (PARTITION BY carrier_id, ty, tx ORDER BY bin) AS s, sum(m) OVER (PARTITION BY carrier_id, ty, tx) AS total FROM h4)",
-    "maps AS (SELECT carrier_id, ty, tx, bin, CASE WHEN size = 0 THEN bin / 255e0 * 255e0 ELSE s::DOUBLE / greatest(1e0, total::DOUBLE) * 255e0 END AS m FROM h5)",
-    "spot AS (SELECT *, least(greatest((y + 0.5e0) / th - 0.5e0, 0e0), 7e0) AS py, least(greatest((x + 0.5e0) / tw - 0.5e0, 0e0), 7e0) AS px_ FROM own)",
+    "maps AS MATERIALIZED (SELECT carrier_id, ty, tx, bin, CASE WHEN size = 0 THEN bin / 255e0 * 255e0 ELSE s::DOUBLE / greatest(1e0, total::DOUBLE) * 255e0 END AS m FROM h5)",
+    "near AS (SELECT *, least(greatest((y + 0.5e0) / th - 0.5e0, 0e0), 7e0) AS py, least(greatest((x + 0.5e0) / tw - 0.5e0, 0e0), 7e0) AS px_ FROM own)",
+    "spot AS MATERIALIZED (SELECT *, floor(py)::INT AS y0, least(floor(py)::INT + 1, 7) AS y1, floor(px_)::INT AS x0, least(floor(px_)::INT + 1, 7) AS x1 FROM near)",
     "mixed AS (SELECT spot.carrier_id, spot.y, spot.x, cb, cr, "
     + level("(a.m * (1e0 - (px_ - floor(px_))) + b.m * (px_ - floor(px_))) * (1e0 - (py - floor(py))) + (c.m * (1e0 - (px_ - floor(px_))) + d.m * (px_ - floor(px_))) * (py - floor(py))")
     + " AS z FROM spot "
-    + " ".join(f"JOIN maps {n} ON {n}.carrier_id = spot.carrier_id AND {n}.bin = y_ AND {n}.ty = least(floor(py)::INT + {i}, 7) AND {n}.tx = least(floor(px_)::INT + {j}, 7)" for n, i, j in (("a", 0, 0), ("b", 0, 1), ("c", 1, 0), ("d", 1, 1)))
+    + " ".join(f"JOIN maps {n} ON {n}.carrier_id = spot.carrier_id AND {n}.bin = y_ AND {n}.ty = y{i} AND {n}.tx = x{j}" for n, i, j in (("a", 0, 0), ("b", 0, 1), ("c", 1, 0), ("d", 1, 1)))
     + ")",
 )
 
@@ -201,11 +271,18 @@ def _pad(values: tuple[int, int, int]) -> str:
 
 add("crop_pad", _pad((255, 0, 255)), CENTER)
 add("crop_raw", f"SELECT carrier_id, y - top AS y, x - lft AS x, r, g, b FROM px JOIN reg USING (carrier_id) WHERE {INSIDE}", _region("0.6", "height - kh", "width - kw"))
-_random = {s: f.uniform(f"concat_ws(':', '3', carrier_id::VARCHAR, '{s}')", SQL) for s in ("top", "left")}
+_random = {s: _uniform(f"concat_ws(':', '3', carrier_id::VARCHAR, '{s}')") for s in ("top", "left")}
 add("crop_random", _pad((0, 0, 0)), _region("0.5", f"floor({_random['top']} * (height - kh + 1))::INT", f"floor({_random['left']} * (width - kw + 1))::INT"))
 CUT = f"cut AS (SELECT carrier_id, y - top AS y, x - lft AS x, r, g, b, height, width, kh, kw FROM px JOIN reg USING (carrier_id) WHERE {INSIDE})"
 add("crop_resize_nearest", "SELECT c.carrier_id, ty::INT AS y, tx::INT AS x, r, g, b FROM cut c, range(0, 32) AS a(ty), range(0, 32) AS b(tx) WHERE c.y = floor((ty + 0.5e0) * kh / height)::INT AND c.x = floor((tx + 0.5e0) * kw / width)::INT", CENTER, CUT)
-for _name, (_reach, _weight) in crop.RESAMPLE.items():
+_PI = "3.141592653589793e0"
+_sinc = lambda e: f"(sin({_PI} * ({e})) / ({_PI} * ({e})))"
+WEIGHTS = {
+    "bilinear": "CASE WHEN abs(d) < 1 THEN 1e0 - abs(d) ELSE 0e0 END",
+    "bicubic": "CASE WHEN abs(d) < 1 THEN 1e0 + d * d * (1.5e0 * abs(d) - 2.5e0) WHEN abs(d) < 2 THEN 2e0 + abs(d) * (-4e0 + abs(d) * (2.5e0 - 0.5e0 * abs(d))) ELSE 0e0 END",
+    "lanczos": f"CASE WHEN d = 0 THEN 1e0 WHEN abs(d) < 3 THEN {_sinc('d')} * {_sinc('d / 3e0')} ELSE 0e0 END",
+}
+for _name, _weight in WEIGHTS.items():
     _columns = f"wx AS (SELECT *, {_weight} AS w FROM (SELECT c.*, t, x + 0.5e0 - (t + 0.5e0) * kw / width AS d FROM cut c, range(0, 32) AS n(t))), cols AS (SELECT carrier_id, y, t AS x, height, width, kh, kw, " + ", ".join(f"sum({c} * w) / sum(w) AS {c}" for c in RGB) + " FROM wx WHERE w <> 0e0 GROUP BY ALL)"
     _rows = f"wy AS (SELECT *, {_weight} AS w FROM (SELECT c.*, t, y + 0.5e0 - (t + 0.5e0) * kh / height AS d FROM cols c, range(0, 32) AS n(t)))"
     add(f"crop_resize_{_name}", "SELECT carrier_id, t::INT AS y, x::INT AS x, " + _each(lambda c: level(f"round(sum({c} * w) / sum(w), 6)")) + " FROM wy WHERE w <> 0e0 GROUP BY carrier_id, t, x", CENTER, CUT, _columns, _rows)
@@ -225,7 +302,7 @@ PSNR = "CASE WHEN mse = 0 THEN 'inf'::DOUBLE ELSE 10e0 * log10(65025e0 / mse) EN
 add("paired_pixels", "SELECT * FROM d", PAIR)
 add("mse", "SELECT carrier_id, round(mse, 6) AS mse FROM e", PAIR, MSE)
 add("psnr", f"SELECT carrier_id, round({PSNR}, 6) AS psnr FROM e", PAIR, MSE)
-add("watermark_psnr", f"SELECT carrier_id, round({PSNR}, 6) AS psnr FROM e", GM, "e AS (SELECT carrier_id, avg(pow(" + f.luma("px.r", "px.g", "px.b") + " - " + f.luma("gm.r", "gm.g", "gm.b") + ", 2)) AS mse FROM px JOIN gm USING (carrier_id, y, x) WHERE y < 16 AND x < 16 GROUP BY 1)")
+add("watermark_psnr", f"SELECT carrier_id, round({PSNR}, 6) AS psnr FROM e", GM, "e AS (SELECT carrier_id, avg(pow(" + _sum(LUMA, ("px.r", "px.g", "px.b")) + " - " + _sum(LUMA, ("gm.r", "gm.g", "gm.b")) + ", 2)) AS mse FROM px JOIN gm USING (carrier_id, y, x) WHERE y < 16 AND x < 16 GROUP BY 1)")
 add("metric_suite", f"SELECT carrier_id, metric, round(CASE metric WHEN 'mse' THEN mse WHEN 'psnr' THEN {PSNR} WHEN 'max_difference' THEN most ELSE changed END, 6) AS value FROM e, (VALUES ('mse'), ('psnr'), ('max_difference'), ('changed')) AS n(metric)", PAIR, MSE)
 
 # Bits
@@ -255,11 +332,12 @@ SELECT user_id, s.value, round(((SELECT count(*) FROM events e WHERE event_type
 ORACLE_SQL["unmatched_labels"] = "SELECT doc_id AS sample_id, 'no_prediction' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'no_truth' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"
 
 # Neighbourhoods
-TAPS = neighbourhood.gauss1d()
+_bell = [math.exp(-(i * i) / 4.5) for i in range(-5, 6)]
+TAPS = [v / sum(_bell) for v in _bell]
 
 
 def _luma(name: str, source: str) -> str:
-    return f"{name} AS (SELECT carrier_id, y, x, {f.luma()} AS v FROM {source})"
+    return f"{name} AS (SELECT carrier_id, y, x, {_sum(LUMA)} AS v FROM {source})"
 
 
 def _valid(source: str, name: str, columns: tuple[str, ...]) -> str:
@@ -271,7 +349,7 @@ def _valid(source: str, name: str, columns: tuple[str, ...]) -> str:
 
 
 def _ssim(first: str, second: str, name: str) -> str:
-    c1, c2 = f"{neighbourhood.C1}::DOUBLE", f"{neighbourhood.C2}::DOUBLE"
+    c1, c2 = SSIM_1, SSIM_2
     five = f"{name}_five AS (SELECT p.carrier_id, p.y, p.x, p.v AS a, q.v AS b, p.v * p.v AS aa, q.v * q.v AS bb, p.v * q.v AS ab FROM {first} p JOIN {second} q USING (carrier_id, y, x))"
     cs = f"(2e0 * (ab - a * b) + {c2}) / ((aa - a * a) + (bb - b * b) + {c2})"
     return f"{five},\n{_valid(f'{name}_five', f'{name}_f', ('a', 'b', 'aa', 'bb', 'ab'))},\n{name} AS (SELECT carrier_id, y, x, (2e0 * a * b + {c1}) / (a * a + b * b + {c1}) * ({cs}) AS ssim, {cs} AS cs FROM {name}_f)"
@@ -287,16 +365,16 @@ _taps = ", ".join(f"({i - 5}, {t}::DOUBLE)" for i, t in enumerate(TAPS))
 add("sepfilter_same", f"SELECT carrier_id, y::INT AS y, x::INT AS x, round(sum(w * v), 6) AS v FROM (SELECT carrier_id, y - i AS y, x, w, v FROM zx, (VALUES {_taps}) AS t(i, w)) WHERE y BETWEEN 0 AND 31 GROUP BY 1, 2, 3", _luma("l", "px"), f"zx AS (SELECT carrier_id, y, x, sum(w * v) AS v FROM (SELECT carrier_id, y, x - i AS x, w, v FROM l, (VALUES {_taps}) AS t(i, w)) WHERE x BETWEEN 0 AND 31 GROUP BY 1, 2, 3)")
 _two = (GM, _luma("a0", "px"), _luma("b0", "gm"))
 add("ssim_map", "SELECT carrier_id, y, x, round(ssim, 6) AS ssim, round(cs, 6) AS cs FROM z", *_two, _ssim("a0", "b0", "z"))
-add("ssim", "SELECT carrier_id, round(avg(ssim), 6) AS ssim FROM z GROUP BY 1", *_two, _ssim("a0", "b0", "z"))
+add("ssim", "SELECT carrier_id, round(avg(ssim), 6) AS ssim, 'ok' AS status FROM z GROUP BY 1", *_two, _ssim("a0", "b0", "z"))
 add("downsample2", "SELECT carrier_id, y, x, round(v, 6) AS v FROM z", _luma("l", "px"), _half2("l", "z"))
 _big = "big AS (SELECT carrier_id, (y * 6 + dy)::INT AS y, (x * 6 + dx)::INT AS x, r, g, b FROM px, range(0, 6) AS i(dy), range(0, 6) AS j(dx))"
 _scales = [_ssim(f"a{k}", f"b{k}", f"z{k}") + (f",\n{_half2(f'a{k}', f'a{k + 1}')},\n{_half2(f'b{k}', f'b{k + 1}')}" if k < 4 else "") for k in range(5)]
-_means = ",\n".join(f"m{k} AS (SELECT carrier_id, pow(greatest(avg({'ssim' if k == 4 else 'cs'}), 1e-8), {w}e0) AS s{k} FROM z{k} GROUP BY 1)" for k, w in enumerate(neighbourhood.MS_WEIGHTS))
-add("ms_ssim", "SELECT carrier_id, round(s0 * s1 * s2 * s3 * s4, 6) AS ms_ssim FROM m0 JOIN m1 USING (carrier_id) JOIN m2 USING (carrier_id) JOIN m3 USING (carrier_id) JOIN m4 USING (carrier_id)", _big, f"gb AS (SELECT carrier_id, y, x, {GAMMA} FROM big)", _luma("a0", "big"), _luma("b0", "gb"), *_scales, _means)
+_means = ",\n".join(f"m{k} AS (SELECT carrier_id, pow(greatest(avg({'ssim' if k == 4 else 'cs'}), 1e-8), {w}e0) AS s{k} FROM z{k} GROUP BY 1)" for k, w in enumerate(SCALES))
+add("ms_ssim", "SELECT carrier_id, round(s0 * s1 * s2 * s3 * s4, 6) AS ms_ssim, 'ok' AS status FROM m0 JOIN m1 USING (carrier_id) JOIN m2 USING (carrier_id) JOIN m3 USING (carrier_id) JOIN m4 USING (carrier_id)", _big, f"gb AS (SELECT carrier_id, y, x, {GAMMA} FROM big)", _luma("a0", "big"), _luma("b0", "gb"), *_scales, _means)
 
 
 def _conv3(source: str, name: str) -> str:
-    taps = ", ".join(f"({i - 1}, {j - 1}, {neighbourhood.SCHARR_X[i][j]}::DOUBLE, {neighbourhood.SCHARR_Y[i][j]}::DOUBLE)" for i in range(3) for j in range(3))
+    taps = ", ".join(f"({i - 1}, {j - 1}, ({SCHARR[i][j] / 16})::DOUBLE, ({SCHARR[j][i] / 16})::DOUBLE)" for i in range(3) for j in range(3))
     return f"{name} AS (SELECT o.carrier_id, o.y, o.x, sum(hw * s.v) AS h, sum(ww * s.v) AS w FROM (SELECT carrier_id, y, x, least(greatest(y + i, 0), 31) AS sy, least(greatest(x + j, 0), 31) AS sx, hw, ww FROM {source}, (VALUES {taps}) AS t(i, j, hw, ww)) o JOIN {source} s ON s.carrier_id = o.carrier_id AND s.y = sy AND s.x = sx GROUP BY 1, 2, 3)"
 
 
@@ -313,7 +391,7 @@ def _box(source: str, name: str, factor: int) -> str:
 
 
 add("downsample_box", "SELECT carrier_id, y, x, round(v, 9) AS v FROM z", _luma("l", "px"), _box("l", "z", 4))
-_planes = [f"{n}{s} AS (SELECT carrier_id, y, x, {e} AS v FROM {src})" for n, e in (("i", f.yiq_i()), ("q", f.yiq_q())) for s, src in (("a", "px"), ("b", "gm"))]
+_planes = [f"{n}{s} AS (SELECT carrier_id, y, x, {e} AS v FROM {src})" for n, e in (("i", _sum(YIQ_I)), ("q", _sum(YIQ_Q))) for s, src in (("a", "px"), ("b", "gm"))]
 _boxes = [_box(f"{n}{s}", f"{n}{s}2", 2) for n in "iq" for s in "ab"]
 _like = lambda n: f"(2e0 * {n}a2.v * {n}b2.v + 200e0) / ({n}a2.v * {n}a2.v + {n}b2.v * {n}b2.v + 200e0)"
 add("chroma_similarity", "SELECT carrier_id, round(avg(sign(c) * pow(abs(c), 0.03e0)), 6) AS similarity FROM t GROUP BY 1", GM, *_planes, *_boxes, f"t AS (SELECT carrier_id, {_like('i')} * {_like('q')} AS c FROM ia2 JOIN ib2 USING (carrier_id, y, x) JOIN qa2 USING (carrier_id, y, x) JOIN qb2 USING (carrier_id, y, x))")

@@ -8,22 +8,40 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmark.operators import crop, embed, histogram, metrics, point
+from inkmark.functions.formulas import KEYS, RGB
+from inkmark.operators import crop, dct, embed, histogram, metrics, palette, point
+from inkmark.sources.carriers import sizes
+from inkmark.sources.scratch import stored
 
 Attack = Callable[[DataFrame], DataFrame]
 
-#: Registered distortions with their default parameters: id -> (category, distortion).
-ATTACKS: dict[str, tuple[str, Attack]] = {
+#: A few distortions, one or two of each category: id -> (category, distortion).
+BASIC: dict[str, tuple[str, Attack]] = {
     "lossless": ("compression", point.lossless),
     "bit_depth": ("color", point.bit_depth),
     "gamma": ("color", point.gamma),
     "crop_pad": ("geometric", crop.crop_pad),
 }
 
+#: All registered distortions with their default parameters.
+ATTACKS: dict[str, tuple[str, Attack]] = BASIC | {
+    "block_dct": ("compression", dct.block_dct),
+    "brightness_contrast": ("color", point.brightness_contrast),
+    "color_jitter": ("color", point.color_jitter),
+    "color_noise": ("color", point.color_noise),
+    "grayscale": ("color", point.grayscale),
+    "hist_equalize": ("color", histogram.hist_equalize),
+    "clahe": ("color", histogram.clahe),
+    "quantize_kmeans": ("color", palette.quantize_kmeans),
+    "quantize_median_cut": ("color", palette.quantize_median_cut),
+    "dither": ("color", point.dither),
+    "crop_resize": ("geometric", crop.crop_resize),
+}
+
 
 def attack_suite(pixels: DataFrame, attacks: dict[str, tuple[str, Attack]] | None = None) -> DataFrame:
     """The pixels after each distortion, tagged by category and attack_id. Any DataFrame -> DataFrame will do."""
-    done = [attack(pixels).withColumns({"category": F.lit(category), "attack_id": F.lit(name)}) for name, (category, attack) in (attacks or ATTACKS).items()]
+    done = [attack(pixels).withColumns({"category": F.lit(category), "attack_id": F.lit(name)}) for name, (category, attack) in (attacks or BASIC).items()]
     return reduce(DataFrame.unionByName, done)
 
 
@@ -42,14 +60,36 @@ def custom_attack(pixels: DataFrame, frame_function: Callable, schema: str = "ca
 
 
 def robustness(pixels: DataFrame, marks: DataFrame, num_bits: int, attacks: dict[str, tuple[str, Attack]] | None = None) -> DataFrame:
-    """(category, attack_id, carrier_id, ber, nc, psnr, status) of every distortion of every marked carrier."""
-    marked, rows = embed.embed_pixels(pixels, marks), []
+    """(category, attack_id, carrier_id, ber, nc, psnr, status) of every distortion of every marked carrier.
+
+    The marked pixels are stored once and carry their own levels and place along. A distortion that keeps them, as
+    row-local ones do, needs no join: all of these are scored by one aggregate. The others are joined by place.
+    """
+    marked = embed.embed_pixels(pixels, marks)
+    placed = marked.join(sizes(marked), "carrier_id").select(*KEYS, *RGB, F.expr("(cast(y as bigint) * width + x) * 3").alias("at"), *[F.col(c).alias(f"old_{c}") for c in RGB])
+    placed = stored(placed, "marked")
+    plain, kept, moved = placed.select(*KEYS, *RGB), [], []
     for name, (category, attack) in (attacks or ATTACKS).items():
-        hit = attack(marked)
-        pairs = marks.select("carrier_id", F.left("bits", F.lit(num_bits)).alias("original")).join(embed.extract_pixels(hit, num_bits).withColumnRenamed("bits", "extracted"), "carrier_id")
-        scored = metrics.compared_bits(pairs).select("carrier_id", "status", (F.col("wrong") / F.col("n")).alias("ber"), ((F.col("n") - 2 * F.col("wrong")) / F.col("n")).alias("nc"))
-        rows.append(scored.join(metrics.psnr(marked, hit), "carrier_id").withColumns({"category": F.lit(category), "attack_id": F.lit(name)}))
-    return reduce(DataFrame.unionByName, rows)
+        tags = {"category": F.lit(category), "attack_id": F.lit(name)}
+        hit = attack(placed)
+        if "old_r" in hit.columns:
+            kept.append(hit.select(*placed.columns).withColumns(tags))
+        else:
+            hit = attack(plain)
+            both = embed.extract_pixels(hit, num_bits).join(metrics.mse(plain, hit), "carrier_id")
+            moved.append(both.withColumns(tags))
+    found = moved
+    if kept:
+        each = reduce(DataFrame.unionByName, kept)
+        square = F.sum(F.expr(" + ".join(f"cast(({c} - old_{c}) * ({c} - old_{c}) as bigint)" for c in RGB)))
+        low = F.concat(*[F.col(c).bitwiseAND(F.lit(1)).cast("string") for c in RGB])
+        bits = F.array_sort(F.collect_list(F.when(F.col("at") < num_bits, F.struct("at", low.alias("bit")))))  # num_bits at most
+        scored = each.groupBy("category", "attack_id", "carrier_id").agg((square / (3 * F.count("*"))).alias("mse"), bits.alias("all"))
+        found = [*moved, scored.select("category", "attack_id", "carrier_id", "mse", F.left(F.array_join("all.bit", ""), F.lit(num_bits)).alias("bits"))]
+    rows = reduce(DataFrame.unionByName, found).withColumnRenamed("bits", "extracted")
+    pairs = metrics.compared_bits(marks.select("carrier_id", F.left("bits", F.lit(num_bits)).alias("original")).join(rows, "carrier_id"))
+    wrong, n = F.col("wrong"), F.col("n")
+    return pairs.select("category", "attack_id", "carrier_id", (wrong / n).alias("ber"), ((n - 2 * wrong) / n).alias("nc"), metrics.psnr_of(F.col("mse")).alias("psnr"), "status")
 
 
 def suite_report(scored: DataFrame) -> DataFrame:

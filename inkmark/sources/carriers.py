@@ -17,11 +17,14 @@ EXTENSIONS = ("png", "bmp", "tiff", "tif", "ppm")
 def mosaic(vectors: DataFrame, tiles: int = 4, tile: int = 8) -> DataFrame:
     """vectors(vec_id, embedding) -> pixels(carrier_id, y, x, r, g, b).
 
-    A vector is a tile of one channel, in row order; 3 * tiles**2 vectors are a carrier. Incomplete carriers go.
+    A vector is a tile of one channel, in row order; 3 * tiles**2 vectors are a carrier. What a carrier lacks is black.
     """
-    own = vectors.select(F.expr(f"vec_id div {3 * tiles * tiles}").alias("carrier_id"), F.expr(f"cast(pmod(vec_id, {3 * tiles * tiles}) as int)").alias("k"), "embedding")
-    full = own.groupBy("carrier_id").count().where(F.col("count") == 3 * tiles * tiles)
-    own = own.join(full, "carrier_id", "left_semi").withColumn("t", F.expr("k div 3").cast("int"))
+    n = 3 * tiles * tiles
+    own = vectors.select(F.expr(f"vec_id div {n}").alias("carrier_id"), F.expr(f"cast(pmod(vec_id, {n}) as int)").alias("k"), "embedding")
+    there = own.groupBy("carrier_id").agg(F.collect_set("k").alias("there")).where(F.size("there") < n)  # n at most
+    lacks = there.select("carrier_id", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), F.col("there"))).alias("k"))
+    black = F.array_repeat(F.lit(-1.0), tile * tile).cast(vectors.schema["embedding"].dataType)
+    own = own.unionByName(lacks.withColumn("embedding", black)).withColumn("t", F.expr("k div 3").cast("int"))
     channel = [F.first(F.when(F.col("k") % 3 == i, F.col("embedding")), ignorenulls=True).alias(c) for i, c in enumerate(RGB)]
     rows = own.groupBy("carrier_id", "t").agg(*channel).select("carrier_id", "t", F.posexplode(F.arrays_zip(*RGB)).alias("i", "p"))
     at = rows.where(F.col("i") < tile * tile).select("carrier_id", F.expr(f"cast((t div {tiles}) * {tile} + i div {tile} as int)").alias("y"), F.expr(f"cast((t % {tiles}) * {tile} + i % {tile} as int)").alias("x"), *[F.col(f"p.{c}").cast("double").alias(c) for c in RGB])
