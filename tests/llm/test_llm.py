@@ -484,6 +484,32 @@ def test_links_of_a_table_equal_brute_force(spark):
     assert 0.98 * true <= found <= true
 
 
+@pytest.mark.parametrize("n, sided", [(0, False), (1, False), (2, True), (12, True), (13, False), (120, False), (120, True)])
+def test_blocks_equal_brute_force(n, sided):
+    """Few and many lines, in groups that are linked before, of one side or of two: the components of all pairs."""
+    rng = random.Random(n)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 120))) for _ in range(5)]
+    texts = []
+    for _ in range(n):
+        x = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            x[rng.randrange(len(x))] = rng.choice("xyz")
+        texts.append("".join(x)[: rng.choice([200, 200, 15, 3])])
+    groups, sides = [rng.randrange(n) for _ in range(n)], [rng.randint(0, 1) if sided else 0 for _ in range(n)]
+    sets = [{x[k : k + lines.SHINGLE] for k in range(len(x) - lines.SHINGLE + 1)} for x in texts]
+    apart = len(set(sides)) > 1
+    every = [(i, j) for i in range(n) for j in range(i) if not (apart and sides[i] == sides[j]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0]
+
+    def parts(links):
+        name = list(groups)
+        for i, j in links:
+            name = [name[i] if x == name[j] else x for x in name]
+        return {frozenset(k for k in range(n) if name[k] == x) for x in name}
+
+    found = lines.forest(texts, groups, sides)
+    assert parts(found) == parts(every) and all(groups[i] != groups[j] for i, j in found)
+
+
 def test_names_are_those_of_sql(spark):
     texts = ["", "a", "aé日 x" * 9]
     rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", F.xxhash64("t"), F.xxhash64("t", F.lit("line"))).collect()
