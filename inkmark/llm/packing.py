@@ -50,7 +50,7 @@ class Packer:
 
     def __init__(self, tokens: int = 2048, segments: int = 256, loss: int | None = None, pool: int = 512):
         self.limits = np.array([tokens, segments, loss or tokens], float)
-        self.size, self.pieces = np.zeros((pool, 3)), [None] * pool
+        self.size, self.pieces = np.zeros((3, pool)), [None] * pool  # a free place has no size
         self.free, self.held = list(range(pool)), 0
         self.closed: Counter = Counter()  # sequences by the limit that ended them
 
@@ -73,12 +73,12 @@ class Packer:
 
     def _put(self, piece: Piece) -> None:
         at = self.free.pop()
-        self.pieces[at], self.size[at] = piece, (len(piece.ids), 1, piece.loss)
+        self.pieces[at], self.size[:, at] = piece, (len(piece.ids), 1, piece.loss)
         self.held += len(piece.ids)
 
     def _take(self, at: int) -> Piece:
         piece, self.pieces[at] = self.pieces[at], None
-        self.size[at] = 0
+        self.size[:, at] = 0
         self.free.append(at)
         self.held -= len(piece.ids)
         return piece
@@ -87,14 +87,15 @@ class Packer:
         room, found, n = self.limits.copy(), [], 0
         room[0] = tokens
         while room[0] > 0 and room[1] > 0 and self.held:
-            weight = self.size @ (room / self.limits**2)
-            fits = (self.size <= room).all(1) & (self.size[:, 0] > 0)
-            if fits.any():
-                piece = self._take(int(np.argmax(np.where(fits, weight, -1.0))))
+            weight = (room / self.limits**2) @ self.size
+            length, _, loss = self.size
+            fitting = np.where((length <= room[0]) & (loss <= room[2]), weight, 0.0)  # a segment fits while there is room
+            at = int(fitting.argmax())
+            if fitting[at] > 0:
+                piece = self._take(at)
             else:
-                loss, length = self.size[:, 2], self.size[:, 0]
                 most = np.minimum(np.minimum(room[0], length), room[2] + (length - loss))  # what bears no loss comes first
-                at = int(np.argmax(np.where(most > 0, weight, -1.0)))
+                at = int(np.where(most > 0, weight, -1.0).argmax())
                 if most[at] <= 0:
                     break
                 piece, rest = self._take(at).cut(int(most[at]))
@@ -121,7 +122,7 @@ class Packer:
         if not self.free:  # a cut piece comes back into a full pool
             self.free.append(len(self.pieces))
             self.pieces.append(None)
-            self.size = np.vstack([self.size, np.zeros((1, 3))])
+            self.size = np.hstack([self.size, np.zeros((3, 1))])
         self._put(piece)
 
     def rest(self) -> Iterator[list[Piece]]:
