@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmark.llm import html, lines, packing, quality, sharding, simhash, syncmers, tokenizing, toxicity, warc
+from inkmark.llm import html, lines, packing, quality, sharding, simhash, syncmers, tokenizing, toxicity, warc, whitening
 from inkmark.llm.common import new_folder, table
 
 
@@ -64,6 +64,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whitening.whole("embedding", 64, 1_000_000).alias("x"))
+    return whitening.whiten(rows).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html": op2_html,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_syncmers": op8_syncmers,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
