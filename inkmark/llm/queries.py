@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmark.llm import html, lines, packing, quality, sharding, simhash, syncmers, tokenizing, toxicity, warc, whitening
+from inkmark.llm import html, langid, lines, packing, quality, sharding, simhash, syncmers, tokenizing, toxicity, warc, whitening
 from inkmark.llm.common import new_folder, table
 
 
@@ -69,6 +69,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(rows).withColumnRenamed("id", "vec_id")
 
 
+def op13_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs), spans=True).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html": op2_html,
@@ -81,6 +87,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
     "op12_whitening": op12_whitening,
+    "op13_langid": op13_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {
