@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmark.llm import html, langid, lines, packing, quality, sharding, simhash, syncmers, tokenizing, toxicity, warc, whitening
+from inkmark.llm import html, langid, lines, negatives, packing, quality, sharding, simhash, syncmers, tokenizing, toxicity, warc, whitening
 from inkmark.llm.common import new_folder, table
 
 
@@ -64,6 +64,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    own = rows.select("vec_id", label.alias("label"), whitening.whole("embedding", 256).alias("x"))
+    return negatives.mine(own, F.col("vec_id") % 50 == 0)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", whitening.whole("embedding", 64, 1_000_000).alias("x"))
     return whitening.whiten(rows).withColumnRenamed("id", "vec_id")
@@ -86,6 +93,7 @@ QUERIES = {
     "op8_syncmers": op8_syncmers,
     "op9_quality": op9_quality,
     "op10_sharding": op10_sharding,
+    "op11_negatives": op11_negatives,
     "op12_whitening": op12_whitening,
     "op13_langid": op13_langid,
 }
@@ -120,4 +128,14 @@ b AS (
              + 32 * (word_chars > 20 * n_words)::INT)::BIGINT AS fail_bits
   FROM m)
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b""",
+    "op11_negatives": r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score FROM e a, e b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+w AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * s.score BETWEEN 50 * positive_score AND 95 * positive_score),
+r AS (SELECT *, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id))::INT AS rank FROM w)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 3""",
 }
