@@ -46,9 +46,9 @@ SCRIPTS = {
 }
 
 #: Bounds of what is fitted: labelled rows of a language at most, sequences of each length at most. A language uses a
-#: script that has this share of its letters. Cost of a switch, of a word outside a language's scripts, weight of the
-#: shorter sequence's estimate, words that are scored at once.
-LANGUAGE_ROWS, GRAMS, SCRIPT_SHARE, SWITCH, OUTSIDE, BACK_OFF, AT_ONCE = 4_000, 300_000, 0.005, 14.0, 12.0, 4.0, 400_000
+#: script that has this share of its letters. Cost of a switch, of a word outside a language's scripts, most that
+#: a word says against a language, weight of the shorter sequence's estimate, code points that are scored at once.
+LANGUAGE_ROWS, GRAMS, SCRIPT_SHARE, SWITCH, OUTSIDE, WORD, BACK_OFF, AT_ONCE = 4_000, 300_000, 0.005, 14.0, 12.0, 10.0, 4.0, 2_000_000
 UNKNOWN = "und"
 _WORDS = "\\p{L}[\\p{L}\\p{M}]*"
 _WIDE = 0x110000
@@ -136,7 +136,9 @@ class Model:
         out = np.add.reduceat(found, w.begin)
         script = _tables()[2][c[w.begin]]
         allowed = self.uses[script]
-        return out - np.where(allowed | ~allowed.any(1, keepdims=True), 0.0, OUTSIDE)
+        allowed = allowed | ~allowed.any(1, keepdims=True)
+        best = np.where(allowed, out, -np.inf).max(1, keepdims=True)
+        return np.clip(out, best - WORD, best) - np.where(allowed, 0.0, OUTSIDE)
 
 
 def viterbi(scores: np.ndarray, text: np.ndarray, texts: int, prior: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -273,8 +275,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, found, todo, size = [t or "" for t in b.column(1).to_pylist()], [], [], 0
-            for t in texts:  # a few million code points at once, or one text
-                if todo and size + len(t) > AT_ONCE * 5:
+            for t in texts:  # so many code points at once, or one text
+                if todo and size + len(t) > AT_ONCE:
                     found, todo, size = found + label(model, todo, spans), [], 0
                 todo.append(t)
                 size += len(t)
