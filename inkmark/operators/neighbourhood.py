@@ -126,25 +126,41 @@ def gradient_similarity(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.groupBy("carrier_id").agg(F.avg(F.expr(f"(2e0 * a * b + {GRADIENT_C}) / (a * a + b * b + {GRADIENT_C})")).alias("similarity"))
 
 
-def correlate(plane: DataFrame, kernel: list[list[float]], step: int = 1, start: int = 0, edge: str = "reflect") -> DataFrame:
-    """Correlation at every step-th place from start; edge: reflect (not repeating the last) or symmetric (repeating it).
+def along(plane: DataFrame, outs: dict[str, list[tuple[str, list[float]]]], axis: str, edge: str = "reflect", start: int = 0, step: int = 1) -> DataFrame:
+    """Filters along an axis: each out is a sum over (column, taps) of near values times taps, centred at len // 2.
 
-    Only the places asked for are computed: each input pixel is sent to the outputs that it reaches, directly and
-    over the edges, with its weight.
+    Near values are lags and leads within a carrier's row or column; places beyond the edges are mirrored (reflect:
+    the last isn't repeated; symmetric: it is), again and again in a short one. Computed at every step-th place from
+    start, which are numbered anew.
     """
     if edge not in ("reflect", "symmetric"):
         raise ValueError(f"unknown edge {edge}")
-    kh, kw, skip = len(kernel), len(kernel[0]), 1 if edge == "reflect" else 0
-    dims = plane.groupBy("carrier_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
-    own = plane.join(dims, "carrier_id")
-    for a, size, k in (("y", "height", kh), ("x", "width", kw)):
-        images = f"array_distinct(array({a}, -{a} - 1 + {skip}, 2 * {size} - 1 - {skip} - {a}))"
-        outs = f"flatten(transform({images}, m -> filter(transform(sequence(0, {k - 1}), t -> struct(m + {k // 2} - t as o, t as t)), s -> s.o >= {start} and s.o < {size} and (s.o - {start}) % {step} = 0)))"
-        own = own.withColumn(f"o{a}", F.explode(F.expr(outs)))
-    weights = F.array(*[F.lit(float(w)) for row in kernel for w in row])
-    own = own.withColumn("w", F.get(weights, F.col("oy.t") * kw + F.col("ox.t")))
-    keys = ["carrier_id", F.expr(f"cast((oy.o - {start}) div {step} as int)").alias("y"), F.expr(f"cast((ox.o - {start}) div {step} as int)").alias("x")]
-    return own.groupBy(*keys).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    reach = max(len(taps) // 2 for parts in outs.values() for _, taps in parts)
+    w, names = _along(axis), list(dict.fromkeys(c for parts in outs.values() for c, _ in parts))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = plane.select(*KEYS, (F.max(axis).over(whole) + 1).alias("__n"), *[F.array(*[_shifted(c, i, w) for i in range(-reach, reach + 1)]).alias(c) for c in names])
+    near = near.where((F.col(axis) >= start) & ((F.col(axis) - start) % step == 0))
+    round_trip = "greatest(1, 2 * (__n - 1))" if edge == "reflect" else "2 * __n"
+    back = "2 * (__n - 1)" if edge == "reflect" else "2 * __n - 1"
+    at = [f"pmod({axis} + {i}, {round_trip})" for i in range(-reach, reach + 1)]
+    places = [F.expr(f"int(if({m} < __n, {m}, {back} - {m}) - {axis} + {reach})").alias(f"__p{i}") for i, m in enumerate(at)]
+    near = near.select(*KEYS, F.expr(f"{axis} >= {reach} and {axis} + {reach} < __n").alias("__inside"), *places, *names)
+    near = near.select(*KEYS, *[F.expr(f"if(__inside, {c}, array({', '.join(f'get({c}, __p{i})' for i in range(len(at)))}))").alias(c) for c in names])
+    own = {n: F.expr(f"cast(({n} - {start}) div {step} as int)") if n == axis else F.col(n) for n in KEYS}
+    sums = {out: [F.lit(float(t)) * F.get(F.col(c), F.lit(reach - len(taps) // 2 + i)) for c, taps in parts for i, t in enumerate(taps) if t] for out, parts in outs.items()}
+    return near.select(*[c.alias(n) for n, c in own.items()], *[sum(terms[1:], terms[0]).alias(out) if terms else F.lit(0.0).alias(out) for out, terms in sums.items()])
+
+
+def correlate(plane: DataFrame, kernel: list[list[float]], step: int = 1, start: int = 0, edge: str = "reflect") -> DataFrame:
+    """Correlation at every step-th place from start; edge: reflect (not repeating the last) or symmetric (repeating it).
+
+    A row of the kernel is a filter along the rows of the frame, equal ones are computed once; their sums down the
+    columns are the second pass. Only the places asked for go from one to the other.
+    """
+    lines = [tuple(float(w) for w in row) for row in kernel]
+    unlike = list(dict.fromkeys(lines))
+    rows = along(plane, {f"c{k}": [("v", list(line))] for k, line in enumerate(unlike)}, "x", edge, start, step)
+    return along(rows, {"v": [(f"c{k}", [float(line == own) for line in lines]) for k, own in enumerate(unlike)]}, "y", edge, start, step)
 
 
 def downsample_box(plane: DataFrame, factor: int) -> DataFrame:

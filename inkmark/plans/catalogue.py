@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from inkmark.functions import formulas as f
 from inkmark.functions.formulas import KEYS, RGB, level
-from inkmark.operators import crop, dct, detector, embed, histogram, metrics, neighbourhood, palette, point
+from inkmark.operators import crop, dct, detector, embed, fidelity, histogram, metrics, neighbourhood, palette, point, pyramid
 from inkmark.plans import suite
-from inkmark.plans.oracle import ORACLE_SQL
+from inkmark.plans.oracle_bands import ORACLE_SQL
 from inkmark.sources import carriers
 from inkmark.sources.scratch import new_folder
 
@@ -240,6 +240,43 @@ _KERNEL = [[(5 - abs(i - 2)) * (5 - abs(j - 2)) / 100 for j in range(5)] for i i
 query(lambda px: _rounded(neighbourhood.correlate(neighbourhood.luma_plane(px), _KERNEL, 3, 1), "v"), "correlate_strided")
 
 
+# Oriented bands
+def large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mosaics of 72 * 72, which all scales of the bands fit in."""
+    return carriers.mosaic(_table(spark, sf_dir, "embeddings"), tiles=9)
+
+
+def oriented_subbands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scales = pyramid.oriented_subbands(neighbourhood.luma_plane(large(spark, sf_dir)))
+    return _rounded(pyramid.long_subbands(scales), "v")
+
+
+def vifsub_est(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the scales and orientations that count, edges mirrored."""
+    both = neighbourhood.paired(*_luma_pair(large(spark, sf_dir)))
+    scales = pyramid.oriented_subbands(both, fidelity.HEIGHT, fidelity.ORIENTATIONS, ("a", "b"))
+    pairs = tuple((f"a_{k}", f"b_{k}") for k in fidelity.ORIENTATIONS)
+    found = [fidelity.vifsub_est(s, fidelity.window_side(i), pairs=pairs) for i, s in enumerate(scales)]
+    each = [s.select(*KEYS, *[F.col(f"{n}_a_{k}").alias(f"{n}_{k}") for k in fidelity.ORIENTATIONS for n in ("gain", "noise")]) for s in found]
+    return _rounded(pyramid.long_subbands(each, fidelity.ORIENTATIONS, ("gain", "noise")), "gain", "noise")
+
+
+def _parameters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    scales = pyramid.oriented_subbands(neighbourhood.luma_plane(large(spark, sf_dir)), fidelity.HEIGHT, fidelity.ORIENTATIONS)
+    return fidelity.refparams_vecgsm(scales)
+
+
+def vecgsm_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _parameters(spark, sf_dir)[1].select(*fidelity.BAND, F.posexplode("eigenvalues").alias("i", "eigenvalue"))
+    return _rounded(each, "eigenvalue")
+
+
+for _f in (oriented_subbands, vifsub_est, vecgsm_eigenvalues):
+    QUERIES[_f.__name__] = _f
+QUERIES["refparams_vecgsm"] = lambda spark, sf_dir: _rounded(_parameters(spark, sf_dir)[0], "multiplier")
+QUERIES["vif"] = lambda spark, sf_dir: _rounded(fidelity.vif(*_luma_pair(large(spark, sf_dir))), "vif")
+
+
 # Suites
 def suite_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
