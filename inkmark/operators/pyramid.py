@@ -42,7 +42,8 @@ def steering(k: int) -> list[float]:
 
 
 def gain() -> float:
-    """Makes the energies of all orientations add up to 1 at the frequency that the bands pass most."""
+    """Makes the energies of all orientations add up to 1 at the frequency that the bands pass most, but for the few
+    hundredths that the cut of the bell at seven taps adds."""
     across = sum(math.exp(-(((i - BAND_TAPS // 2) / BAND_SPREAD) ** 2) / 2) for i in range(BAND_TAPS))
     along_x = sum(v * math.sin(math.pi / 2 * (i - BAND_TAPS // 2)) for i, v in enumerate(bell(BAND_TAPS, BAND_SPREAD, ORDER)))
     total = sum(math.cos(math.pi * k / ORIENTATIONS) ** (2 * ORDER) for k in range(ORIENTATIONS))
