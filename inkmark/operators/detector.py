@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from inkmark.operators.ordered import running
 
-#: At most this many value ranges; their bounds are approximate quantiles, a bounded list on the driver.
-RANGES = 64
-
-
 def unmatched_labels(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """(sample_id, side): the samples that one side lacks."""
     a, b = truth.select("sample_id").distinct(), predicted.select("sample_id").distinct()
@@ -59,24 +55,21 @@ def auc(detections: DataFrame) -> DataFrame:
     return total.select("detector_id", F.when((F.col("p") == 0) | (F.col("n") == 0), F.lit(float("nan"))).otherwise(F.col("won") / (2 * F.col("p") * F.col("n"))).alias("auc"))
 
 
-def p_value(statistics: DataFrame, null_samples: DataFrame) -> DataFrame:
-    """statistics(..., value) with p_value = (#{null >= value} + 1) / (n + 1); NaN with an empty null sample.
+def p_value(statistics: DataFrame, null_samples: DataFrame, by: str | None = None) -> DataFrame:
+    """statistics(..., value) with p_value = (#{null >= value} + 1) / (n + 1) against the null values of the same `by`
+    (all of them without it); NaN with an empty null sample, null for a null value.
 
-    A range join by two levels of sums: null values are counted by value and dealt into ranges; a statistic takes the
-    total of the ranges above its own, and the running count within it. No pair is formed.
+    A range join by (by, value): null values and statistics are counted by value together, and the counts summed up by
+    ranges, as many as the shuffle has partitions. No pair is formed and no task holds a whole sample.
     """
-    values = null_samples.where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    cuts = sorted(set(values.approxQuantile("value", [i / RANGES for i in range(1, RANGES)], 0.01)))
-    at = sum((F.when(F.col("value") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    ranged = values.withColumn("range", at)
-    totals = ranged.groupBy("range").agg(F.sum("n").alias("n"))
-    w = Window.orderBy(F.desc("range"))  # RANGES rows
-    grid = statistics.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("range")).join(totals, "range", "left").fillna(0, ["n"])
-    above = grid.select("range", (F.sum("n").over(w) - F.col("n")).alias("above"), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
-    names = statistics.columns
-    own = statistics.select(F.struct(*names).alias("s"), F.col("value"), F.lit(0).cast("bigint").alias("n")).withColumn("range", at)
-    both = own.unionByName(ranged.select(F.lit(None).cast(own.schema["s"].dataType).alias("s"), "value", "n", "range"))
-    down = Window.partitionBy("range").orderBy(F.desc("value")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    run = both.withColumn("here", F.sum("n").over(down)).where("s is not null").join(F.broadcast(above), "range")
-    p = F.when(F.col("all") == 0, F.lit(float("nan"))).otherwise((F.col("above") + F.col("here") + 1) / (F.col("all") + 1))
-    return run.select("s.*", p.alias("p_value"))
+    own = F.col(by) if by else F.lit(0)
+    null_ = null_samples.where("value is not null").select(own.alias("__group"), "value", F.lit(1).alias("n"), F.lit(False).alias("asked"))
+    ask = statistics.where("value is not null").select(own.alias("__group"), "value", F.lit(0).alias("n"), F.lit(True).alias("asked"))
+    counts = null_.unionByName(ask).groupBy("__group", "value").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    below = running(counts, "__group", ["value"], F.col("n"), "below").where("asked").select("__group", F.col("value").alias("__at"), "below")
+    total = null_.groupBy("__group").agg(F.count("*").alias("__n")).withColumnRenamed("__group", "__of")
+    named = statistics.withColumn("__own", own)
+    placed = named.join(below, F.col("__own").eqNullSafe(F.col("__group")) & (F.col("value") == F.col("__at")), "left").join(total, F.col("__own").eqNullSafe(F.col("__of")), "left")
+    n = F.coalesce(F.col("__n"), F.lit(0))
+    p = F.when(F.col("value").isNull(), F.lit(None).cast("double")).when(n == 0, F.lit(float("nan"))).otherwise((n - F.col("below") + 1) / (n + 1))
+    return placed.select(*statistics.columns, p.alias("p_value"))

@@ -49,11 +49,13 @@ def window_sums(plane: DataFrame, names: list[str], side: int, step: int = 1, ed
             at = f"explode(filter(array({axis}, -{axis}, 2 * (__n - 1) - {axis}), (p, i) -> i = 0 or i = 1 and p < 0 and p >= -{h} or i = 2 and p >= __n and p < __n + {h}))"
             plane = plane.withColumn("__n", n).withColumn("__at", F.expr(at)).drop(axis).withColumnRenamed("__at", axis)
             keep = f"{axis} + {h} < __n"
-        piece = Window.partitionBy("carrier_id", "y" if axis == "x" else "x", "__piece")
-        up, down = (piece.orderBy(o).rowsBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc(axis), F.desc(axis)))
+        line = ("carrier_id", "y" if axis == "x" else "x")
+        piece = Window.partitionBy(*line, "__piece").orderBy(axis)
+        up, down = piece.rowsBetween(Window.unboundedPreceding, Window.currentRow), piece.rowsBetween(Window.currentRow, Window.unboundedFollowing)
         cut = plane.withColumn("__piece", F.floor(F.col(axis) / side).cast("int"))
-        cut = cut.withColumns({f"__u_{c}": F.sum(c).over(up) for c in names}).withColumns({f"__d_{c}": F.sum(c).over(down) for c in names})
-        to = {f"__t_{c}": F.lead(f"__u_{c}", 2 * h).over(w) if h else F.col(f"__u_{c}") for c in names}
+        cut = cut.withColumns({f"__u_{c}": F.sum(c).over(up) for c in names} | {f"__d_{c}": F.sum(c).over(down) for c in names})
+        ordered = Window.partitionBy(*line).orderBy("__piece", axis)  # the order that the pieces are in already
+        to = {f"__t_{c}": F.lead(f"__u_{c}", 2 * h).over(ordered) if h else F.col(f"__u_{c}") for c in names}
         first = cut.withColumns(to).where(f"{keep} and {axis} + {h} >= {start} and ({axis} + {h} - {start}) % {step} = 0 and __t_{names[0]} is not null")
         own = {k: F.expr(f"cast(({k} + {h} - {start}) div {step} as int)") if k == axis else F.col(k) for k in KEYS}
         plane = first.select(*[c.alias(k) for k, c in own.items()], *[F.expr(f"if({axis} = __piece * {side}, __t_{c}, __d_{c} + __t_{c})").alias(c) for c in names])
@@ -65,18 +67,27 @@ def frame_sizes(plane: DataFrame) -> DataFrame:
     return stored(plane.groupBy("carrier_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")), "sizes")
 
 
-def _whole_blocks(plane: DataFrame, block: int, sizes: DataFrame | None = None) -> DataFrame:
-    """Without the last rows and columns that don't fill a block. sizes(carrier_id, height, width) of the frames."""
+def _sized(plane: DataFrame, scale: int = 0, sizes: DataFrame | None = None) -> DataFrame:
+    """plane with a key (of, scale, height, width) for carrier_id: what every later step needs to know of a frame goes
+    along in its key, so that sizes are joined once."""
     own = plane.join(frame_sizes(plane) if sizes is None else sizes, "carrier_id")
-    return own.where(f"y < height - height % {block} and x < width - width % {block}").select(*plane.columns)
+    key = F.struct(F.col("carrier_id").alias("of"), F.lit(scale).alias("scale"), "height", "width")
+    return own.withColumn("carrier_id", key).select(*plane.columns)
 
 
-def vifsub_est(bands: DataFrame, side: int, block: int = BLOCK, pairs: tuple[tuple[str, str], ...] = (("a", "b"),), edge: str = "reflect", sizes: DataFrame | None = None) -> DataFrame:
-    """(carrier_id, y, x, gain_<a>, noise_<a> of each pair of columns): b as gain times a and noise, by block.
+def _at_scale(plane: DataFrame, scale: int) -> DataFrame:
+    """The key of a scale of a plane whose key is of the finest."""
+    half = lambda c: F.expr(f"cast((carrier_id.{c} + {2**scale - 1}) div {2**scale} as int)").alias(c)
+    return plane.withColumn("carrier_id", F.struct("carrier_id.of", F.lit(scale).alias("scale"), half("height"), half("width")))
 
-    Without variance of a all of b's is noise; without variance of b there is neither; a negative gain is none.
-    """
-    own = _whole_blocks(bands, block, sizes)
+
+def _whole_blocks(sized: DataFrame, block: int) -> DataFrame:
+    """Without the last rows and columns that don't fill a block."""
+    return sized.where(f"y < carrier_id.height - carrier_id.height % {block} and x < carrier_id.width - carrier_id.width % {block}")
+
+
+def _channel(sized: DataFrame, side: int, block: int, pairs: tuple[tuple[str, str], ...], edge: str) -> DataFrame:
+    own = _whole_blocks(sized, block)
     five = {f"{a}{n}": e for a, b in pairs for n, e in (("_s", f"{a}"), ("_t", f"{b}"), ("_ss", f"{a} * {a}"), ("_tt", f"{b} * {b}"), ("_st", f"{a} * {b}"))}
     sums = window_sums(own.select(*KEYS, *[F.expr(e).alias(n) for n, e in five.items()]), list(five), side, block, edge)
     n, out = float(side * side), []
@@ -90,6 +101,15 @@ def vifsub_est(bands: DataFrame, side: int, block: int = BLOCK, pairs: tuple[tup
     return sums.select(*KEYS, *out)
 
 
+def vifsub_est(bands: DataFrame, side: int, block: int = BLOCK, pairs: tuple[tuple[str, str], ...] = (("a", "b"),), edge: str = "reflect") -> DataFrame:
+    """(carrier_id, y, x, gain_<a>, noise_<a> of each pair of columns): b as gain times a and noise, by block.
+
+    Without variance of a all of b's is noise; without variance of b there is neither; a negative gain is none.
+    """
+    found = _channel(_sized(bands), side, block, pairs, edge)
+    return found.withColumn("carrier_id", F.col("carrier_id.of"))
+
+
 BAND = ("carrier_id", "scale", "orientation")
 
 
@@ -142,17 +162,16 @@ def _blocks(bands: DataFrame, name: str, block: int) -> DataFrame:
     return bands.groupBy(*by).agg(*cells).select(*BAND, "y", "x", F.array(*[f"p{i}" for i in range(block * block)]).alias("p"))
 
 
-def refparams_vecgsm(scales: list[DataFrame], orientations: tuple[int, ...] = ORIENTATIONS, name: str = "v", block: int = BLOCK, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """((BAND..., y, x, multiplier) by block, (BAND..., eigenvalues)) of bands by scale as oriented_subbands gives them.
+def _long(plane: DataFrame, orientations: tuple[int, ...], names: tuple[str, ...]) -> DataFrame:
+    """(BAND..., y, x, names...) of a plane whose key is of a frame and a scale."""
+    each = ", ".join(f"{k}, " + ", ".join(f"{c}_{k}" for c in names) for k in orientations)
+    rows = plane.select(F.col("carrier_id.of").alias("carrier_id"), F.col("carrier_id.scale").alias("scale"), "y", "x", F.expr(f"stack({len(orientations)}, {each}) as (orientation, {', '.join(names)})"))
+    return rows.select(*BAND, "y", "x", *names)
 
-    The covariance is of overlapping neighbourhoods, the multiplier of blocks that don't overlap: their quadratic form
-    with the inverse covariance, over the number of values. Null where a band's covariance has no inverse. sizes: of
-    the frames that the finest scale is of.
-    """
+
+def _parameters(sized: DataFrame, orientations: tuple[int, ...], name: str, block: int) -> tuple[DataFrame, DataFrame]:
     names = [f"{name}_{k}" for k in orientations]
-    sizes = frame_sizes(scales[0]) if sizes is None else sizes
-    # a frame and a scale are one key from here on, so that all scales share every window and aggregate
-    own = _scaled([_whole_blocks(s.select(*KEYS, *names), block, _at_scale(sizes, i)) for i, s in enumerate(scales)])
+    own = _whole_blocks(sized.select(*KEYS, *names), block)
     near = _long(_neighbourhoods(own, names, block), orientations, (name,)).withColumnRenamed(name, "p")
     found = stored(eigen(gram(near, block), block), "covariances")
     blocks, k = _blocks(_long(own, orientations, (name,)), name, block), block * block
@@ -161,21 +180,14 @@ def refparams_vecgsm(scales: list[DataFrame], orientations: tuple[int, ...] = OR
     return placed, found.select(*BAND, "eigenvalues")
 
 
-def _at_scale(sizes: DataFrame, scale: int) -> DataFrame:
-    half = lambda c: F.expr(f"cast(({c} + {2**scale - 1}) div {2**scale} as int)").alias(c)
-    return sizes.select("carrier_id", half("height"), half("width"))
-
-
-def _scaled(scales: list[DataFrame]) -> DataFrame:
-    each = [s.withColumn("carrier_id", F.struct("carrier_id", F.lit(i).alias("scale"))) for i, s in enumerate(scales)]
-    return reduce(DataFrame.unionByName, each)
-
+def refparams_vecgsm(scales: list[DataFrame], orientations: tuple[int, ...] = ORIENTATIONS, name: str = "v", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """((BAND..., y, x, multiplier) by block, (BAND..., eigenvalues)) of bands by scale as oriented_subbands gives them.
 
-def _long(plane: DataFrame, orientations: tuple[int, ...], names: tuple[str, ...]) -> DataFrame:
-    """(BAND..., y, x, names...) of a plane whose carrier_id is of a frame and a scale."""
-    each = ", ".join(f"{k}, " + ", ".join(f"{c}_{k}" for c in names) for k in orientations)
-    rows = plane.select(F.col("carrier_id.carrier_id").alias("carrier_id"), F.col("carrier_id.scale").alias("scale"), "y", "x", F.expr(f"stack({len(orientations)}, {each}) as (orientation, {', '.join(names)})"))
-    return rows.select(*BAND, "y", "x", *names)
+    The covariance is of overlapping neighbourhoods, the multiplier of blocks that don't overlap: their quadratic form
+    with the inverse covariance, over the number of values. Null where a band's covariance has no inverse. All scales
+    share every window and aggregate.
+    """
+    return _parameters(reduce(DataFrame.unionByName, [_sized(s, i) for i, s in enumerate(scales)]), orientations, name, block)
 
 
 def vif(first: DataFrame, second: DataFrame, block: int = BLOCK, sigma: float = SIGMA) -> DataFrame:
@@ -189,17 +201,16 @@ def vif(first: DataFrame, second: DataFrame, block: int = BLOCK, sigma: float =
     both = paired(first, second)
     sizes = frame_sizes(both)
     side = F.least("height", "width")
-    fine = sizes.where(side >= 24 * block)
-    scales = oriented_subbands(both.join(fine, "carrier_id", "left_semi"), HEIGHT, ORIENTATIONS, ("a", "b"))
+    own = oriented_subbands(_sized(both, 0, sizes.where(side >= 24 * block)), HEIGHT, ORIENTATIONS, ("a", "b"))
+    scales = [_at_scale(s, i) for i, s in enumerate(own)]
     pairs, channel = tuple((f"a_{k}", f"b_{k}") for k in ORIENTATIONS), []
     for i, s in enumerate(scales):
-        own = _at_scale(fine, i)
-        found = vifsub_est(s, window_side(i), block, pairs, "inside", own).join(own, "carrier_id")
         off = -(-(window_side(i) // 2) // block)
-        found = found.where(f"y >= {off} and y < height div {block} - {off} and x >= {off} and x < width div {block} - {off}")
+        found = _channel(s, window_side(i), block, pairs, "inside")
+        found = found.where(f"y >= {off} and y < carrier_id.height div {block} - {off} and x >= {off} and x < carrier_id.width div {block} - {off}")
         channel.append(found.select(*KEYS, *[F.col(f"{n}_a_{k}").alias(f"{n}_{k}") for k in ORIENTATIONS for n in ("gain", "noise")]))
-    lost = _long(_scaled(channel), ORIENTATIONS, ("gain", "noise"))
-    multiplier, values = refparams_vecgsm(scales, ORIENTATIONS, "a", block, fine)
+    lost = stored(_long(reduce(DataFrame.unionByName, channel), ORIENTATIONS, ("gain", "noise")), "channel")
+    multiplier, values = _parameters(reduce(DataFrame.unionByName, scales), ORIENTATIONS, "a", block)
     blocks = lost.join(multiplier, [*BAND, "y", "x"]).join(values, list(BAND)).where("multiplier is not null")
     logs = lambda e: " + ".join(f"log2(1e0 + {e.format(f'get(eigenvalues, {i})')})" for i in range(block * block))
     kept = F.sum(F.expr(logs(f"gain * gain * multiplier * {{}} / (noise + {sigma}D)")))

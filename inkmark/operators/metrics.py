@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkmark.functions.formulas import KEYS, RGB, luma
 from inkmark.operators.embed import BINARY
+from inkmark.operators.tiles import Mergeable, user_metrics
 
 
 def paired_pixels(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -78,13 +79,14 @@ def strict(scored: DataFrame, metric: str) -> DataFrame:
     return scored.withColumn(metric, F.when(F.col("status") == "ok", F.col(metric)).otherwise(F.raise_error(F.col("status")).cast("double"))).drop("status")
 
 
-def metric_suite(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(carrier_id, metric, value): what one pass over the paired pixels gives, as rows."""
+def metric_suite(first: DataFrame, second: DataFrame, own: dict[str, Mergeable] | None = None) -> DataFrame:
+    """(carrier_id, metric, value): what one pass over the paired pixels gives, as rows, and a user's own metrics."""
     d = paired_pixels(first, second)
     square, most = F.sum(F.expr("cast(dr * dr + dg * dg + db * db as bigint)")), F.max(F.greatest(*[F.abs(f"d{c}") for c in RGB]))
     both = d.groupBy("carrier_id").agg((square / (3 * F.count("*"))).alias("mse"), most.cast("double").alias("max_difference"), F.avg(F.expr("case when dr <> 0 or dg <> 0 or db <> 0 then 1e0 else 0e0 end")).alias("changed"))
     both = both.withColumn("psnr", psnr_of(F.col("mse")))
-    return both.select("carrier_id", F.expr("stack(4, 'mse', mse, 'psnr', psnr, 'max_difference', max_difference, 'changed', changed) as (metric, value)"))
+    built_in = both.select("carrier_id", F.expr("stack(4, 'mse', mse, 'psnr', psnr, 'max_difference', max_difference, 'changed', changed) as (metric, value)"))
+    return built_in.unionByName(user_metrics(first, second, own)) if own else built_in
 
 
 def lossless_diff(first: DataFrame, second: DataFrame) -> DataFrame:

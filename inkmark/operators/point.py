@@ -29,11 +29,15 @@ def bit_depth(pixels: DataFrame, bits: int = 4) -> DataFrame:
     return _each(pixels, lambda c: level(f"shiftright({c}, {8 - bits}) * 255e0 / {2**bits - 1}e0"))
 
 
-def gamma(pixels: DataFrame, gamma: float = 1.5) -> DataFrame:
-    """Through a table of 256 levels, folded into a literal: no power a pixel."""
+def gamma_table(gamma: float) -> list[int]:
     if gamma <= 0:
         raise ValueError(f"gamma must be over zero, not {gamma}")
-    lut = F.array(*[F.lit(round(255 * (v / 255) ** gamma)) for v in range(256)])
+    return [round(255 * (v / 255) ** gamma) for v in range(256)]
+
+
+def gamma(pixels: DataFrame, gamma: float = 1.5) -> DataFrame:
+    """Through a table of 256 levels, folded into a literal: no power a pixel."""
+    lut = F.array(*[F.lit(v) for v in gamma_table(gamma)])
     return pixels.select(*others(pixels), *[F.get(lut, F.col(c)).alias(c) for c in RGB])
 
 

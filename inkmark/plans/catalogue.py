@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from inkmark.functions import formulas as f
 from inkmark.functions.formulas import KEYS, RGB, level
-from inkmark.operators import crop, dct, detector, embed, fidelity, histogram, metrics, neighbourhood, palette, point, pyramid
+from inkmark.operators import crop, dct, detector, embed, fidelity, histogram, metrics, neighbourhood, palette, point, pyramid, tiles
 from inkmark.plans import suite
 from inkmark.plans.oracle_bands import ORACLE_SQL
-from inkmark.sources import carriers
-from inkmark.sources.scratch import new_folder
+from inkmark.sources import carriers, files
+from inkmark.sources.scratch import new_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,7 +87,21 @@ def write_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carriers.write_pixels(px.select(*KEYS, *RGB, "attack_id"), new_folder(spark, "pixels"))
 
 
-QUERIES["write_pixels"] = write_pixels
+def carrier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mosaics as image files in strips of twelve rows, read again in splits of a few rows."""
+    path = new_folder(spark, "images")
+    files.write_carriers(pixels(spark, sf_dir), path, strip=12)
+    return files.read_carriers(spark, path, split=4096).select(*KEYS, *RGB)
+
+
+def carrier_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and bytes of the files that hold the mosaics."""
+    path = new_folder(spark, "images")
+    files.write_carriers(pixels(spark, sf_dir), path, strip=12)
+    return carriers.list_carriers(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+QUERIES["write_pixels"], QUERIES["carrier_files"], QUERIES["carrier_listing"] = write_pixels, carrier_files, carrier_listing
 
 # Colours
 query(lambda px: px.select(*KEYS, F.expr(level("r * 1.37e0 - g * 0.5e0")).alias("level")), "to_level")
@@ -163,6 +177,7 @@ query(dct.block_dct, "block_dct")
 query(suite.attack_suite, "attack_suite")
 query(lambda px: suite.attack_chain(px, point.bit_depth, point.gamma, crop.crop_pad), "attack_chain")
 query(lambda px: suite.param_sweep(px, point.gamma, [0.5, 1.0, 2.0]), "param_sweep")
+query(lambda px: suite.lut_sweep(px, point.gamma_table, [0.4, 0.8, 1.6, 3.2]), "lut_sweep")
 query(lambda px: metrics.lossless_diff(px, point.lossless(px)), "lossless_diff")
 
 
@@ -172,6 +187,34 @@ def _mirrored(frame):
 
 query(lambda px: suite.custom_attack(px, _mirrored), "custom_attack")
 
+def _softened(levels):
+    """Means of three by three, nearer pixels weighing more, of an array."""
+    for axis in (0, 1):
+        before, after = (levels.take(range(levels.shape[axis]), axis).copy() for _ in range(2))
+        if axis == 0:
+            before[1:], after[:-1] = levels[:-1], levels[1:]
+        else:
+            before[:, 1:], after[:, :-1] = levels[:, :-1], levels[:, 1:]
+        levels = (before + 2 * levels + after) / 4
+    return levels
+
+
+query(lambda px: tiles.tiled_attack(px, _softened, tile=12, halo=1), "tiled_attack")
+
+
+def palette_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of each carrier, and of all, over several distortions: whether sketches of each carrier and distortion,
+    merged, come within four standard errors of the exact number."""
+    px = suite.attack_suite(pixels(spark, sf_dir))
+    parts = stored(palette.color_sketches(px, "attack_id"), "sketches")
+    about = palette.merged_colors(parts, "carrier_id").unionByName(palette.merged_colors(parts).withColumn("carrier_id", F.lit(None).cast("bigint")))
+    exact = px.groupBy("carrier_id").agg(F.countDistinct(*RGB).alias("exact")).unionByName(px.agg(F.countDistinct(*RGB).alias("exact")).withColumn("carrier_id", F.lit(None).cast("bigint")))
+    both = about.join(exact, about.carrier_id.eqNullSafe(exact.carrier_id)).select(about.carrier_id, "n_colors", "exact")
+    return both.select("carrier_id", "exact", (F.abs(F.col("n_colors") - F.col("exact")) <= F.greatest(F.lit(1), 0.065 * F.col("exact"))).alias("within"))
+
+
+QUERIES["palette_sketch"] = palette_sketch
+
 # Pixel metrics
 query(lambda px: metrics.paired_pixels(px, _distorted(px)), "paired_pixels")
 query(lambda px: _rounded(metrics.mse(px, _distorted(px)), "mse"), "mse")
@@ -180,6 +223,21 @@ query(lambda px: _rounded(metrics.watermark_psnr(px, crop.crop_raw(_distorted(px
 query(lambda px: _rounded(metrics.metric_suite(px, _distorted(px)), "value"), "metric_suite")
 
 
+def user_metrics() -> dict[str, tiles.Mergeable]:
+    """Written as a user would: the mean squared error, and how far the histograms of the levels lie apart."""
+    import numpy as np
+
+    def counted(levels):
+        return np.stack([np.bincount(levels[:, c].astype(int), minlength=256) for c in range(3)]).astype(float)
+
+    square = tiles.Mergeable(lambda: np.zeros(2), lambda s, a, b: s + [((a - b).astype(float) ** 2).sum(), a.size], lambda s: s[0] / s[1])
+    apart = tiles.Mergeable(lambda: np.zeros((2, 3, 256)), lambda s, a, b: s + np.stack([counted(a), counted(b)]), lambda s: np.abs(s[0] - s[1]).sum() / (2 * s[0].sum()))
+    return {"own_mse": square, "histogram_distance": apart}
+
+
+query(lambda px: _rounded(metrics.metric_suite(px, _distorted(px), user_metrics()), "value"), "user_metrics")
+
+
 # Bits
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
@@ -216,12 +274,19 @@ def p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(detector.p_value(bought, events.where("event_type = 'view'").select("value")), "p_value")
 
 
+def p_value_by_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detector a type of event: users' means against all values of the type; purchases have no null sample."""
+    events = _table(spark, sf_dir, "events").withColumnRenamed("event_type", "detector_id")
+    means = events.groupBy("detector_id", "user_id").agg(F.round(F.avg("value"), 9).alias("value"))
+    return _rounded(detector.p_value(means, events.where("detector_id <> 'purchase'").select("detector_id", "value"), "detector_id"), "p_value")
+
+
 def unmatched_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"))
     return detector.unmatched_labels(docs, _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("sample_id")))
 
 
-QUERIES["p_value"], QUERIES["unmatched_labels"] = p_value, unmatched_labels
+QUERIES["p_value"], QUERIES["p_value_by_detector"], QUERIES["unmatched_labels"] = p_value, p_value_by_detector, unmatched_labels
 
 # Neighbourhoods
 _TAPS = neighbourhood.gauss1d()

@@ -116,6 +116,10 @@ add("flat_samples", "SELECT * FROM flat", FLAT)
 DEPTH = _each(lambda c: level(f"({c} >> 4) * 255e0 / 15e0"))
 add("write_pixels", f"SELECT carrier_id, y, x, {DEPTH}, 'bit_depth' AS attack_id FROM px UNION ALL SELECT *, 'lossless' FROM px")
 
+ORACLE_SQL["carrier_files"] = px("SELECT * FROM px")
+_heights = "CASE WHEN row = 24 THEN 8 ELSE 12 END"
+add("carrier_listing", f"SELECT 'carrier-' || carrier_id || '-row-' || row || '.ppm' AS name, (strlen('P6.255.# carrier .# row .# height 32.32 .' || carrier_id || row || {_heights}) + 3 * 32 * {_heights})::BIGINT AS length FROM (SELECT DISTINCT carrier_id FROM px), (VALUES (0), (12), (24)) AS n(row)")
+
 # Colours
 add("to_level", f"SELECT carrier_id, y, x, {level('r * 1.37e0 - g * 0.5e0')} AS level FROM px")
 add("luma", f"SELECT carrier_id, y, x, round({_sum(LUMA)}, 6) AS v FROM px")
@@ -292,6 +296,10 @@ _suite = f"SELECT *, 'compression' AS category, 'lossless' AS attack_id FROM {{0
 add("attack_suite", _suite.format("px"), CENTER)
 add("attack_chain", "SELECT carrier_id, y, x, " + ", ".join(f"CASE WHEN {INSIDE} THEN {c} ELSE 0 END AS {c}" for c in RGB) + " FROM ch JOIN reg USING (carrier_id)", CENTER, f"bd AS (SELECT carrier_id, y, x, {DEPTH} FROM px)", f"ch AS (SELECT carrier_id, y, x, {GAMMA} FROM bd)")
 add("param_sweep", " UNION ALL ".join(f"SELECT carrier_id, y, x, {_each(lambda c, p=p: level(f'255e0 * pow({c} / 255e0, {p}e0)'))}, {p}e0 AS param FROM px" for p in ("0.5", "1.0", "2.0")))
+add("lut_sweep", f"SELECT carrier_id, y, x, {_each(lambda c: level(f'255e0 * pow({c} / 255e0, param)'))}, param FROM px, (VALUES (0.4e0), (0.8e0), (1.6e0), (3.2e0)) AS n(param)")
+_near3 = "SELECT carrier_id, y, x, least(greatest(y + i, 0), 31) AS sy, least(greatest(x + j, 0), 31) AS sx, (2 - abs(i)) * (2 - abs(j)) AS w FROM px, range(-1, 2) AS a(i), range(-1, 2) AS b(j)"
+add("tiled_attack", f"SELECT o.carrier_id, o.y, o.x, {_each(lambda c: level(f'sum(w * s.{c}) / 16e0'))} FROM ({_near3}) o JOIN px s ON s.carrier_id = o.carrier_id AND s.y = sy AND s.x = sx GROUP BY 1, 2, 3")
+add("palette_sketch", "SELECT carrier_id, count(DISTINCT (r, g, b)) AS exact, true AS within FROM all_ GROUP BY 1 UNION ALL SELECT NULL, count(DISTINCT (r, g, b)), true FROM all_", CENTER, f"all_ AS ({_suite.format('px')})")
 add("lossless_diff", "SELECT *, 'first' AS side FROM px WHERE false")
 add("custom_attack", "SELECT carrier_id, y, 31 - x AS x, r, g, b FROM px")
 
@@ -304,6 +312,9 @@ add("mse", "SELECT carrier_id, round(mse, 6) AS mse FROM e", PAIR, MSE)
 add("psnr", f"SELECT carrier_id, round({PSNR}, 6) AS psnr FROM e", PAIR, MSE)
 add("watermark_psnr", f"SELECT carrier_id, round({PSNR}, 6) AS psnr FROM e", GM, "e AS (SELECT carrier_id, avg(pow(" + _sum(LUMA, ("px.r", "px.g", "px.b")) + " - " + _sum(LUMA, ("gm.r", "gm.g", "gm.b")) + ", 2)) AS mse FROM px JOIN gm USING (carrier_id, y, x) WHERE y < 16 AND x < 16 GROUP BY 1)")
 add("metric_suite", f"SELECT carrier_id, metric, round(CASE metric WHEN 'mse' THEN mse WHEN 'psnr' THEN {PSNR} WHEN 'max_difference' THEN most ELSE changed END, 6) AS value FROM e, (VALUES ('mse'), ('psnr'), ('max_difference'), ('changed')) AS n(metric)", PAIR, MSE)
+_levels = "SELECT carrier_id, c, which, level, count(*) AS n FROM (SELECT px.carrier_id, c, which, CASE which WHEN 0 THEN [px.r, px.g, px.b][c + 1] ELSE [gm.r, gm.g, gm.b][c + 1] END AS level FROM px JOIN gm USING (carrier_id, y, x), range(0, 3) AS a(c), range(0, 2) AS b(which)) GROUP BY 1, 2, 3, 4"
+_apart = f"apart AS (SELECT carrier_id, sum(abs(a)) / (2 * sum(first)) AS far FROM (SELECT carrier_id, c, level, sum(CASE which WHEN 0 THEN n ELSE -n END) AS a, sum(CASE which WHEN 0 THEN n ELSE 0 END) AS first FROM ({_levels}) GROUP BY 1, 2, 3) GROUP BY 1)"
+add("user_metrics", f"SELECT carrier_id, metric, round(CASE metric WHEN 'mse' THEN mse WHEN 'own_mse' THEN mse WHEN 'psnr' THEN {PSNR} WHEN 'max_difference' THEN most WHEN 'changed' THEN changed ELSE far END, 6) AS value FROM e JOIN apart USING (carrier_id), (VALUES ('mse'), ('psnr'), ('max_difference'), ('changed'), ('own_mse'), ('histogram_distance')) AS n(metric)", PAIR, MSE, _apart)
 
 # Bits
 _seven = level("(level >> 1) * 255e0 / 127e0")
@@ -329,6 +340,8 @@ ORACLE_SQL["auc"] = f"""WITH {DET}, pairs AS (SELECT a.detector_id, avg(CASE WHE
 SELECT d.detector_id, coalesce(round(auc, 6), 'nan'::DOUBLE) AS auc FROM (SELECT DISTINCT detector_id FROM det) d LEFT JOIN pairs USING (detector_id)"""
 ORACLE_SQL["p_value"] = """WITH s AS (SELECT user_id, round(avg(value), 9) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1)
 SELECT user_id, s.value, round(((SELECT count(*) FROM events e WHERE event_type = 'view' AND e.value >= s.value) + 1) / ((SELECT count(*) FROM events WHERE event_type = 'view' AND value IS NOT NULL) + 1)::DOUBLE, 6) AS p_value FROM s"""
+ORACLE_SQL["p_value_by_detector"] = """WITH e AS (SELECT event_type AS detector_id, user_id, value FROM events), s AS (SELECT detector_id, user_id, round(avg(value), 9) AS value FROM e GROUP BY 1, 2)
+SELECT s.detector_id, s.user_id, s.value, CASE WHEN s.detector_id = 'purchase' THEN 'nan'::DOUBLE ELSE round((count(*) FILTER (e.value >= s.value) + 1) / (count(e.value) + 1)::DOUBLE, 6) END AS p_value FROM s JOIN e USING (detector_id) GROUP BY 1, 2, 3"""
 ORACLE_SQL["unmatched_labels"] = "SELECT doc_id AS sample_id, 'no_prediction' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'no_truth' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"
 
 # Neighbourhoods

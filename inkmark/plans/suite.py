@@ -54,6 +54,14 @@ def param_sweep(pixels: DataFrame, attack: Callable[[DataFrame, float], DataFram
     return reduce(DataFrame.unionByName, [attack(pixels, v).withColumn("param", F.lit(float(v))) for v in values])
 
 
+def lut_sweep(pixels: DataFrame, table: Callable[[float], list[int]], values: list[float]) -> DataFrame:
+    """Distortions by a table of 256 levels at each of a list of strengths, tagged by param: pixels are read once, and
+    a row becomes one for each strength."""
+    each = [F.struct(F.lit(float(v)).alias("param"), F.array(*[F.lit(int(to)) for to in table(v)]).alias("to")) for v in values]
+    rows = pixels.select(*KEYS, *RGB, F.explode(F.array(*each)).alias("__of"))
+    return rows.select(*KEYS, *[F.get(F.col("__of.to"), F.col(c)).alias(c) for c in RGB], F.col("__of.param").alias("param"))
+
+
 def custom_attack(pixels: DataFrame, frame_function: Callable, schema: str = "carrier_id long, y int, x int, r int, g int, b int") -> DataFrame:
     """A pandas function of one carrier's pixels, for what columns can't express; a carrier must fit into a task."""
     return pixels.groupBy("carrier_id").applyInPandas(frame_function, schema)
