@@ -46,8 +46,8 @@ def block_dct(pixels: DataFrame, quality: int = 75) -> DataFrame:
         q = F.array(*[F.lit(float(v)) for v in _scaled(LUMA if p == "y_" else CHROMA, quality)])
         flat = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at(F.col(p), i), F.lit(128)).cast("double") - 128.0)
         coefficients = let(let(flat, lambda m: times(m, True)), lambda m: times(m, True))
-        rounded = F.transform(coefficients, lambda c, i: F.bround(c / F.get(q, i), 0) * F.get(q, i))
-        return F.transform(let(let(rounded, lambda m: times(m, False)), lambda m: times(m, False)), lambda v: v + 128.0)
+        rounded = F.transform(coefficients, lambda c, i: F.bround(F.round(c, 9) / F.get(q, i), 0) * F.get(q, i))  # rounded first: ties don't hang on the order of a sum
+        return F.transform(let(let(rounded, lambda m: times(m, False)), lambda m: times(m, False)), lambda v: F.round(v + 128.0, 6))
 
     done = blocks.select("carrier_id", "by", "bx", "there", *[coded(p).alias(p) for p in planes]).select("carrier_id", "by", "bx", *planes, F.explode("there").alias("i"))
     done = done.select("carrier_id", F.expr("cast(by * 8 + i div 8 as int)").alias("y"), F.expr("cast(bx * 8 + i % 8 as int)").alias("x"), *[F.get(p, F.col("i")).alias(p) for p in planes])

@@ -103,8 +103,18 @@ def _named(formulas: dict[str, str], source: str = "px") -> str:
     return f"SELECT carrier_id, y, x, {', '.join(f'{e} AS {n}' for n, e in formulas.items())} FROM {source}"
 
 
+#: What each query over pixels selects, and from which tables: the report applies it to other pixels.
+PARTS: dict[str, tuple[str, tuple[str, ...]]] = {}
+
+
 def add(name: str, select: str, *ctes: str) -> None:
-    ORACLE_SQL[name] = px(select, *ctes)
+    ORACLE_SQL[name], PARTS[name] = px(select, *ctes), (select, ctes)
+
+
+def applied(name: str, source: str) -> str:
+    """The query's text over the pixels of another table."""
+    select, ctes = PARTS[name]
+    return "WITH " + ",\n".join([f"px AS (SELECT * FROM {source})", *ctes]) + f" {select}"
 
 
 # Sources
@@ -200,14 +210,13 @@ add(
     "s AS (SELECT *, sum(n) OVER (PARTITION BY carrier_id, c ORDER BY level) - n AS below, (sum(n) OVER (PARTITION BY carrier_id, c) - arg_max(n, level) OVER (PARTITION BY carrier_id, c)) // 255 AS step FROM h)",
     "t AS (SELECT carrier_id, c, level, CASE WHEN step = 0 THEN level ELSE least((step // 2 + below) // step, 255)::INT END AS w FROM s)",
 )
-#: Run by the tests, each on a connection of its own: DuckDB has stopped on it beside other queries.
-TEST_SQL: dict[str, str] = {}
-TEST_SQL["clahe"] = px(
+add(
+    "clahe",
     _named(_from_ycbcr("z", "cb", "cr"), "mixed"),
     DIMS,
     f"yc AS ({_named(_ycbcr())})",
-    "own AS (SELECT yc.*, (height + 7) // 8 AS th, (width + 7) // 8 AS tw FROM yc JOIN dims USING (carrier_id))",
-    "grid AS (SELECT carrier_id, ty, tx, bin FROM dims, range(0, 8) AS a(ty), range(0, 8) AS b(tx), range(0, 256) AS c(bin))",
+    "own AS MATERIALIZED (SELECT yc.*, (height + 7) // 8 AS th, (width + 7) // 8 AS tw FROM yc JOIN dims USING (carrier_id))",
+    "grid AS MATERIALIZED (SELECT carrier_id, ty, tx, bin FROM dims, range(0, 8) AS a(ty), range(0, 8) AS b(tx), range(0, 256) AS c(bin))",
     "cnt AS (SELECT carrier_id, y // th AS ty, x // tw AS tx, y_ AS bin, count(*) AS n FROM own GROUP BY 1, 2, 3, 4)",
     "h0 AS (SELECT grid.*, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY carrier_id, ty, tx) AS size FROM grid LEFT JOIN cnt USING (carrier_id, ty, tx, bin))",
     "h1 AS (SELECT *, greatest(1, trunc(2e0 * size / 256e0)::BIGINT) AS lim FROM h0)",
@@ -215,13 +224,14 @@ TEST_SQL["clahe"] = px(
     "h3 AS (SELECT *, excess % 256 AS residual, CASE WHEN excess % 256 > 0 THEN greatest(1, 256 // (excess % 256)) ELSE 1 END AS stride FROM h2)",
     "h4 AS (SELECT carrier_id, ty, tx, bin, size, least(n, lim) + excess // 256 + CASE WHEN bin % stride = 0 AND bin // stride < residual THEN 1 ELSE 0 END AS m FROM h3)",
     "h5 AS (SELECT *, sum(m) OVER (PARTITION BY carrier_id, ty, tx ORDER BY bin) AS s, sum(m) OVER (PARTITION BY carrier_id, ty, tx) AS total FROM h4)",
-    "maps AS MATERIALIZED (SELECT carrier_id, ty, tx, bin, CASE WHEN size = 0 THEN bin / 255e0 * 255e0 ELSE s::DOUBLE / greatest(1e0, total::DOUBLE) * 255e0 END AS m FROM h5)",
+    "maps AS MATERIALIZED (SELECT ((carrier_id * 8 + ty) * 8 + tx) * 256 + bin AS key, CASE WHEN size = 0 THEN bin / 255e0 * 255e0 ELSE s::DOUBLE / greatest(1e0, total::DOUBLE) * 255e0 END AS m FROM h5)",
     "near AS (SELECT *, least(greatest((y + 0.5e0) / th - 0.5e0, 0e0), 7e0) AS py, least(greatest((x + 0.5e0) / tw - 0.5e0, 0e0), 7e0) AS px_ FROM own)",
     "spot AS MATERIALIZED (SELECT *, floor(py)::INT AS y0, least(floor(py)::INT + 1, 7) AS y1, floor(px_)::INT AS x0, least(floor(px_)::INT + 1, 7) AS x1 FROM near)",
-    "mixed AS (SELECT spot.carrier_id, spot.y, spot.x, cb, cr, "
-    + level("(a.m * (1e0 - (px_ - floor(px_))) + b.m * (px_ - floor(px_))) * (1e0 - (py - floor(py))) + (c.m * (1e0 - (px_ - floor(px_))) + d.m * (px_ - floor(px_))) * (py - floor(py))")
-    + " AS z FROM spot "
-    + " ".join(f"JOIN maps {n} ON {n}.carrier_id = spot.carrier_id AND {n}.bin = y_ AND {n}.ty = y{i} AND {n}.tx = x{j}" for n, i, j in (("a", 0, 0), ("b", 0, 1), ("c", 1, 0), ("d", 1, 1)))
+    "keyed AS MATERIALIZED (SELECT spot.*, " + ", ".join(f"((carrier_id * 8 + y{i}) * 8 + x{j}) * 256 + y_ AS k{i}{j}" for i in (0, 1) for j in (0, 1)) + " FROM spot)",
+    "mixed AS MATERIALIZED (SELECT keyed.carrier_id, keyed.y, keyed.x, cb, cr, "
+    + level("(m00.m * (1e0 - (px_ - floor(px_))) + m01.m * (px_ - floor(px_))) * (1e0 - (py - floor(py))) + (m10.m * (1e0 - (px_ - floor(px_))) + m11.m * (px_ - floor(px_))) * (py - floor(py))")
+    + " AS z FROM keyed "
+    + " ".join(f"JOIN maps m{i}{j} ON m{i}{j}.key = k{i}{j}" for i in (0, 1) for j in (0, 1))
     + ")",
 )
 
@@ -230,18 +240,22 @@ SAMPLE = "ranked AS (SELECT *, (row_number() OVER (PARTITION BY carrier_id ORDER
 add("pixel_sample", "SELECT * FROM ranked WHERE rank <= 50", SAMPLE)
 
 
-def _kmeans(rounds: int) -> list[str]:
+def _kmeans(rounds: int, colors: int = 2, size: int = 200) -> list[str]:
     square = " + ".join(f"(s.{c} - k.{c}) * (s.{c} - k.{c})" for c in RGB)
-    out = [SAMPLE, "k0 AS (SELECT carrier_id, rank - 1 AS k, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM ranked WHERE rank <= 2)"]
+    out = [SAMPLE, "k0 AS (SELECT carrier_id, rank - 1 AS k, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM ranked WHERE rank <= " + f"{colors})"]
     for i in range(rounds):
-        out.append(f"n{i} AS (SELECT s.carrier_id, s.rank, arg_min(k.k, [{square}, k.k]) AS k FROM ranked s JOIN k{i} k USING (carrier_id) WHERE rank <= 200 GROUP BY 1, 2)")
+        out.append(f"n{i} AS MATERIALIZED (SELECT s.carrier_id, s.rank, arg_min(k.k, [{square}, k.k]) AS k FROM ranked s JOIN k{i} k USING (carrier_id) WHERE rank <= {size} GROUP BY 1, 2)")
         out.append(f"m{i} AS (SELECT carrier_id, k, sum(r)::DOUBLE / count(*) AS r, sum(g)::DOUBLE / count(*) AS g, sum(b)::DOUBLE / count(*) AS b FROM n{i} JOIN ranked USING (carrier_id, rank) GROUP BY 1, 2)")
-        out.append(f"k{i + 1} AS (SELECT o.carrier_id, o.k, {', '.join(f'coalesce(m.{c}, o.{c}) AS {c}' for c in RGB)} FROM k{i} o LEFT JOIN m{i} m USING (carrier_id, k))")
+        out.append(f"k{i + 1} AS MATERIALIZED (SELECT o.carrier_id, o.k, {', '.join(f'coalesce(m.{c}, o.{c}) AS {c}' for c in RGB)} FROM k{i} o LEFT JOIN m{i} m USING (carrier_id, k))")
     return out
 
 
 _square = " + ".join(f"(p.{c} - k.{c}) * (p.{c} - k.{c})" for c in RGB)
-add("quantize_kmeans", f"SELECT carrier_id, y, x, {_each(lambda c: level(f'q.{c}'))} FROM (SELECT p.carrier_id, p.y, p.x, arg_min({{'r': k.r, 'g': k.g, 'b': k.b}}, [{_square}, k.k]) AS q FROM px p JOIN k3 k USING (carrier_id) GROUP BY 1, 2, 3)", *_kmeans(3))
+def _quantized(rounds: int) -> str:
+    return f"SELECT carrier_id, y, x, {_each(lambda c: level(f'q.{c}'))} FROM (SELECT p.carrier_id, p.y, p.x, arg_min({{'r': k.r, 'g': k.g, 'b': k.b}}, [{_square}, k.k]) AS q FROM px p JOIN k{rounds} k USING (carrier_id) GROUP BY 1, 2, 3)"
+
+
+add("quantize_kmeans", _quantized(3), *_kmeans(3))
 
 
 def _median_cut(rounds: int) -> list[str]:
@@ -255,7 +269,14 @@ def _median_cut(rounds: int) -> list[str]:
     return out
 
 
-add("quantize_median_cut", f"SELECT p.carrier_id, p.y, p.x, {_each(lambda c: level(f'm.{c}'))} FROM px p JOIN c2 c ON c.carrier_id = p.carrier_id AND c.r = p.r AND c.g = p.g AND c.b = p.b JOIN m ON m.carrier_id = c.carrier_id AND m.box = c.box", *_median_cut(2), "m AS (SELECT carrier_id, box, " + ", ".join(f"sum({c} * n)::DOUBLE / sum(n) AS {c}" for c in RGB) + " FROM c2 GROUP BY 1, 2)")
+def _boxed(rounds: int) -> tuple[str, ...]:
+    own = f"c{rounds}"
+    select = f"SELECT p.carrier_id, p.y, p.x, {_each(lambda c: level(f'm.{c}'))} FROM px p JOIN {own} c ON c.carrier_id = p.carrier_id AND c.r = p.r AND c.g = p.g AND c.b = p.b JOIN m ON m.carrier_id = c.carrier_id AND m.box = c.box"
+    means = ", ".join(f"sum({c} * n)::DOUBLE / sum(n) AS {c}" for c in RGB)
+    return (select, *_median_cut(rounds), f"m AS (SELECT carrier_id, box, {means} FROM {own} GROUP BY 1, 2)")
+
+
+add("quantize_median_cut", *_boxed(2))
 add("palette_size", "SELECT carrier_id, count(DISTINCT (r, g, b)) AS n_colors FROM px GROUP BY 1")
 
 
@@ -277,8 +298,19 @@ add("crop_pad", _pad((255, 0, 255)), CENTER)
 add("crop_raw", f"SELECT carrier_id, y - top AS y, x - lft AS x, r, g, b FROM px JOIN reg USING (carrier_id) WHERE {INSIDE}", _region("0.6", "height - kh", "width - kw"))
 _random = {s: _uniform(f"concat_ws(':', '3', carrier_id::VARCHAR, '{s}')") for s in ("top", "left")}
 add("crop_random", _pad((0, 0, 0)), _region("0.5", f"floor({_random['top']} * (height - kh + 1))::INT", f"floor({_random['left']} * (width - kw + 1))::INT"))
-CUT = f"cut AS (SELECT carrier_id, y - top AS y, x - lft AS x, r, g, b, height, width, kh, kw FROM px JOIN reg USING (carrier_id) WHERE {INSIDE})"
-add("crop_resize_nearest", "SELECT c.carrier_id, ty::INT AS y, tx::INT AS x, r, g, b FROM cut c, range(0, 32) AS a(ty), range(0, 32) AS b(tx) WHERE c.y = floor((ty + 0.5e0) * kh / height)::INT AND c.x = floor((tx + 0.5e0) * kw / width)::INT", CENTER, CUT)
+CUT = f"cut AS MATERIALIZED (SELECT carrier_id, y - top AS y, x - lft AS x, r, g, b FROM px JOIN reg USING (carrier_id) WHERE {INSIDE})"
+
+
+def _taps(axis: str, kept: str, size: str, reach: float) -> str:
+    """For every new place t of a carrier the old places that it may draw from, and how far each lies from its centre."""
+    centre = f"(t + 0.5e0) * {kept} / {size} - 0.5e0"
+    places = f"SELECT carrier_id, {kept}, {size}, unnest(range(0, {size}))::INT AS t FROM reg"
+    near = f"SELECT *, unnest(range(greatest(0, ceil({centre} - {reach}e0)::INT), least({kept} - 1, floor({centre} + {reach}e0)::INT) + 1))::INT AS s FROM ({places})"
+    return f"t{axis} AS MATERIALIZED (SELECT carrier_id, t, s, s - ({centre}) AS d FROM ({near}))"
+
+
+_nearest = [f"n{a} AS MATERIALIZED (SELECT carrier_id, t, floor((t + 0.5e0) * {k} / {n})::INT AS s FROM (SELECT carrier_id, {k}, {n}, unnest(range(0, {n}))::INT AS t FROM reg))" for a, k, n in (("y", "kh", "height"), ("x", "kw", "width"))]
+add("crop_resize_nearest", "SELECT c.carrier_id, ny.t AS y, nx.t AS x, r, g, b FROM cut c JOIN ny ON ny.carrier_id = c.carrier_id AND ny.s = c.y JOIN nx ON nx.carrier_id = c.carrier_id AND nx.s = c.x", CENTER, CUT, *_nearest)
 _PI = "3.141592653589793e0"
 _sinc = lambda e: f"(sin({_PI} * ({e})) / ({_PI} * ({e})))"
 WEIGHTS = {
@@ -287,9 +319,34 @@ WEIGHTS = {
     "lanczos": f"CASE WHEN d = 0 THEN 1e0 WHEN abs(d) < 3 THEN {_sinc('d')} * {_sinc('d / 3e0')} ELSE 0e0 END",
 }
 for _name, _weight in WEIGHTS.items():
-    _columns = f"wx AS (SELECT *, {_weight} AS w FROM (SELECT c.*, t, x + 0.5e0 - (t + 0.5e0) * kw / width AS d FROM cut c, range(0, 32) AS n(t))), cols AS (SELECT carrier_id, y, t AS x, height, width, kh, kw, " + ", ".join(f"sum({c} * w) / sum(w) AS {c}" for c in RGB) + " FROM wx WHERE w <> 0e0 GROUP BY ALL)"
-    _rows = f"wy AS (SELECT *, {_weight} AS w FROM (SELECT c.*, t, y + 0.5e0 - (t + 0.5e0) * kh / height AS d FROM cols c, range(0, 32) AS n(t)))"
-    add(f"crop_resize_{_name}", "SELECT carrier_id, t::INT AS y, x::INT AS x, " + _each(lambda c: level(f"round(sum({c} * w) / sum(w), 6)")) + " FROM wy WHERE w <> 0e0 GROUP BY carrier_id, t, x", CENTER, CUT, _columns, _rows)
+    _reach = {"bilinear": 1, "bicubic": 2, "lanczos": 3}[_name]
+    _weighted = [f"w{a} AS MATERIALIZED (SELECT carrier_id, t, s, {_weight} AS w FROM t{a})" for a in "yx"]
+    _columns = "cols AS MATERIALIZED (SELECT c.carrier_id, c.y, t AS x, " + ", ".join(f"sum({c} * w) / sum(w) AS {c}" for c in RGB) + " FROM cut c JOIN wx ON wx.carrier_id = c.carrier_id AND s = c.x GROUP BY 1, 2, 3)"
+    _rows = "SELECT c.carrier_id, t AS y, c.x, " + _each(lambda c: level(f"round(sum({c} * w) / sum(w), 6)")) + " FROM cols c JOIN wy ON wy.carrier_id = c.carrier_id AND s = c.y GROUP BY 1, 2, 3"
+    add(f"crop_resize_{_name}", _rows, CENTER, CUT, _taps("y", "kh", "height", _reach), _taps("x", "kw", "width", _reach), *_weighted, _columns)
+
+# Cosine coefficients
+#: Fixed values, written again: the example tables of ITU-T T.81, annex K, by row.
+T81 = (
+    (16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99),
+    (17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99, *[99] * 32),
+)
+_waves = ", ".join(f"({u}, {i}, {math.sqrt((2 if u else 1) / 8) * math.cos(math.pi * u * (i + 0.5) / 8)!r}::DOUBLE)" for u in range(8) for i in range(8))
+_steps = ", ".join(f"({p}, {k // 8}, {k % 8}, {max(1, (v * 50 + 50) // 100)})" for p in range(3) for k, v in enumerate(T81[p > 0]))
+add(
+    "block_dct",
+    _named(_from_ycbcr("p0", "p1", "p2"), "back"),
+    f"waves AS MATERIALIZED (SELECT * FROM (VALUES {_waves}) AS t(u, i, w))",
+    f"steps AS MATERIALIZED (SELECT * FROM (VALUES {_steps}) AS t(p, v, u, q))",
+    f"yc AS ({_named(_ycbcr())})",
+    "vals AS MATERIALIZED (SELECT carrier_id, y, x, p, [y_, cb, cr][p + 1] - 128e0 AS v FROM yc, range(0, 3) AS r(p))",
+    "c1 AS MATERIALIZED (SELECT carrier_id, p, y, x // 8 AS bx, u, sum(v * w) AS c FROM vals JOIN waves ON i = x % 8 GROUP BY 1, 2, 3, 4, 5)",
+    "c2 AS MATERIALIZED (SELECT carrier_id, p, y // 8 AS by_, bx, c1.u AS u, waves.u AS v, round(sum(c * w), 9) AS c FROM c1 JOIN waves ON i = y % 8 GROUP BY 1, 2, 3, 4, 5, 6)",
+    "kept AS MATERIALIZED (SELECT c2.*, round_even(c / q, 0) * q AS k FROM c2 JOIN steps USING (p, u, v))",
+    "b1 AS MATERIALIZED (SELECT carrier_id, p, by_, bx, kept.u AS u, i AS iy, sum(k * w) AS c FROM kept JOIN waves ON waves.u = v GROUP BY 1, 2, 3, 4, 5, 6)",
+    "b2 AS MATERIALIZED (SELECT carrier_id, p, (by_ * 8 + iy)::INT AS y, (bx * 8 + i)::INT AS x, round(sum(c * w) + 128, 6) AS z FROM b1 JOIN waves USING (u) GROUP BY 1, 2, 3, 4)",
+    "back AS MATERIALIZED (SELECT carrier_id, y, x, max(z) FILTER (p = 0) AS p0, max(z) FILTER (p = 1) AS p1, max(z) FILTER (p = 2) AS p2 FROM b2 GROUP BY 1, 2, 3)",
+)
 
 # Suites of distortions
 _suite = f"SELECT *, 'compression' AS category, 'lossless' AS attack_id FROM {{0}} UNION ALL SELECT carrier_id, y, x, {DEPTH}, 'color', 'bit_depth' FROM {{0}} UNION ALL SELECT carrier_id, y, x, {GAMMA}, 'color', 'gamma' FROM {{0}} UNION ALL SELECT carrier_id, y, x, " + ", ".join(f"CASE WHEN {INSIDE} THEN {c} ELSE 0 END AS {c}" for c in RGB) + ", 'geometric', 'crop_pad' FROM {0} JOIN reg USING (carrier_id)"
@@ -413,15 +470,17 @@ _refl = lambda a: f"CASE WHEN {a} < 0 THEN -{a} WHEN {a} > 31 THEN 62 - {a} ELSE
 add("correlate_strided", "SELECT o.carrier_id, ((o.y - 1) // 3)::INT AS y, ((o.x - 1) // 3)::INT AS x, round(sum(w * s.v), 6) AS v FROM o JOIN l s ON s.carrier_id = o.carrier_id AND s.y = sy AND s.x = sx GROUP BY 1, 2, 3", _luma("l", "px"), f"o AS (SELECT carrier_id, y, x, {_refl('(y + i - 2)')} AS sy, {_refl('(x + j - 2)')} AS sx, w FROM l, (VALUES {_k5}) AS t(i, j, w) WHERE y % 3 = 1 AND x % 3 = 1)")
 
 # Report
-add(
-    "suite_report",
-    f"SELECT category, attack_id, round(avg(ber), 6) AS ber, round(avg(1 - 2 * ber), 6) AS nc, round(avg(CASE WHEN mse > 0 THEN 10e0 * log10(65025e0 / mse) END), 6) AS psnr, count(*) FILTER (mse = 0) AS n_unchanged, count(*) AS n FROM b JOIN q USING (carrier_id, attack_id, category) GROUP BY ROLLUP (category, attack_id)",
-    MARKS,
-    FLAT.replace(DIMS + ",\n", CENTER + ",\n"),
-    MARKED,
-    MARKED_PX,
-    f"hit AS ({_suite.format('mp')})",
+_means = "SELECT category, attack_id, round(avg(ber), 6) AS ber, round(avg(1 - 2 * ber), 6) AS nc, round(avg(CASE WHEN mse > 0 THEN 10e0 * log10(65025e0 / mse) END), 6) AS psnr, count(*) FILTER (mse = 0) AS n_unchanged, count(*) AS n FROM b JOIN q USING (carrier_id, attack_id, category) GROUP BY ROLLUP (category, attack_id)"
+_scored = (
     "s AS (SELECT carrier_id, category, attack_id, (y * width + x) * 3 + c AS pos, [r, g, b][c + 1] & 1 AS bit FROM hit JOIN dims USING (carrier_id), (VALUES (0), (1), (2)) AS n(c))",
     "b AS (SELECT carrier_id, category, attack_id, avg(CASE WHEN bit::VARCHAR <> substr(bits, pos::INT + 1, 1) THEN 1e0 ELSE 0e0 END) AS ber FROM s JOIN marks USING (carrier_id) WHERE pos < 128 GROUP BY 1, 2, 3)",
     "q AS (SELECT carrier_id, h.category, h.attack_id, avg((pow(h.r - mp.r, 2) + pow(h.g - mp.g, 2) + pow(h.b - mp.b, 2)) / 3e0) AS mse FROM hit h JOIN mp USING (carrier_id, y, x) GROUP BY 1, 2, 3)",
 )
+_marked = (MARKS, FLAT.replace(DIMS + ",\n", CENTER + ",\n"), MARKED, MARKED_PX)
+add("suite_report", _means, *_marked, f"hit AS ({_suite.format('mp')})", *_scored)
+PARTS["kmeans_default"], PARTS["median_cut_default"] = (_quantized(10), tuple(_kmeans(10, 16, 5000))), (_boxed(4)[0], _boxed(4)[1:])
+#: The distortions of the report over all, with their default parameters: category and text.
+WHOLE = {"block_dct": ("compression", "block_dct"), "brightness_contrast": ("color", "brightness_contrast"), "color_jitter": ("color", "color_jitter"), "color_noise": ("color", "color_noise_ycbcr"), "grayscale": ("color", "grayscale"), "hist_equalize": ("color", "hist_equalize"), "clahe": ("color", "clahe"), "quantize_kmeans": ("color", "kmeans_default"), "quantize_median_cut": ("color", "median_cut_default"), "dither": ("color", "dither_ordered"), "crop_resize": ("geometric", "crop_resize_bilinear")}
+_hits = [f"hit_{name} AS MATERIALIZED ({applied(text, 'mp')})" for name, (_, text) in WHOLE.items()]
+_all = " UNION ALL ".join([_suite.format("mp"), *(f"SELECT carrier_id, y, x, r, g, b, '{category}', '{name}' FROM hit_{name}" for name, (category, _) in WHOLE.items())])
+add("suite_report_all", _means, *_marked[:-1], MARKED_PX.replace("mp AS (", "mp AS MATERIALIZED ("), *_hits, f"hit AS MATERIALIZED ({_all})", *_scored)
