@@ -6,12 +6,14 @@ Windows are partitioned by a carrier's row or column, never by a carrier alone,
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmark.functions import formulas as f
 from inkmark.functions.formulas import KEYS
+from inkmark.sources.scratch import stored
 
 #: Constants of structural similarity for levels 0..255, and the weights of its five scales.
 C1, C2, MS_WEIGHTS = (0.01 * 255) ** 2, (0.03 * 255) ** 2, (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)
@@ -62,13 +64,17 @@ def paired(first: DataFrame, second: DataFrame) -> DataFrame:
     """(keys, a, b): two planes by place; a frame of which a place is missing on one side is an error."""
     a, b = first.select(*KEYS, F.col("v").alias("a"), F.lit(1).alias("ia")), second.select(*KEYS, F.col("v").alias("b"), F.lit(1).alias("ib"))
     joined = a.join(b, list(KEYS), "full_outer")
-    same = F.when(F.col("ia").isNull() | F.col("ib").isNull(), F.raise_error(F.lit("frames differ in size")).cast("double"))
+    same = F.when(F.col("ia").isNull() | F.col("ib").isNull(), F.raise_error(F.lit("frames differ in size")).cast(first.schema["v"].dataType))
     return joined.select(*KEYS, F.coalesce(same, F.col("a")).alias("a"), "b")
 
 
 def ssim_map(first: DataFrame, second: DataFrame) -> DataFrame:
     """(keys, ssim, cs) by an 11-tap Gaussian: five products filtered in the same two passes."""
-    five = paired(first, second).select(*KEYS, "a", "b", F.expr("a * a").alias("aa"), F.expr("b * b").alias("bb"), F.expr("a * b").alias("ab"))
+    return _ssim_of(paired(first, second))
+
+
+def _ssim_of(both: DataFrame) -> DataFrame:
+    five = both.select(*KEYS, "a", "b", F.expr("a * a").alias("aa"), F.expr("b * b").alias("bb"), F.expr("a * b").alias("ab"))
     m = sepfilter(five, gauss1d())
     m = m.select(*KEYS, F.expr("a * a").alias("ma"), F.expr("b * b").alias("mb"), F.expr("a * b").alias("mab"), "aa", "bb", "ab")
     cs = F.expr(f"(2e0 * (ab - mab) + {C2}) / ((aa - ma) + (bb - mb) + {C2})")
@@ -96,22 +102,27 @@ def downsample2(plane: DataFrame) -> DataFrame:
 
 
 def ms_ssim(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(carrier_id, ms_ssim, status); frames under 176 pixels a side have no value and the status too_small."""
-    out, whole = None, first
+    """(carrier_id, ms_ssim, status); frames under 176 pixels a side have no value and the status too_small.
+
+    Frames are paired once, and every scale is stored: none is computed again for the next ones.
+    """
+    both, out = stored(paired(first, second), "scale"), []
+    own = both.select("carrier_id").distinct()
     for k, weight in enumerate(MS_WEIGHTS):
         name = "ssim" if k == len(MS_WEIGHTS) - 1 else "cs"
-        one = ssim_map(first, second).groupBy("carrier_id").agg(F.pow(F.greatest(F.avg(name), F.lit(1e-8)), F.lit(weight)).alias(f"s{k}"))
-        out = one if out is None else out.join(one, "carrier_id")
-        first, second = downsample2(first), downsample2(second)
-    return _with_status(whole, out.select("carrier_id", F.expr(" * ".join(f"s{k}" for k in range(len(MS_WEIGHTS)))).alias("ms_ssim")), "ms_ssim")
+        out.append(_ssim_of(both).groupBy("carrier_id").agg(F.pow(F.greatest(F.avg(name), F.lit(1e-8)), F.lit(weight)).alias("s")))
+        if k < len(MS_WEIGHTS) - 1:
+            both = stored(downsample2(both), "scale")
+    scored = reduce(DataFrame.unionByName, out).groupBy("carrier_id").agg(F.count("s").alias("n"), F.product("s").alias("ms_ssim"))
+    return _with_status(own, scored.where(F.col("n") == len(MS_WEIGHTS)), "ms_ssim")
 
 
-def conv3(plane: DataFrame, kernels: dict[str, tuple]) -> DataFrame:
-    """Correlations of v with 3 * 3 kernels by name, the edge repeated."""
+def conv3(plane: DataFrame, kernels: dict[str, tuple], names: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Correlations with 3 * 3 kernels by name, the edge repeated; of several columns as <kernel>_<column>, in the same windows."""
     w, h = _along("x"), _along("y")
-    rows = plane.select(*KEYS, F.coalesce(F.lag("v").over(w), F.col("v")).alias("c0"), F.col("v").alias("c1"), F.coalesce(F.lead("v").over(w), F.col("v")).alias("c2"))
-    near = rows.select(*KEYS, *[F.coalesce(_shifted(f"c{j}", i - 1, h), F.col(f"c{j}")).alias(f"p{i}{j}") for i in range(3) for j in range(3)])
-    return near.select(*KEYS, *[sum((F.lit(float(k[i][j])) * F.col(f"p{i}{j}") for i in range(3) for j in range(3) if k[i][j]), F.lit(0.0)).alias(n) for n, k in kernels.items()])
+    rows = plane.select(*KEYS, *[c.alias(f"{n}{j}") for n in names for j, c in enumerate((F.coalesce(F.lag(n).over(w), F.col(n)), F.col(n), F.coalesce(F.lead(n).over(w), F.col(n))))])
+    near = rows.select(*KEYS, *[F.coalesce(_shifted(f"{n}{j}", i - 1, h), F.col(f"{n}{j}")).alias(f"{n}{i}{j}") for n in names for i in range(3) for j in range(3)])
+    return near.select(*KEYS, *[sum((F.lit(float(k[i][j])) * F.col(f"{n}{i}{j}") for i in range(3) for j in range(3) if k[i][j]), F.lit(0.0)).alias(kernel if len(names) == 1 else f"{kernel}_{n}") for n in names for kernel, k in kernels.items()])
 
 
 def scharr_gradient(plane: DataFrame) -> DataFrame:
@@ -121,9 +132,10 @@ def scharr_gradient(plane: DataFrame) -> DataFrame:
 
 
 def gradient_similarity(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(carrier_id, similarity) of the planes' gradients."""
-    both = paired(scharr_gradient(first), scharr_gradient(second))
-    return both.groupBy("carrier_id").agg(F.avg(F.expr(f"(2e0 * a * b + {GRADIENT_C}) / (a * a + b * b + {GRADIENT_C})")).alias("similarity"))
+    """(carrier_id, similarity) of the planes' gradients; paired first, so that both are filtered in the same windows."""
+    both = conv3(paired(first, second), {"h": SCHARR_X, "w": SCHARR_Y}, ("a", "b"))
+    lengths = both.select("carrier_id", *[F.expr(f"sqrt(h_{c} * h_{c} + w_{c} * w_{c})").alias(c) for c in "ab"])
+    return lengths.groupBy("carrier_id").agg(F.avg(F.expr(f"(2e0 * a * b + {GRADIENT_C}) / (a * a + b * b + {GRADIENT_C})")).alias("similarity"))
 
 
 def along(plane: DataFrame, outs: dict[str, list[tuple[str, list[float]]]], axis: str, edge: str = "reflect", start: int = 0, step: int = 1) -> DataFrame:
@@ -163,18 +175,20 @@ def correlate(plane: DataFrame, kernel: list[list[float]], step: int = 1, start:
     return along(rows, {"v": [(f"c{k}", [float(line == own) for line in lines]) for k, own in enumerate(unlike)]}, "y", edge, start, step)
 
 
-def downsample_box(plane: DataFrame, factor: int) -> DataFrame:
-    """Means of boxes, the edge repeated, at every factor-th place."""
+def downsample_box(plane: DataFrame, factor: int, names: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Means of boxes, the edge repeated, at every factor-th place; of all columns in the same windows."""
     if factor <= 1:
-        return plane.select(*KEYS, "v")
-    return correlate(plane, [[1 / factor**2] * factor] * factor, step=factor, edge="symmetric")
+        return plane.select(*KEYS, *names)
+    for axis in ("x", "y"):
+        plane = along(plane, {c: [(c, [1 / factor] * factor)] for c in names}, axis, "symmetric", 0, factor)
+    return plane
 
 
 def chroma_similarity(first: DataFrame, second: DataFrame, factor: int = 1) -> DataFrame:
-    """(carrier_id, similarity) of I and Q of two sets of pixels, shrunk by a factor."""
-    maps = []
-    for name, formula in (("i", f.yiq_i()), ("q", f.yiq_q())):
-        planes = [downsample_box(p.select(*KEYS, F.expr(formula).alias("v")), factor) for p in (first, second)]
-        maps.append(paired(*planes).select(*KEYS, F.expr(f"(2e0 * a * b + {CHROMA_C}) / (a * a + b * b + {CHROMA_C})").alias(name)))
-    both = maps[0].join(maps[1], list(KEYS)).withColumn("c", F.expr("i * q"))
+    """(carrier_id, similarity) of I and Q of two sets of pixels, shrunk by a factor. One join, of the pixels."""
+    a, b = (p.select(*KEYS, F.struct(F.expr(f.yiq_i()).alias("i"), F.expr(f.yiq_q()).alias("q")).alias("v")) for p in (first, second))
+    both = paired(a, b).select(*KEYS, *[F.col(f"{s}.{c}").alias(f"{c}{s}") for s in "ab" for c in "iq"])
+    small = downsample_box(both, factor, ("ia", "ib", "qa", "qb"))
+    alike = {c: F.expr(f"(2e0 * {c}a * {c}b + {CHROMA_C}) / ({c}a * {c}a + {c}b * {c}b + {CHROMA_C})") for c in "iq"}
+    both = small.select("carrier_id", (alike["i"] * alike["q"]).alias("c"))
     return both.groupBy("carrier_id").agg(F.avg(F.expr(f"sign(c) * pow(abs(c), {CHROMA_POWER}e0)")).alias("similarity"))
