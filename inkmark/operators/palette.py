@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmark.functions.formulas import KEYS, RGB, level
+from inkmark.operators.ordered import running
 from inkmark.sources.scratch import stored
 
 #: Parts of a carrier in which its sample is chosen first.
@@ -59,18 +60,18 @@ def quantize_kmeans(pixels: DataFrame, colors: int = 16, sample_size: int = 5000
 def quantize_median_cut(pixels: DataFrame, colors: int = 16) -> DataFrame:
     """log2(colors) rounds: each box is halved at the median of its widest channel; a box becomes its mean.
 
-    Boxes are halved by colours counted once, so a carrier's rows in a window are its distinct colours.
+    Boxes are halved by colours counted once, in running sums by ranges of (box, channel, colour): no task holds all
+    colours of a box.
     """
     if colors < 2 or colors & (colors - 1):
         raise ValueError("colors must be a power of two, 2 at least")
     own = pixels.groupBy("carrier_id", *RGB).agg(F.count("*").alias("n")).withColumn("box", F.lit(0))
     for _ in range(colors.bit_length() - 1):
-        w = Window.partitionBy("carrier_id", "box")
-        spread = {c: F.max(c).over(w) - F.min(c).over(w) for c in RGB}
-        own = own.select("*", *[s.alias(f"w{c}") for c, s in spread.items()])
+        boxes = own.groupBy("carrier_id", "box").agg(*[(F.max(c) - F.min(c)).alias(f"w{c}") for c in RGB], F.sum("n").alias("all"))
         key = F.expr("case when wr >= wg and wr >= wb then r when wg >= wb then g else b end")
-        own = own.withColumn("key", key).withColumn("upto", F.sum("n").over(w.orderBy("key", *RGB))).withColumn("all", F.sum("n").over(w))
-        own = own.withColumn("box", F.expr("box * 2 + case when 2 * (upto - n) >= all then 1 else 0 end")).select("carrier_id", *RGB, "n", "box")
+        placed = own.join(boxes, ["carrier_id", "box"]).withColumn("key", key).withColumn("of", F.struct("carrier_id", "box"))
+        summed = running(placed.select("of", "key", *RGB, "n", "all"), "of", ["key", *RGB], F.col("n"), "before")
+        own = summed.select("of.carrier_id", *RGB, "n", F.expr("of.box * 2 + case when 2 * before >= all then 1 else 0 end").alias("box"))
     means = own.groupBy("carrier_id", "box").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"m{c}") for c in RGB])
     table = own.join(means, ["carrier_id", "box"]).select("carrier_id", *RGB, *[F.expr(level(f"m{c}")).alias(f"q{c}") for c in RGB])
     return pixels.join(table, ["carrier_id", *RGB]).select(*KEYS, *[F.col(f"q{c}").alias(c) for c in RGB])
