@@ -171,31 +171,59 @@ def viterbi(scores: np.ndarray, text: np.ndarray, texts: int, prior: np.ndarray,
     return states
 
 
+def _pieces(texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
+    """(number, offset, part) of the texts in groups of up to AT_ONCE code points; a longer text is cut between words."""
+    kind, group, size = _tables()[0], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            if size >= AT_ONCE:
+                yield group
+                group, size = [], 0
+            end = min(len(text), at + AT_ONCE - size)
+            cut = end
+            while end < len(text) and cut > at and kind[ord(text[cut - 1])]:
+                cut -= 1
+            if cut == at and size:  # no room for the word: it goes to the next group
+                size = AT_ONCE
+                continue
+            end = cut if cut > at else end  # a word longer than a group is cut
+            group.append((i, at, text[at:end]))
+            size, at = size + end - at, end
+    if group:
+        yield group
+
+
 def label(model: Model, texts: list[str], spans: bool = False) -> list[tuple]:
     """(language, score, spans) of each text; spans(lang, start, length) in code points, if asked for.
 
     The language is that of most letters on the best path, of equally many the one before in order. The score is their
     share, times the likelihood of that language against the others on the words labelled with it.
     """
-    w = words(texts)
-    scores, n, k = model.word_scores(w), len(texts), len(model.languages)
-    states = viterbi(scores, w.text, n, model.prior)
-    letters = np.bincount(w.text * k + states, w.length, n * k).reshape(n, k)
+    parts = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros((0, len(model.languages)), np.float32))]
+    for group in _pieces(texts):
+        w = words([p for _, _, p in group])
+        number, offset = np.array([i for i, _, _ in group]), np.array([o for _, o, _ in group])
+        parts.append((number[w.text], w.at + offset[w.text], w.length, model.word_scores(w).astype(np.float32)))
+    text, at, length, scores = (np.concatenate(v) for v in zip(*parts, strict=True))
+    n, k = len(texts), len(model.languages)
+    states = viterbi(scores, text, n, model.prior)
+    letters = np.bincount(text * k + states, length, n * k).reshape(n, k)
     lang = letters.argmax(1)
-    mine = states == lang[w.text]
-    total = np.stack([np.bincount(w.text[mine], scores[mine, j], n) for j in range(k)], 1) + model.prior
+    mine = states == lang[text]
+    total = np.stack([np.bincount(text[mine], scores[mine, j], n) for j in range(k)], 1) + model.prior
     total -= total.max(1, keepdims=True)
     sure = np.exp(total[np.arange(n), lang]) / np.exp(total).sum(1)
     all_ = letters.sum(1)
     share = np.divide(letters.max(1), all_, out=np.zeros(n), where=all_ > 0) * sure
-    parts = [[] for _ in texts]
+    found = [[] for _ in texts]
     if spans and len(states):
-        new = np.concatenate([[True], (np.diff(w.text) != 0) | (np.diff(states.astype(int)) != 0)])
+        new = np.concatenate([[True], (np.diff(text) != 0) | (np.diff(states.astype(int)) != 0)])
         begin = np.flatnonzero(new)
         last = np.concatenate([begin[1:], [len(states)]]) - 1
         for i, j in zip(begin, last, strict=True):
-            parts[w.text[i]].append((model.languages[states[i]], int(w.at[i]), int(w.at[j] + w.length[j] - w.at[i])))
-    return [(model.languages[lang[i]], float(share[i]), parts[i]) if all_[i] else (UNKNOWN, 0.0, []) for i in range(n)]
+            found[text[i]].append((model.languages[states[i]], int(at[i]), int(at[j] + length[j] - at[i])))
+    return [(model.languages[lang[i]], float(share[i]), found[i]) if all_[i] else (UNKNOWN, 0.0, []) for i in range(n)]
 
 
 def held_out(id_col) -> F.Column:

@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from inkmark.llm.common import stored
 
 #: Rows of the sample that the top of the tree is fitted on, cells at its end, least and most rows of a block, anchors
-#: that meet a block in one task, rows of a leaf on average.
-SAMPLE, CELLS, LEAST, MOST, CHUNK, LEAF = 4096, 1024, 512, 65_536, 16_384, 96
+#: that meet a block in one task, rows of a leaf on average, anchors whose blocks are chosen at once.
+SAMPLE, CELLS, LEAST, MOST, CHUNK, LEAF, ROUND = 4096, 1024, 512, 65_536, 16_384, 96, 64
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n, values = len(lists), lists.flatten().to_numpy(zero_copy_only=False)
-    if n and (np.diff(lists.offsets.to_numpy()) != len(values) // n).any():
+    if n and (np.diff(lists.offsets.to_numpy()) != len(values) // n).any():  # flatten() heeds a slice, as offsets do
         raise ValueError("vectors differ in length")
     return values.reshape(n, -1) if n else values.reshape(0, 0)
 
@@ -220,14 +220,12 @@ class Index:
         me, top = replace(self, rows=None), CoverTree(self.centres, self.angles, [], np.zeros(0), np.zeros(0), np.zeros(0))
 
         def run(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            exact = me.longest * me.longest < 2**52
+            for b in (whole.slice(i, ROUND) for whole in batches for i in range(0, whole.num_rows, ROUND)):
                 ax, own, of = _matrix(b.column("ax")), b.column("a").to_numpy(), b.column("anchor_label").to_numpy()
                 size = np.linalg.norm(ax.astype(float), axis=1)
                 directions = np.column_stack([ax / np.where(size == 0, 1, size)[:, None], np.zeros(len(ax))])
                 least, most = top.bounds(directions, size * me.longest)
-                exact = me.longest * me.longest < 2**52
                 known = (ax.astype(float) @ me.x.T.astype(float)).astype(np.int64) if exact else ax @ me.x.T
                 take, cells, lows = [], [], []
                 for i, (low, high) in enumerate(zip(b.column("low").to_pylist(), b.column("high").to_pylist(), strict=True)):

@@ -90,6 +90,21 @@ def test_spans_of_mixed_text(model):
     assert [s[0] for s in langid.label(model, [few], True)[0][2]] == ["aa"]  # one odd word isn't a span
 
 
+def test_long_texts_in_pieces(model, monkeypatch):
+    """Cut between words, the result is that of the whole; a word longer than a piece is cut all the same."""
+    texts = [prose("aa", 60, 1) + " " + prose("bb", 60, 2), "", None or "", prose("cc", 9, 3), "x" * 300, prose("bb", 40, 4) + "\n" + prose("cc", 50, 5)]
+    whole = langid.label(model, texts, True)
+    for size in (64, 100, 333):
+        monkeypatch.setattr(langid, "AT_ONCE", size)
+        groups = list(langid._pieces(texts))
+        assert "".join(p for g in groups for _, _, p in g) == "".join(texts) and all(sum(len(p) for _, _, p in g) <= size for g in groups)
+        assert all(texts[i][o : o + len(p)] == p for g in groups for i, o, p in g)
+        got = langid.label(model, texts, True)
+        for a, b in zip(got, whole, strict=True):
+            if a is not got[4]:
+                assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 and a[2] == b[2]
+
+
 def test_odd_rows(spark, docs, model):
     long_ = prose("bb", 200_000, 7)
     rows = [(1, None), (2, ""), (3, " \n12 !?"), (None, prose("cc", 9, 8)), (5, long_), (5, long_), (6, "́"), (7, "α")]
