@@ -764,7 +764,7 @@ def test_query_equals_sql(spark, name):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     expected = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in expected.description]
