@@ -27,8 +27,9 @@ def resolve(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     return heads.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def _id(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page "), F.coalesce(page_id.cast("string"), F.lit(""))))
+def _id(archive: str, page_id: Column, digest: Column) -> Column:
+    """A record's id: another one in each archive, for each page and for each payload."""
+    h = F.md5(F.concat_ws(" ", F.lit(archive), F.coalesce(page_id.cast("string"), F.lit("")), digest))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -37,6 +38,13 @@ def _opening(archive: str) -> str:
     return f"WARC/1.1\r\nWARC-Warcinfo-ID: <urn:uuid:{archive}>\r\n"
 
 
+def _info(archive: str, date: str) -> str:
+    """The warcinfo record that the other records name."""
+    block = _END.join(["software: inkmark", "format: WARC File Format 1.1", "description: revisits instead of repeated payloads", ""])
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{archive}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return _END.join([*head, "", block])
+
+
 def records(pages: DataFrame, revisits: DataFrame, date: str, archive: str) -> DataFrame:
     """(value): each page as the text of a WARC 1.1 record without the two line ends that close it.
 
@@ -55,12 +63,12 @@ def records(pages: DataFrame, revisits: DataFrame, date: str, archive: str) -> D
     head = F.concat(
         F.lit(_opening(archive)),
         F.when(again, line("WARC-Type", "revisit")).otherwise(line("WARC-Type", "response")),
-        line("WARC-Record-ID", _id(F.col("page_id"))),
+        line("WARC-Record-ID", _id(archive, F.col("page_id"), digest)),
         line("WARC-Date", date),
         line("WARC-Target-URI", url),
         line("WARC-Page-Id", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
-        F.when(again, F.concat(line("WARC-Profile", _PROFILE), line("WARC-Refers-To", _id(F.col("refers_to"))), line("WARC-Refers-To-Page-Id", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
+        F.when(again, F.concat(line("WARC-Profile", _PROFILE), line("WARC-Refers-To", _id(archive, F.col("refers_to"), digest)), line("WARC-Refers-To-Page-Id", F.col("refers_to").cast("string")))).otherwise(F.lit("")),
         line("Content-Type", "application/http; msgtype=response"),
         line("Content-Length", F.octet_length(block).cast("string")),
     )
@@ -73,21 +81,27 @@ def write(pages: DataFrame, path: str, *, least_bytes: int = 100, records_a_file
     Null html is an empty payload. Pages without an id are responses; so are all with a payload under least_bytes.
     Of equal payloads the smallest page_id is the response (rows that repeat that id with it are responses, too).
     Payloads are written whole, whatever their length; other columns of pages, of any name, are left alone. An empty
-    table writes archives without records.
+    table writes an archive with its warcinfo record alone, which has a file of its own beside those of the pages. A
+    record's id is drawn from archive, page_id and digest: only rows that repeat both page_id and payload share one. Each
+    file, of up to records_a_file records, is one gzip stream: files are read whole, in parallel, records can't be sought.
     """
     revisits = stored(resolve(pages, least_bytes), "revisits")
     archive = str(uuid.uuid4())
-    rows = records(pages, revisits, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), archive)
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    info = pages.sparkSession.range(0, 1, 1, 1).select(F.lit(_info(archive, date)).alias("value"))
+    rows = records(pages, revisits, date, archive).unionByName(info)
     rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
     return archive
 
 
 def read(spark: SparkSession, path: str, archive: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record below path.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every response and revisit below path.
 
     Records are told apart by the line that names their archive, which no payload can hold, as it is drawn anew for
     each. A record's block has the length that its header says. Responses are measured by the payload that was read;
-    a revisit has the digest of its own header, and its length from the response that it refers to.
+    a revisit has the digest of its own header, and its length from the response that it refers to. Where a header has
+    no number as the page's id, that of the page referred to, or the length, the value is null, and so is what follows
+    from it.
     """
     rows = spark.read.option("lineSep", f"{_END}{_END}{_opening(archive)}").option("pathGlobFilter", "*.gz").text(path)
     whole = F.regexp_replace("value", "^" + _opening(archive).replace(".", "\\."), "")
@@ -98,17 +112,17 @@ def read(spark: SparkSession, path: str, archive: str) -> DataFrame:
 
     data = F.encode("whole", "UTF-8")
     own = rows.select(whole.alias("whole"), head.alias("head"))
-    length = field("Content-Length").cast("int") - len(_HTTP)
+    length = field("Content-Length").try_cast("int") - len(_HTTP)
     payload = F.substring(data, F.octet_length("head") + 1 + len(_HTTP), length)
     again = field("WARC-Type") == "revisit"
     found = own.select(
-        field("WARC-Page-Id").cast("long").alias("page_id"),
+        field("WARC-Page-Id").try_cast("long").alias("page_id"),
         F.when(~again, length.cast("long")).alias("payload_bytes"),
         F.when(again, F.substring_index(field("WARC-Payload-Digest"), ":", -1)).otherwise(F.sha2(payload, 256)).alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
-        field("WARC-Refers-To-Page-Id").cast("long").alias("refers_to"),
+        field("WARC-Refers-To-Page-Id").try_cast("long").alias("refers_to"),
     )
-    found = stored(found.where("record_type is not null"), "records")
+    found = stored(found.where("record_type in ('response', 'revisit')"), "records")
     own = found.where("record_type = 'response'")
     lengths = own.where("page_id is not null").select(F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes")).distinct()
     again = found.where("record_type = 'revisit'").join(lengths, (F.col("refers_to") == F.col("__page")) & (F.col("payload_digest") == F.col("__digest")), "left")
