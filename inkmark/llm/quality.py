@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmark.llm.common import WORD, let
+from inkmark.llm.common import WORD, let, stored
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
@@ -77,30 +77,54 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return own.withColumn("fail_bits", bits.cast("long"))
 
 
+def keep_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger, written to the shared folder and read again: verdicts and ablations of any policy read no text.
+
+    Rows, nulls, repeats and empty tables are those of ledger().
+    """
+    return stored(ledger(docs, id_col, text_col), "ledger")
+
+
 def passes(bits: Column, policy: str = CURRENT) -> Column:
+    """Whether the policy keeps a row of a ledger. Null bits give null; a ledger has none."""
     return bits.bitwiseAND(F.lit(mask(policy))) == 0
 
 
-def ablation(found: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """(rule, n_failed, n_only, n_kept_without): for each rule of the policy, from the ledger's bits alone.
+def ablations(found: DataFrame, policies: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:
+    """(policy, rule, n_failed, n_only, n_kept_without): for each rule of each policy, from the ledger's bits alone.
 
-    The ledger is first counted by its bits, of which there are 2 ** rules at most.
+    n_failed counts the rows that the rule rejects, n_only those that no other rule of the policy rejects, and
+    n_kept_without those that the policy would keep without it. The ledger is first counted by its bits, of which there
+    are 2 ** rules at most. Repeated rows and null ids count as rows, other columns are left alone, an empty ledger
+    gives no rows.
     """
     counts = found.groupBy("fail_bits").agg(F.count("*").alias("n"))
-    rules = [(name, 1 << i) for i, name in enumerate(RULES) if name in POLICIES[policy]]
-    bits, all_ = F.col("fail_bits"), mask(policy)
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(b).cast("long").alias("bit")) for name, b in rules])).alias("r")
-    rows = counts.select("n", bits, each).select("n", bits, "r.rule", "r.bit")
-    held = bits.bitwiseAND(F.lit(all_))
-    return rows.groupBy("rule").agg(
-        F.sum(F.when(bits.bitwiseAND(F.col("bit")) != 0, F.col("n")).otherwise(0)).alias("n_failed"),
-        F.sum(F.when(held == F.col("bit"), F.col("n")).otherwise(0)).alias("n_only"),
-        F.sum(F.when((held == 0) | (held == F.col("bit")), F.col("n")).otherwise(0)).alias("n_kept_without"),
+    arms = [(p, name, 1 << i, mask(p)) for p in policies for i, name in enumerate(RULES) if name in POLICIES[p]]
+    arm = [F.struct(F.lit(p).alias("policy"), F.lit(name).alias("rule"), F.lit(bit).cast("long").alias("bit"), F.lit(all_).cast("long").alias("mask")) for p, name, bit, all_ in arms]
+    rows = counts.select("n", "fail_bits", F.explode(F.array(*arm)).alias("arm"))
+    bit, held = F.col("arm.bit"), F.col("fail_bits").bitwiseAND(F.col("arm.mask"))
+
+    def counted(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("n")).otherwise(0))
+
+    return rows.groupBy(F.col("arm.policy").alias("policy"), F.col("arm.rule").alias("rule")).agg(
+        counted(held.bitwiseAND(bit) != 0).alias("n_failed"),
+        counted(held == bit).alias("n_only"),
+        counted((held == 0) | (held == bit)).alias("n_kept_without"),
     )
 
 
+def ablation(found: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """(rule, n_failed, n_only, n_kept_without) of one policy: see ablations()."""
+    return ablations(found, (policy,)).drop("policy")
+
+
 def kept(docs: DataFrame, policy: str = CURRENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that the policy rejects; evaluated row by row, without a join."""
+    """docs without those that the policy rejects; rules are evaluated once, row by row, without a join.
+
+    Null and empty texts go, rows with a null id are judged as others, repeated rows stay or go together, very long
+    texts are measured whole, an empty table gives none, and columns may have any names.
+    """
     names = docs.columns
     found = ledger(docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col(text_col).alias("text")), "row", "text")
     return found.where(passes(F.col("fail_bits"), policy)).select(*[F.col("id")[n].alias(n) for n in names])

@@ -55,10 +55,15 @@ def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.ledger(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    found = quality.keep_ledger(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", *quality.MEASURES, "fail_bits", (~quality.passes(F.col("fail_bits"), "base")).alias("base_failed"), quality.passes(F.col("fail_bits")).alias("kept"))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each version of the policy rejects, alone and beside the others."""
+    return quality.ablations(quality.keep_ledger(table(spark, sf_dir, "documents")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"), 40).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -92,22 +97,14 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_syncmers": op8_syncmers,
     "op9_quality": op9_quality,
+    "quality_ablation": quality_ablation,
     "op10_sharding": op10_sharding,
     "op11_negatives": op11_negatives,
     "op12_whitening": op12_whitening,
     "op13_langid": op13_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op4_warc": r"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
-f AS (SELECT payload_digest, min(page_id) AS first_id FROM h WHERE payload_bytes >= 100 GROUP BY 1)
-SELECT page_id, payload_bytes, h.payload_digest,
-       CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
-FROM h LEFT JOIN f ON h.payload_digest = f.payload_digest AND payload_bytes >= 100""",
-    "op9_quality": r"""
+_LEDGER_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 places AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM t, unnest(range(1, len(w) - 1)) AS r(i)),
 again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM places),
@@ -126,8 +123,27 @@ b AS (
   SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 10 * n_words)::INT
              + 8 * (100 * n_upper > 40 * word_chars)::INT + 16 * (n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines)::INT
              + 32 * (word_chars > 20 * n_words)::INT)::BIGINT AS fail_bits
-  FROM m)
+  FROM m)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM h WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, h.payload_digest,
+       CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM h LEFT JOIN f ON h.payload_digest = f.payload_digest AND payload_bytes >= 100""",
+    "op9_quality": _LEDGER_SQL
+    + """
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b""",
+    "quality_ablation": _LEDGER_SQL
+    + """,
+policies(policy, mask) AS (VALUES ('base', 3), ('2025-1', 15), ('2025-2', 63)),
+rules(rule, bit) AS (VALUES ('few_words', 1), ('repeats', 2), ('symbols', 4), ('shouting', 8), ('same_lines', 16), ('long_words', 32))
+SELECT policy, rule, count(*) FILTER ((fail_bits & bit) <> 0) AS n_failed, count(*) FILTER ((fail_bits & mask) = bit) AS n_only,
+       count(*) FILTER ((fail_bits & mask) IN (0, bit)) AS n_kept_without
+FROM b, policies, rules WHERE (mask & bit) <> 0 GROUP BY 1, 2""",
     "op11_negatives": r"""
 WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
