@@ -129,7 +129,9 @@ def plan(groups: DataFrame, shards: int) -> list[int]:
 
     Groups lie in the order of h. The cuts are those of the greedy way with the smallest capacity for which it needs
     no more shards than there are. A group larger than a fair share has a shard to itself, at its place in the order,
-    so that the others are as even as can be; unless that would make the largest shard larger.
+    so that the others are as even as can be; unless that would make the largest shard larger. h names a group and has
+    no nulls or repeats, as groups of rows have none. Equal sizes are told apart by h, groups without bytes stay where
+    they lie, an empty table and a single shard have no cuts; other columns are left alone.
     """
     facts = groups.agg(F.sum("bytes").alias("total"), F.max("bytes").alias("largest")).first()
     if not facts.total or shards < 2:

@@ -120,7 +120,8 @@ def links(fps: DataFrame, radius: int = 3, limit: int = 512) -> DataFrame:
 
     Fingerprints meet where two of radius + 2 blocks of bits agree, which any two within the radius do. A bucket of
     more than `limit` is dealt into chunks, and each pair of chunks is compared in a task's block of its own: no
-    block outgrows memory and no pair is missed.
+    block outgrows memory and no pair is missed, while the bucket's fingerprints are copied once a chunk. A null
+    fingerprint meets none, an empty table gives no links, other columns are left alone.
     """
     rows = fps.select("fp", F.explode(_keys(F.col("fp"), radius)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")

@@ -436,6 +436,8 @@ def test_line_dedup(docs, none):
         else:
             assert r.text == "\n".join(x for k, x in enumerate(t.split("\n")) if (r.doc_id, k) not in gone)
     assert lines.deduplicated(none).count() == 0
+    with pytest.raises(ValueError, match="counts"):
+        lines.deduplicated(docs, counts=("row", "n_gone"))
 
 
 def test_similar_lines_in_a_large_bucket(spark):
