@@ -11,17 +11,28 @@ from inkmark.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go.
+
+    Null and empty texts and null ids stay, repeated rows stay or go together, an empty table gives none; texts are
+    scored whole and columns may have any names.
+    """
     return toxicity.kept(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy's rules reject go."""
+    """Documents that the current policy's rules reject go: null and empty texts among them, null ids by their text.
+
+    Repeated rows stay or go together, an empty table gives none; texts are measured whole, columns may have any names.
+    """
     return quality.kept(docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal and similar lines the first stays; n_chars follows the text."""
+    """Of equal and similar lines the first, by id and place, stays; n_chars follows the text.
+
+    Null and empty texts and rows without an id stay as they are, rows that share an id lose the same places, an empty
+    table gives none. Lines are compared whole; columns may have any names, as the counters take free ones.
+    """
     n_lines, n_gone = (next(n for n in (x + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("lines", "gone"))
     found = lines.deduplicated(docs, counts=(n_lines, n_gone))
     if "n_chars" in docs.columns:
@@ -31,12 +42,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays, that of the least id.
+
+    Null and empty texts are of one group, rows without an id stay, of rows that share an id one stays, an empty table
+    gives none. Texts are read whole; columns may have any names.
+    """
     return simhash.kept(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences."""
+    """Pieces of sequences.
+
+    Null and empty texts have the closing id alone, rows with a null id or a repeated one are packed as rows of their
+    own, an empty table gives none. Texts are encoded whole; columns may have any names.
+    """
     return packing.pack(docs, tokenizer_path(), **packing.PRODUCTION).withColumnRenamed("id", "doc_id")
 
 
