@@ -245,3 +245,13 @@ def test_stream(spark, tmp_path):
 def test_arrays(spark):
     df = spark.sql("select 1L as carrier_id, array(array(array(-5.0, 0.5, 300.0), array(1.5, 2.5, 3.5))) as matrix")
     assert [tuple(r) for r in carriers.pixels_from_arrays(df).orderBy("x").collect()] == [(1, 0, 0, 0, 0, 255), (1, 0, 1, 2, 2, 4)]
+
+
+@pytest.mark.parametrize("size", [(24, 20), (9, 3)])
+def test_clahe_joins_pixels_with_maps_once_in_any_number_of_parts(spark, monkeypatch, size):
+    px = frame(spark, *size)
+    whole = {tuple(r) for r in histogram.clahe(px).collect()}
+    plan = histogram.clahe(px)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 4 and "strategy=merge" in plan  # seven before: maps are joined once, and never broadcast
+    monkeypatch.setattr(histogram, "PART", 50)
+    assert {tuple(r) for r in histogram.clahe(px).collect()} == whole and len(whole) == size[0] * size[1]
