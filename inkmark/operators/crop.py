@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkmark.functions.formulas import KEYS, RGB, level, uniform
+from inkmark.operators.point import others
 from inkmark.sources.carriers import sizes
 
 #: Per position: where the region begins, as a share of the free rows and columns (in halves).
@@ -49,7 +50,7 @@ def crop_pad(pixels: DataFrame, ratio: float = 0.5, position: str = "center", fi
     """The size stays; pixels outside the region take the fill."""
     triple = _fill(fill)
     own = pixels.join(region(pixels, ratio, position, seed), "carrier_id")
-    return own.select(*KEYS, *[F.when(_inside(), F.col(c)).otherwise(F.lit(v)).alias(c) for c, v in zip(RGB, triple, strict=True)])
+    return own.select(*others(pixels), *[F.when(_inside(), F.col(c)).otherwise(F.lit(v)).alias(c) for c, v in zip(RGB, triple, strict=True)])
 
 
 def crop_raw(pixels: DataFrame, ratio: float = 0.5, position: str = "center", seed: int = 0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkmark.functions.formulas import KEYS, RGB, level
 from inkmark.operators.ordered import running
+from inkmark.operators.point import others
 from inkmark.sources.scratch import stored
 
 #: Parts of a carrier in which its sample is chosen first.
@@ -54,7 +55,7 @@ def quantize_kmeans(pixels: DataFrame, colors: int = 16, sample_size: int = 5000
     """Every pixel becomes the nearest centre; the palette is learned on a sample of its carrier."""
     centres = kmeans_palette(pixels, colors, sample_size, iterations, seed)
     found = pixels.join(centres, "carrier_id").withColumn("k", F.expr(_nearest(colors)))
-    return found.select(*KEYS, *[F.expr(level(f"c{c}[k]")).alias(c) for c in RGB])
+    return found.select(*others(pixels), *[F.expr(level(f"c{c}[k]")).alias(c) for c in RGB])
 
 
 def quantize_median_cut(pixels: DataFrame, colors: int = 16) -> DataFrame:
@@ -74,7 +75,7 @@ def quantize_median_cut(pixels: DataFrame, colors: int = 16) -> DataFrame:
         own = summed.select("of.carrier_id", *RGB, "n", F.expr("of.box * 2 + case when 2 * before >= all then 1 else 0 end").alias("box"))
     means = own.groupBy("carrier_id", "box").agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(f"m{c}") for c in RGB])
     table = own.join(means, ["carrier_id", "box"]).select("carrier_id", *RGB, *[F.expr(level(f"m{c}")).alias(f"q{c}") for c in RGB])
-    return pixels.join(table, ["carrier_id", *RGB]).select(*KEYS, *[F.col(f"q{c}").alias(c) for c in RGB])
+    return pixels.join(table, ["carrier_id", *RGB]).select(*others(pixels), *[F.col(f"q{c}").alias(c) for c in RGB])
 
 
 def palette_size(pixels: DataFrame) -> DataFrame:

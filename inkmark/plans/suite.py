@@ -38,6 +38,9 @@ ATTACKS: dict[str, tuple[str, Attack]] = BASIC | {
     "crop_resize": ("geometric", crop.crop_resize),
 }
 
+#: Distortions that keep a pixel's place and are scored in one job.
+AT_ONCE = 3
+
 
 def attack_suite(pixels: DataFrame, attacks: dict[str, tuple[str, Attack]] | None = None) -> DataFrame:
     """The pixels after each distortion, tagged by category and attack_id. Any DataFrame -> DataFrame will do."""
@@ -72,11 +75,13 @@ def robustness(pixels: DataFrame, marks: DataFrame, num_bits: int, attacks: dict
 
     The marked pixels are stored once and carry their own levels and place along. A distortion that keeps them, as
     row-local ones do, needs no join: all of these are scored by one aggregate. The others are joined by place.
+    Each of the others, and each few of the former, is a job of its own that leaves a row for each carrier: the driver
+    never holds a plan of more than a few distortions, nor does the last one.
     """
     marked = embed.embed_pixels(pixels, marks)
     placed = marked.join(sizes(marked), "carrier_id").select(*KEYS, *RGB, F.expr("(cast(y as bigint) * width + x) * 3").alias("at"), *[F.col(c).alias(f"old_{c}") for c in RGB])
     placed = stored(placed, "marked")
-    plain, kept, moved = placed.select(*KEYS, *RGB), [], []
+    plain, kept, found = placed.select(*KEYS, *RGB), [], []
     for name, (category, attack) in (attacks or ATTACKS).items():
         tags = {"category": F.lit(category), "attack_id": F.lit(name)}
         hit = attack(placed)
@@ -85,15 +90,15 @@ def robustness(pixels: DataFrame, marks: DataFrame, num_bits: int, attacks: dict
         else:
             hit = attack(plain)
             both = embed.extract_pixels(hit, num_bits).join(metrics.mse(plain, hit), "carrier_id")
-            moved.append(both.withColumns(tags))
-    found = moved
-    if kept:
-        each = reduce(DataFrame.unionByName, kept)
+            found.append(stored(both.withColumns(tags), "scored"))
+    for i in range(0, len(kept), AT_ONCE):
+        each = reduce(DataFrame.unionByName, kept[i : i + AT_ONCE])
         square = F.sum(F.expr(" + ".join(f"cast(({c} - old_{c}) * ({c} - old_{c}) as bigint)" for c in RGB)))
         low = F.concat(*[F.col(c).bitwiseAND(F.lit(1)).cast("string") for c in RGB])
         bits = F.array_sort(F.collect_list(F.when(F.col("at") < num_bits, F.struct("at", low.alias("bit")))))  # num_bits at most
         scored = each.groupBy("category", "attack_id", "carrier_id").agg((square / (3 * F.count("*"))).alias("mse"), bits.alias("all"))
-        found = [*moved, scored.select("category", "attack_id", "carrier_id", "mse", F.left(F.array_join("all.bit", ""), F.lit(num_bits)).alias("bits"))]
+        own = scored.select("category", "attack_id", "carrier_id", "mse", F.left(F.array_join("all.bit", ""), F.lit(num_bits)).alias("bits"))
+        found.append(stored(own, "scored"))
     rows = reduce(DataFrame.unionByName, found).withColumnRenamed("bits", "extracted")
     pairs = metrics.compared_bits(marks.select("carrier_id", F.left("bits", F.lit(num_bits)).alias("original")).join(rows, "carrier_id"))
     wrong, n = F.col("wrong"), F.col("n")
