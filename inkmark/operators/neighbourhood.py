@@ -6,14 +6,16 @@ Windows are partitioned by a carrier's row or column, never by a carrier alone,
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkmark.functions import formulas as f
 from inkmark.functions.formulas import KEYS
-from inkmark.sources.scratch import stored
 
 #: Constants of structural similarity for levels 0..255, and the weights of its five scales.
 C1, C2, MS_WEIGHTS = (0.01 * 255) ** 2, (0.03 * 255) ** 2, (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)
@@ -21,6 +23,9 @@ C1, C2, MS_WEIGHTS = (0.01 * 255) ** 2, (0.03 * 255) ** 2, (0.0448, 0.2856, 0.30
 SCHARR_X = ((3 / 16, 0.0, -3 / 16), (10 / 16, 0.0, -10 / 16), (3 / 16, 0.0, -3 / 16))
 SCHARR_Y = tuple(zip(*SCHARR_X, strict=True))
 GRADIENT_C, CHROMA_C, CHROMA_POWER = 160.0, 200.0, 0.03
+#: Side of the tiles in which frames are compared at all scales, and what a tile sees before and after it: 15 and 159
+#: places at five scales, rounded up to multiples of 16, so that every scale of a tile begins at an even place.
+SIDE, BEFORE, AFTER = 512, 16, 160
 
 
 def gauss1d(size: int = 11, sigma: float = 1.5) -> list[float]:
@@ -83,13 +88,90 @@ def _ssim_of(both: DataFrame) -> DataFrame:
 
 def ssim(first: DataFrame, second: DataFrame) -> DataFrame:
     """(carrier_id, ssim, status); frames under 11 pixels a side have no value and the status too_small."""
-    return _with_status(first, ssim_map(first, second).groupBy("carrier_id").agg(F.avg("ssim").alias("ssim")), "ssim")
+    means = _scale_means(first, second, 1).select("carrier_id", F.col("mean").alias("ssim"))
+    return means.select("*", F.when(F.col("ssim").isNull(), "too_small").otherwise("ok").alias("status"))
 
 
-def _with_status(plane: DataFrame, scored: DataFrame, metric: str) -> DataFrame:
-    """A row for each carrier of the plane: ok, or too_small where the metric has no value for it."""
-    own = plane.select("carrier_id").distinct().join(scored, "carrier_id", "left")
-    return own.select("carrier_id", metric, F.when(F.col(metric).isNull(), "too_small").otherwise("ok").alias("status"))
+def _scale_means(first: DataFrame, second: DataFrame, scales: int) -> DataFrame:
+    """(carrier_id, k, mean) of cs at each scale, of ssim at the last one; null where a frame is too small for it.
+
+    Both frames are cut into tiles of SIDE with BEFORE and AFTER more rows and columns of their neighbours, which is
+    what five scales of an interior see. A batch's pixels of a tile are packed before the one shuffle, all scales follow
+    in the task that has the tile, and leave a sum each: no scale is written or shuffled, no frame has to fit into a task.
+    """
+    kind = first.schema["carrier_id"].dataType.simpleString()
+    each = [p.select(*KEYS, F.col("v").cast("double").alias("v"), F.lit(i).alias("side")) for i, p in enumerate((first, second))]
+    packed = reduce(DataFrame.unionByName, each).mapInArrow(_packed, f"carrier_id {kind}, ty int, tx int, side int, at binary, v binary")
+    sums = packed.groupBy("carrier_id", "ty", "tx").applyInArrow(lambda part: _tile_sums(part, scales), f"carrier_id {kind}, k int, total double, n long")
+    mean = F.when(F.sum("n") > 0, F.sum("total") / F.sum("n"))
+    return sums.groupBy("carrier_id", "k").agg(mean.alias("mean"))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(carrier_id, ty, tx, side, at, v): of each batch and tile the places, as steps between sorted ones, and values."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        coded = batch.column(0).dictionary_encode(null_encoding="encode")
+        y, x, v, side = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+        y, x = y.astype(np.int64), x.astype(np.int64)
+        near = [[(t, (t >= 0) & (a >= t * SIDE - BEFORE) & (a < (t + 1) * SIDE + AFTER)) for t in (a // SIDE + i for i in (-1, 0, 1))] for a in (y, x)]
+        seen = [(np.flatnonzero(sy & sx), ty, tx) for ty, sy in near[0] for tx, sx in near[1]]
+        row = np.concatenate([r for r, _, _ in seen])
+        ty, tx = np.concatenate([ty[r] for r, ty, _ in seen]), np.concatenate([tx[r] for r, _, tx in seen])
+        at = (y[row] - np.maximum(0, ty * SIDE - BEFORE)) * (SIDE + BEFORE + AFTER) + x[row] - np.maximum(0, tx * SIDE - BEFORE)
+        which = coded.indices.to_numpy(zero_copy_only=False)[row]
+        order = np.lexsort((at, side[row], tx, ty, which))
+        row, at, tags = row[order], at[order], np.stack([which, ty, tx, side[row]])[:, order]
+        cuts = np.concatenate([[0], np.flatnonzero((tags[:, 1:] != tags[:, :-1]).any(0)) + 1, [len(row)]])
+        parts = [slice(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        heads = tags[:, cuts[:-1]]
+        columns = [coded.dictionary.take(pa.array(heads[0])), *(pa.array(h.astype(np.int32)) for h in heads[1:])]
+        columns.append(pa.array([np.diff(at[p], prepend=0).astype(np.int32).tobytes() for p in parts], pa.binary()))
+        columns.append(pa.array([v[row[p]].astype(float).tobytes() for p in parts], pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, ["carrier_id", "ty", "tx", "side", "at", "v"])
+
+
+def _tile_sums(part: pa.Table, scales: int) -> pa.Table:
+    """(carrier_id, k, total, n) of a tile's interior at each scale."""
+    wide = SIDE + BEFORE + AFTER
+    planes, there = np.full((2, wide * wide), np.nan), np.zeros((2, wide * wide), bool)
+    for side, at, v in zip(*(part[c].to_pylist() for c in ("side", "at", "v")), strict=True):
+        places = np.cumsum(np.frombuffer(at, np.int32))
+        planes[side, places], there[side, places] = np.frombuffer(v), True
+    if (there[0] != there[1]).any():
+        raise ValueError("frames differ in size")
+    used = there[0].reshape(wide, wide)
+    height, width = (int(np.flatnonzero(used.any(i)).max()) + 1 for i in (1, 0))
+    planes = planes.reshape(2, wide, wide)[:, :height, :width]
+    skipped = [BEFORE if part[c][0].as_py() else 0 for c in ("ty", "tx")]
+    totals, counts, taps = [], [], gauss1d()
+    for k in range(scales):
+        at = [slice(s >> k, (s + SIDE) >> k) for s in skipped]
+        found = _ssim_of_arrays(*planes, taps)[k < scales - 1][at[0], at[1]] if min(planes.shape[1:]) >= len(taps) else np.zeros((0, 0))
+        valid = found[~np.isnan(found)]
+        totals.append(float(valid.sum()))
+        counts.append(valid.size)
+        for axis in (2, 1):  # as downsample2
+            before = np.concatenate([planes.take([0], axis), planes.take(range(planes.shape[axis] - 1), axis)], axis)
+            planes = (before + planes) / 2
+        planes = planes[:, ::2, ::2]
+    ids = part["carrier_id"].combine_chunks().take(pa.array(np.zeros(scales, np.int64)))
+    return pa.table([ids, pa.array(range(scales), pa.int32()), pa.array(totals), pa.array(counts, pa.int64())], ["carrier_id", "k", "total", "n"])
+
+
+def _ssim_of_arrays(a: np.ndarray, b: np.ndarray, taps: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """ssim and cs of two planes, as _ssim_of."""
+
+    def filtered(m: np.ndarray) -> np.ndarray:
+        n = m.shape[1] - len(taps) + 1
+        m = sum(t * m[:, i : i + n] for i, t in enumerate(taps))
+        n = m.shape[0] - len(taps) + 1
+        return sum(t * m[i : i + n] for i, t in enumerate(taps))
+
+    ma, mb, aa, bb, ab = map(filtered, (a, b, a * a, b * b, a * b))
+    cs = (2 * (ab - ma * mb) + C2) / ((aa - ma * ma) + (bb - mb * mb) + C2)
+    return (2 * (ma * mb) + C1) / (ma * ma + mb * mb + C1) * cs, cs
 
 
 def downsample2(plane: DataFrame) -> DataFrame:
@@ -102,19 +184,12 @@ def downsample2(plane: DataFrame) -> DataFrame:
 
 
 def ms_ssim(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(carrier_id, ms_ssim, status); frames under 176 pixels a side have no value and the status too_small.
-
-    Frames are paired once, and every scale is stored: none is computed again for the next ones.
-    """
-    both, out = stored(paired(first, second), "scale"), []
-    own = both.select("carrier_id").distinct()
-    for k, weight in enumerate(MS_WEIGHTS):
-        name = "ssim" if k == len(MS_WEIGHTS) - 1 else "cs"
-        out.append(_ssim_of(both).groupBy("carrier_id").agg(F.pow(F.greatest(F.avg(name), F.lit(1e-8)), F.lit(weight)).alias("s")))
-        if k < len(MS_WEIGHTS) - 1:
-            both = stored(downsample2(both), "scale")
-    scored = reduce(DataFrame.unionByName, out).groupBy("carrier_id").agg(F.count("s").alias("n"), F.product("s").alias("ms_ssim"))
-    return _with_status(own, scored.where(F.col("n") == len(MS_WEIGHTS)), "ms_ssim")
+    """(carrier_id, ms_ssim, status); frames under 176 pixels a side have no value and the status too_small."""
+    means = _scale_means(first, second, len(MS_WEIGHTS))
+    each = means.select("carrier_id", F.pow(F.greatest("mean", F.lit(1e-8)), F.get(F.array(*map(F.lit, MS_WEIGHTS)), F.col("k"))).alias("s"), F.col("mean").isNull().alias("lacks"))
+    scored = each.groupBy("carrier_id").agg(F.product("s").alias("s"), F.bool_or("lacks").alias("lacks"))
+    value = F.when(~F.col("lacks"), F.col("s"))
+    return scored.select("carrier_id", value.alias("ms_ssim"), F.when(F.col("lacks"), "too_small").otherwise("ok").alias("status"))
 
 
 def conv3(plane: DataFrame, kernels: dict[str, tuple], names: tuple[str, ...] = ("v",)) -> DataFrame:

@@ -276,3 +276,37 @@ def test_clahe_joins_pixels_with_maps_once_in_any_number_of_parts(spark, monkeyp
     assert plan.count("Join ") <= 4 and "strategy=merge" in plan  # seven before: maps are joined once, and never broadcast
     monkeypatch.setattr(histogram, "PART", 50)
     assert {tuple(r) for r in histogram.clahe(px).collect()} == whole and len(whole) == size[0] * size[1]
+
+
+def test_scales_of_tiles_are_those_of_whole_frames(spark, monkeypatch):
+    """One shuffle of pixels, the means at all scales those of the whole frame in any cut, and nothing stored."""
+    import numpy as np
+
+    px = frame(spark, 190, 215)
+    a, b = neighbourhood.luma_plane(px), neighbourhood.luma_plane(point.color_noise(px, noise_std=20.0))
+    whole = {r.k: r.mean for r in neighbourhood._scale_means(a, b, 5).collect()}
+    plane = a
+    other = b
+    for k in range(2):  # the windows' form
+        name = "cs"
+        assert abs(neighbourhood.ssim_map(plane, other).agg(F.avg(name)).first()[0] - whole[k]) < 1e-12
+        plane, other = neighbourhood.downsample2(plane), neighbourhood.downsample2(other)
+    monkeypatch.setattr(neighbourhood, "SIDE", 176)  # closures carry the module's values by reference
+    import pyarrow as pa
+
+    rows = a.collect(), b.collect()
+    batches = [pa.RecordBatch.from_pydict({"carrier_id": [1] * len(r), "y": pa.array([x.y for x in r], pa.int32()), "x": pa.array([x.x for x in r], pa.int32()), "v": [x.v for x in r], "side": pa.array([i] * len(r), pa.int32())}) for i, r in enumerate(rows)]
+    packed = pa.Table.from_batches(neighbourhood._packed(iter(batches)))
+    tiles = {}
+    for i, at in enumerate(zip(packed["ty"].to_pylist(), packed["tx"].to_pylist(), strict=True)):
+        tiles.setdefault(at, []).append(i)
+    assert len(tiles) == 4
+    sums = np.zeros((5, 2))
+    for own in tiles.values():
+        t = neighbourhood._tile_sums(packed.take(pa.array(own)), 5)
+        sums += np.column_stack([t["total"].to_numpy(), t["n"].to_numpy()])
+    assert np.allclose(sums[:, 0] / sums[:, 1], [whole[k] for k in range(5)], rtol=0, atol=1e-12)
+    plan = neighbourhood.ms_ssim(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan  # a join and eighteen windows before
+    with pytest.raises(Exception, match="differ in size"):
+        neighbourhood.ms_ssim(a, neighbourhood.luma_plane(frame(spark, 190, 214))).collect()
