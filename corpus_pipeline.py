@@ -9,6 +9,17 @@ from inkmark.llm import lines, packing, quality, simhash, toxicity
 from inkmark.llm.common import stored, table
 from inkmark.llm.queries import tokenizer_path
 
+#: Rows that an executor hands to Python at once. Whole texts go there: Spark's 10,000 rows are tens of megabytes for
+#: each task and direction, outside of the heap, and as much again in Python.
+ROWS_AT_ONCE = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Batches of ROWS_AT_ONCE at most, for this session: plans read the setting when they run. A lower one stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_AT_ONCE:
+        spark.conf.set(name, str(ROWS_AT_ONCE))
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go.
@@ -16,6 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and null ids stay, repeated rows stay or go together, an empty table gives none; texts are
     scored whole and columns may have any names.
     """
+    _small_batches(spark)
     return toxicity.kept(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -33,6 +45,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and rows without an id stay as they are, rows that share an id lose the same places, an empty
     table gives none. Lines are compared whole; columns may have any names, as the counters take free ones.
     """
+    _small_batches(spark)
     n_lines, n_gone = (next(n for n in (x + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for x in ("lines", "gone"))
     found = lines.deduplicated(docs, counts=(n_lines, n_gone))
     if "n_chars" in docs.columns:
@@ -47,6 +60,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and empty texts are of one group, rows without an id stay, of rows that share an id one stays, an empty table
     gives none. Texts are read whole; columns may have any names.
     """
+    _small_batches(spark)
     return simhash.kept(docs)
 
 
@@ -56,6 +70,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have the closing id alone, rows with a null id or a repeated one are packed as rows of their
     own, an empty table gives none. Texts are encoded whole; columns may have any names.
     """
+    _small_batches(spark)
     return packing.pack(docs, tokenizer_path(), **packing.PRODUCTION).withColumnRenamed("id", "doc_id")
 
 

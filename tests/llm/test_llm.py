@@ -939,3 +939,18 @@ def test_pipeline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in pipeline.STAGES[:2]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+
+
+def test_pipeline_hands_few_whole_texts_to_python_at_once(spark):
+    """10,000 rows a batch before, whatever the texts' length; a lower setting of the user's stays."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a text of some words")], "doc_id long, text string")
+    try:
+        for given, kept in (("10000", "1000"), ("0", "1000"), ("50", "50")):
+            spark.conf.set(name, given)
+            pipeline.drop_near_duplicates(spark, docs, "")
+            assert spark.conf.get(name) == kept
+    finally:
+        spark.conf.set(name, before)
