@@ -571,6 +571,13 @@ def test_long_and_periodic_lines(spark):
     assert kept & set(range(7)) == {0, 3, 5} and len(kept) <= 3 + len(long) + 1
 
 
+def test_lines_are_deduplicated_without_python(spark, docs, monkeypatch):
+    plans, keep = [], lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
+    plans.append(lines.deduplicated(docs)._jdf.queryExecution().toString())
+    assert len(plans) > 8 and not [p for p in plans if re.search("MapIn|EvalPython|Pandas", p)]
+
+
 # 3: toxicity
 
 
