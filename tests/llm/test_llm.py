@@ -571,6 +571,29 @@ def test_long_and_periodic_lines(spark):
     assert kept & set(range(7)) == {0, 3, 5} and len(kept) <= 3 + len(long) + 1
 
 
+def test_buckets_by_bands_of_narrow_signatures(spark):
+    """A signature is its 30 MinHashes of 32 bits; a bucket is made of lines that are equal in one of each group of five,
+    and no two bands share more than one."""
+    base = [prose(40, 900 + k) for k in range(30)]
+    texts = base + [x[:-9] + "another." for x in base]
+    rows = spark.createDataFrame([(*lines.name(x), x) for x in texts], "a long, b long, line string")
+    signed = lines.signed(rows)
+    assert dict(signed.dtypes)["least"] == "array<int>" and "keys" not in signed.columns
+    own = {(r.a, r.b): r.least for r in signed.collect()}
+    assert len(own) == 60 and {len(x) for x in own.values()} == {30}
+    bands = [[*(5 * g + (a * g + b) % 5 for g in range(5)), 25 + a] for a in range(5) for b in range(5)]
+    assert max(len(set(x) & set(y)) for k, x in enumerate(bands) for y in bands[:k]) == 1
+    want = defaultdict(set)
+    for name, x in own.items():
+        for k, band in enumerate(bands):
+            want[k, tuple(x[i] for i in band)].add(name)
+    got = defaultdict(set)
+    for r in lines.buckets(signed).collect():
+        got[r.key].add((r.a, r.b))
+    assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values() if len(x) > 1}
+    assert len(got) >= 25
+
+
 def test_lines_are_deduplicated_without_python(spark, docs, monkeypatch):
     plans, keep = [], lines.stored
     monkeypatch.setattr(lines, "stored", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
