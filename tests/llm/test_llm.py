@@ -594,6 +594,44 @@ def test_buckets_by_bands_of_narrow_signatures(spark):
     assert len(got) >= 25
 
 
+def test_few_pairs_of_a_large_group_of_near_copies_are_compared(spark, monkeypatch):
+    """Copies with 1 to 14 of 80 words changed: the far ones resemble none, and no line meets all of them."""
+    r, base, texts = random.Random(21), prose(80, 78).split(), []
+    for i in range(300):
+        words = base.copy()
+        for k in r.sample(range(80), 1 + i % 14):
+            words[k] = VOCABULARY[r.randrange(300)] + r.choice("abcdefgh")
+        texts.append(" ".join(words))
+    sets = [shingled(x) for x in texts]
+    like = [(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = list(range(len(texts)))
+    for a, b in like:
+        root = [root[a] if x == root[b] else x for x in root]
+    counted, keep = [], lines.resembling
+    monkeypatch.setattr(lines, "resembling", lambda pairs, *rest: counted.append(pairs.count()) or keep(pairs, *rest))
+    kept = len(kept_lines(spark, texts))
+    print("pairs compared:", counted, "lines:", len(texts), "classes:", len(set(root)), "kept:", kept)
+    assert len(set(root)) > 50 and len(set(root)) <= kept <= len(set(root)) + 2
+    assert len(counted) > 2 and counted[-1] < 3 * len(texts) and sum(counted) < 20 * len(texts)
+
+
+def test_parities_lose_no_pair(spark):
+    r = random.Random(5)
+    texts = ["=" * 150, "=" * 300, "buy it now " * 10, "buy it now " * 20]
+    for k in range(20):
+        words = prose(r.choice([15, 60, 600]), 40 + k).split()
+        for n in (0, 1, 2, 4, 7, 30):
+            texts.append(" ".join(words[: len(words) - n]))
+    texts = sorted({x for x in texts if len(x) >= 5})
+    whole = spark.createDataFrame([(*lines.name(x), x) for x in texts], "a long, b long, line string").cache()
+    names, sets = [lines.name(x) for x in texts], [shingled(x) for x in texts]
+    pairs = spark.createDataFrame([(x, y) for k, x in enumerate(names) for y in names[:k]], "u struct<a: long, b: long>, v struct<a: long, b: long>")
+    want = {(names[k], names[j]) for k in range(len(texts)) for j in range(k) if 5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j])}
+    sketches = lines.sketched(whole)
+    assert {(r.a, r.b): r.size for r in sketches.collect()} == {n: len(x) for n, x in zip(names, sets, strict=True)}
+    assert {(tuple(r.u), tuple(r.v)) for r in lines.resembling(pairs, sketches, whole).collect()} == want and len(want) > 50
+
+
 def test_lines_are_deduplicated_without_python(spark, docs, monkeypatch):
     plans, keep = [], lines.stored
     monkeypatch.setattr(lines, "stored", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
