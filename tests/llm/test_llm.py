@@ -632,6 +632,23 @@ def test_parities_lose_no_pair(spark):
     assert {(tuple(r.u), tuple(r.v)) for r in lines.resembling(pairs, sketches, whole).collect()} == want and len(want) > 50
 
 
+def test_work_a_line_and_a_pair(spark, monkeypatch):
+    """Sixteen shingles are a row; the shared ones of a pair are named once; unlike lines of a bucket make no rows."""
+    whole = spark.createDataFrame([(*lines.name(x), x) for x in (prose(60, 950)[:164], prose(60, 951)[:164])], "a long, b long, line string").cache()
+    assert lines.shingled(whole, "a", "b").count() == 2 * 10
+    pairs = whole.select(F.struct("a", "b").alias("u")).crossJoin(whole.select(F.struct("a", "b").alias("v"))).where("u < v")
+    plan = lines.resembling(pairs, lines.sketched(whole), whole)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1
+    r = random.Random(12)
+    template = "".join(r.choice("abcdefghij klmnop") for _ in range(400))
+    texts = [template + "".join(r.choice("qrstuvwxyz") for _ in range(62)) for _ in range(30)]
+    counted, keep = [], lines.resembling
+    monkeypatch.setattr(lines, "resembling", lambda pairs, *rest: counted.append(pairs.count()) or keep(pairs, *rest))
+    assert kept_lines(spark, [*texts, texts[3][:-1] + "-"]) == set(range(30))
+    print("pairs by least line, in buckets:", counted)
+    assert len(counted) == 2 and counted[0] > 15 and counted[1] < 30
+
+
 def test_lines_are_deduplicated_without_python(spark, docs, monkeypatch):
     plans, keep = [], lines.stored
     monkeypatch.setattr(lines, "stored", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
